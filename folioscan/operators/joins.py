@@ -24,17 +24,21 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return rows <= max_rows and size <= BROADCAST_CHARS
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread_by: Column) -> DataFrame:
-    """Inner join of a big side that may hold hot keys with a usually small side.
-
-    A small side within the bound is broadcast. Beyond it, both sides are shuffled
-    on the keys and a salt taken from `spread_by`, so that the rows of a hot key go
-    to many tasks; the small side is repeated once per salt.
+def join_small(
+    big: DataFrame, other: DataFrame, keys: list[str], spread_by: Column, small: bool,
+    how: str = "inner",
+) -> DataFrame:
+    """Join a big side that may hold hot keys with a usually small side.
+
+    `small` is the outcome of `is_small` on the other side or on what it was cut
+    from: then it is broadcast. Otherwise both sides are shuffled on the keys and a
+    salt taken from `spread_by`, so that the rows of a hot key go to many tasks; the
+    other side is repeated once per salt.
     """
-    if is_small(small):
-        return big.join(F.broadcast(small), keys)
+    if small:
+        return big.join(F.broadcast(other), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn(
+    repeated = other.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

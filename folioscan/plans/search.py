@@ -3,19 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioscan import settings
-from folioscan.operators import lexical
+from folioscan.operators import fusion, lexical, results
+from folioscan.operators.filters import Filters, restrict
+from folioscan.operators.joins import is_small
+from folioscan.operators.model_calls import ModelFactory
+from folioscan.operators.ranking import top_k
+from folioscan.plans.backfill import embed
+from folioscan.plans.ingest import STEMMER_SETTING
+from folioscan.sources.catalog import Catalog
+from folioscan.sources.shared import checkpointed
+from folioscan.sources.vector_store import vector_store
+
+# Up to this many distinct query terms are named in the scan of the postings.
+LISTED_TERMS = 500
 
 
 def lexical_scores(
     chunks: DataFrame, queries: DataFrame, stemmer: str | None = "porter"
 ) -> DataFrame:
-    """BM25 of a query table over chunks that have no stored index."""
-    postings = lexical.build_postings(chunks, stemmer)
+    """BM25 of a query table over chunks that have no stored index.
+
+    The postings of the query terms are computed once and kept: they give both the
+    document frequencies and the scores.
+    """
+    wanted = lexical.query_terms(queries, stemmer=stemmer)
+    small = is_small(wanted)
+    postings = checkpointed(
+        lexical.matching_postings(lexical.build_postings(chunks, stemmer), wanted, small)
+    )
     return lexical.score(
         postings, lexical.document_frequencies(postings),
-        lexical.corpus_totals(chunks, stemmer), lexical.query_terms(queries, stemmer=stemmer),
+        lexical.corpus_totals(chunks, stemmer), wanted, small,
     )
 
 
@@ -23,3 +44,75 @@ def check_mode(mode: str) -> None:
     """Reject an unknown mode before anything is planned."""
     if mode not in settings.SEARCH_MODES:
         raise ValueError(f"mode must be one of {list(settings.SEARCH_MODES)}, not {mode!r}")
+
+
+def resolve_mode(catalog: Catalog, mode: str) -> str:
+    """The mode that will run; hybrid for `auto` once there is a vector."""
+    check_mode(mode)
+    embedded = bool(catalog.table("chunk_embeddings").limit(1).count())
+    if mode == "auto":
+        return "hybrid" if embedded else "bm25"
+    if mode in ("vector", "hybrid") and not embedded:
+        raise RuntimeError("this catalog has no embeddings yet: run a backfill first")
+    return mode
+
+
+def lexical_top_k(
+    catalog: Catalog, queries: DataFrame, limit: int, wanted: Filters
+) -> DataFrame:
+    """Best chunks per query from the stored index.
+
+    The terms of a small query table are put into the scan as a list, so that row
+    groups of the sorted postings without any of them are skipped.
+    """
+    stemmer = catalog.setting(STEMMER_SETTING) or "porter"
+    terms = lexical.query_terms(queries, stemmer=None if stemmer == "none" else stemmer)
+    small = is_small(terms)
+    postings, frequencies = catalog.table("postings"), catalog.table("term_stats")
+    listed = terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()
+    if len(listed) <= LISTED_TERMS:
+        known = F.col("term").isin(*[row["term"] for row in listed])
+        postings, frequencies = postings.filter(known), frequencies.filter(known)
+    scores = lexical.score(
+        postings, frequencies, catalog.table("corpus_stats"), terms, small
+    )
+    kept = restrict(scores, catalog.table("documents"), catalog.table("tags"), wanted)
+    return top_k(kept, limit)
+
+
+def search(
+    catalog: Catalog,
+    query: str | DataFrame,
+    limit: int = 10,
+    types: list[str] | None = None,
+    tags: list[str] | None = None,
+    source: str | None = None,
+    mode: str = "auto",
+    embed_query: ModelFactory | None = None,
+) -> tuple[DataFrame, str]:
+    """Result rows (with query_id and 0-based rank) and the mode that ran.
+
+    `query` is one text or a table (query_id, text). `embed_query` is the query-side
+    embedder of the locked model; the built-in one needs none.
+    """
+    mode = resolve_mode(catalog, mode)
+    queries = query if isinstance(query, DataFrame) else catalog.spark.createDataFrame(
+        [(0, query)], "query_id bigint, text string"
+    )
+    wanted = Filters.of(types, tags, source)
+    pool = fusion.pool_size(limit) if mode == "hybrid" else limit
+    if mode in ("vector", "hybrid"):
+        store = vector_store(catalog)
+        vectors = embed(queries, store.locked_model(), embed_query)
+        dense = store.search(vectors.select("query_id", "embedding"), pool, wanted)
+    if mode in ("bm25", "hybrid"):
+        words = lexical_top_k(catalog, queries, pool, wanted)
+    if mode == "hybrid":
+        ranked = fusion.fuse(words, dense, limit)
+    else:
+        ranked = words if mode == "bm25" else dense
+    max_rows = None if isinstance(query, DataFrame) else limit
+    found = results.result_rows(
+        ranked, catalog.table("chunks"), catalog.table("documents"), max_rows
+    )
+    return found.orderBy("query_id", "rank"), mode
