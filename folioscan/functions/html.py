@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -50,10 +51,8 @@ def _code_point(number: Column) -> Column:
 def _entity_character(entity: Column) -> Column:
     """The character an entity stands for; null when it is not one."""
     body = F.regexp_replace(entity, "[&;]", "")
-    names = sorted(name2codepoint)
-    named = F.try_element_at(
-        F.map_from_arrays(F.lit(names), F.lit([chr(name2codepoint[n]) for n in names])), body
-    )
+    table = json.dumps({name: chr(code) for name, code in sorted(name2codepoint.items())})
+    named = F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), body)
     number = F.when(
         body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)
     ).otherwise(F.substring(body, 2, 9)).cast("bigint")

@@ -129,14 +129,18 @@ def store_extracted(
     )
 
 
+def known_versions(catalog: Catalog, source: str) -> DataFrame:
+    """Stored versions of a source, kept apart from the tables an ingest rewrites."""
+    return checkpointed(upserts.existing_versions(catalog.table("documents"), source))
+
+
 def ingest_folder(
     catalog: Catalog, folder: str, full: bool = False, **options
 ) -> IngestTotals:
     """Ingest the new and changed files of a folder; all of them when `full`."""
     listing = list_folder(catalog.spark, folder)
     if not full:
-        known = upserts.existing_versions(catalog.table("documents"), "local")
-        listing = upserts.new_or_changed(listing, known)
+        listing = upserts.new_or_changed(listing, known_versions(catalog, "local"))
     return ingest(catalog, read_listed(catalog.spark, listing, folder), **options)
 
 

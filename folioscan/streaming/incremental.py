@@ -14,7 +14,7 @@ from folioscan import schemas
 from folioscan.operators import dense, upserts
 from folioscan.operators.model_calls import ModelFactory
 from folioscan.plans.backfill import HASHING_MODEL, embed
-from folioscan.plans.ingest import ingest
+from folioscan.plans.ingest import ingest, known_versions
 from folioscan.sources.catalog import Catalog
 from folioscan.sources.files import listing_columns
 from folioscan.sources.vector_store import vector_store
@@ -36,7 +36,7 @@ def ingest_stream(
     )
 
     def run(batch: DataFrame, _: int) -> None:
-        known = upserts.existing_versions(catalog.table("documents"), "local")
+        known = known_versions(catalog, "local")
         ingest(catalog, upserts.new_or_changed(listing_columns(batch), known), **options)
 
     return (
