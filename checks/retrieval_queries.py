@@ -13,6 +13,7 @@ from folioscan.operators import dense, fusion, lexical, model_calls, results
 from folioscan.operators.filters import Filters, matching_documents, restrict
 from folioscan.operators.ranking import first_k, top_k
 from folioscan.plans.search import lexical_scores
+from folioscan.sources.shared import checkpointed
 
 LIMIT = 10
 POOL = 40
@@ -89,7 +90,8 @@ def bm25_search(spark, sf_dir):
     """Result rows of a query made of the corpus's three most frequent terms."""
     chunks = r.chunks(spark, sf_dir)
     frequencies = lexical.document_frequencies(lexical.build_postings(chunks, stemmer=None))
-    scores = lexical_scores(chunks, _frequent_words(frequencies), stemmer=None)
+    query = checkpointed(_frequent_words(frequencies))
+    scores = lexical_scores(chunks, query, stemmer=None)
     return results.result_rows(
         top_k(scores, LIMIT), chunks, r.documents(spark, sf_dir), LIMIT
     ).withColumn("score", F.round("score", 6))

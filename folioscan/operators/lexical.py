@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscan import schemas, settings
 from folioscan.functions import terms as tm
-from folioscan.operators.joins import is_small, join_small
+from folioscan.operators.joins import join_small
 from folioscan.operators.ranking import stable_score
 
 STEMMERS = ("porter", None)
@@ -60,38 +60,45 @@ def query_terms(queries: DataFrame, text: str = "text", stemmer: str | None = "p
 
 
 def matching_postings(postings: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """Postings of the wanted terms."""
+    """Postings of the wanted terms, with those of one chunk in one task.
+
+    The only large shuffle of a search. It carries each posting once, however many
+    queries ask for its term, and lets the scores be summed and cut to the best `k`
+    in the same tasks: pairs of query and chunk never travel.
+    """
     terms = wanted.select("term").distinct()
-    return join_small(postings, terms, ["term"], F.col("chunk_id"), small, "left_semi")
+    found = join_small(postings, terms, ["term"], F.col("chunk_id"), small, "left_semi")
+    return found.repartition("chunk_id")
 
 
 def score(
-    postings: DataFrame,
+    matching: DataFrame,
     frequencies: DataFrame,
     totals: DataFrame,
     wanted: DataFrame,
-    small: bool | None = None,
+    small: bool,
     k1: float = settings.BM25_K1,
     b: float = settings.BM25_B,
 ) -> DataFrame:
     """(query_id, chunk_id, doc_id, score) of every chunk with a query term.
 
-    `frequencies` and `totals` may be partial sums per catalog part. They always
-    describe the whole corpus: filters on documents come after scoring. `small` says
-    whether the query terms may be broadcast; by default they are counted.
+    `matching` comes from `matching_postings`; `small` says whether the query terms
+    may be broadcast. `frequencies` and `totals` may be partial sums per catalog part.
+    They always describe the whole corpus: filters on documents come after scoring.
     """
-    small = is_small(wanted) if small is None else small
-    n = totals.select(F.sum("n_chunks")).scalar()
-    avg_len = totals.select(F.try_divide(F.sum("total_len"), F.sum("n_chunks"))).scalar()
+    n, length = totals.agg(
+        F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("total_len"), F.lit(0))
+    ).first()
+    avg_len = length / n if length else 1.0
     known = join_small(frequencies, wanted, ["term"], F.col("df"), small)
     # One row per query term again, so as small as the query terms.
     weights = known.groupBy("query_id", "term").agg(F.sum("df").alias("df")).select(
         "query_id", "term",
-        F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"),
+        F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"),
     )
-    matched = join_small(postings, weights, ["term"], F.col("chunk_id"), small)
+    matched = join_small(matching, weights, ["term"], F.col("chunk_id"), small)
     part = F.col("_idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len)
+        F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len))
     )
     return (
         matched.groupBy("query_id", "chunk_id", "doc_id")

@@ -74,7 +74,8 @@ def lexical_top_k(
         known = F.col("term").isin(*[row["term"] for row in listed])
         postings, frequencies = postings.filter(known), frequencies.filter(known)
     scores = lexical.score(
-        postings, frequencies, catalog.table("corpus_stats"), terms, small
+        lexical.matching_postings(postings, terms, small), frequencies,
+        catalog.table("corpus_stats"), terms, small,
     )
     kept = restrict(scores, catalog.table("documents"), catalog.table("tags"), wanted)
     return top_k(kept, limit)
