@@ -12,13 +12,16 @@ from folioscan.functions import text as tx
 
 # Everything that is not a text node. One alternation, so that whichever opens
 # first wins: a tag inside a script and a script inside a comment are both inert.
+# A quoted value may hold `>`. The group that repeats is bounded, because the regex
+# engine recurses once per repetition; a tag with more `=` ends at its first `>`.
 NOT_TEXT = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
     r"|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
     r"|<[!?][^>]*>"
-    r"|</?[a-z][^\s/>]*(?:\s*/?[^\s\"'>/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|[\s/\"'])*>"
+    r"|</?[a-z][^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*')?[^>=]*){0,200}>"
+    r"|</?[a-z][^>]*>"
 )
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 ENTITY = r"^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"

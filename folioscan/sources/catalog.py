@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +156,10 @@ class Catalog:
 
         Returns whether there was one. Rows keep their part.
         """
-        stored = self.spark.read.parquet(self.path("chunks"))
+        try:
+            stored = self.spark.read.parquet(self.path("chunks"))
+        except AnalysisException:  # there is no file yet
+            return False
         if "embedding" not in stored.columns:
             return False
         rows = upserts.drop_legacy_columns(stored)

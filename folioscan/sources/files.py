@@ -23,6 +23,10 @@ from folioscan.operators import chunking
 from folioscan.operators.model_calls import ModelFactory, apply_model
 
 
+# Columns of the binaryFile source.
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def listing_columns(files: DataFrame) -> DataFrame:
     """Listing of supported files from the columns of the binaryFile source."""
     name = F.element_at(F.split("path", "/"), -1)

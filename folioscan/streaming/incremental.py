@@ -16,7 +16,7 @@ from folioscan.operators.model_calls import ModelFactory
 from folioscan.plans.backfill import HASHING_MODEL, embed
 from folioscan.plans.ingest import ingest, known_versions
 from folioscan.sources.catalog import Catalog
-from folioscan.sources.files import listing_columns
+from folioscan.sources.files import BINARY_FILES, listing_columns
 from folioscan.sources.vector_store import vector_store
 
 
@@ -29,7 +29,7 @@ def ingest_stream(
     batch run of `ingest_folder`.
     """
     files = (
-        catalog.spark.readStream.format("binaryFile")
+        catalog.spark.readStream.format("binaryFile").schema(BINARY_FILES)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
