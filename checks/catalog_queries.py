@@ -11,7 +11,7 @@ from folioscan import schemas, settings
 from folioscan.functions import delimited as dx
 from folioscan.functions.text import WHITESPACE_CLASS
 from folioscan.operators import (
-    chunking, dense, filters, listing, manifest, model_calls, prompts, tags, upserts,
+    dense, filters, listing, manifest, model_calls, prompts, tags, upserts,
 )
 from folioscan.operators.running import running_before
 from folioscan.plans.ingest import ingest_totals, superseded
@@ -46,8 +46,7 @@ def keyword_tags(spark, sf_dir):
 
 @check(q.select("SELECT doc_id, tag FROM keyword_tags", _WORDS))
 def enrichment_low_tier(spark, sf_dir):
-    chunks = r.chunks(spark, sf_dir)
-    return tags.enrich(chunks, chunking.document_text(chunks), "low")[1]
+    return tags.enrich(r.chunks(spark, sf_dir), "low")[1]
 
 
 @check(f"""SELECT DISTINCT conv_id, turn, tag FROM (
@@ -86,20 +85,14 @@ def _first_line(model):
                  FROM chunks GROUP BY 1)"""))
 def enrichment_high_tier(spark, sf_dir):
     """Tags from a model, keywords where it fails."""
-    chunks = r.chunks(spark, sf_dir)
-    return tags.enrich(
-        chunks, chunking.document_text(chunks), "high", _first_line, _first_words
-    )[1]
+    return tags.enrich(r.chunks(spark, sf_dir), "high", _first_line, _first_words)[1]
 
 
 @check(q.select(f"""SELECT doc_id, {q.strip("split_part(substr(text, 1, 6000), chr(10), 1)")} AS summary
   FROM (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text
         FROM chunks GROUP BY 1)"""))
 def model_summaries(spark, sf_dir):
-    chunks = r.chunks(spark, sf_dir)
-    return tags.enrich(
-        chunks, chunking.document_text(chunks), "high", _first_line, _first_words
-    )[0]
+    return tags.enrich(r.chunks(spark, sf_dir), "high", _first_line, _first_words)[0]
 
 
 # -- manifest -----------------------------------------------------------------

@@ -264,3 +264,13 @@ def document_text(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(
         ordered_join(F.col("text"), F.col("ordinal"), "\n\n").alias("text")
     )
+
+
+def document_samples(chunks: DataFrame, chars: int = settings.SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, sample): the start of each document's text, as a model sees it.
+
+    A chunk and its separator are three characters or more, so the first `chars` / 3
+    chunks hold the whole sample and a huge document is never put together.
+    """
+    first = chunks.filter(F.col("ordinal") <= chars // 3)
+    return document_text(first).select("doc_id", tx.sample(F.col("text"), chars).alias("sample"))

@@ -10,6 +10,7 @@ from folioscan import settings
 from folioscan.functions import text as tx
 from folioscan.functions.terms import keyword_tokens
 from folioscan.functions.text import let
+from folioscan.operators.chunking import document_samples
 from folioscan.operators.model_calls import ModelFactory, apply_model
 
 
@@ -67,24 +68,22 @@ def normalised_tags(tags: Column, k: int = settings.MODEL_TAGS_PER_DOCUMENT) ->
 
 def enrich(
     chunks: DataFrame,
-    texts: DataFrame,
     effort: str | None = None,
     summarise: ModelFactory | None = None,
     tag: ModelFactory | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, summary) and tags (doc_id, tag) of the tier.
 
-    The low tier uses keywords only. The high tier sends the sample of each non-blank
-    document to the caller's functions; a failed summary stays null and failed tags
-    fall back to keywords. `texts` is (doc_id, text) with a document's whole text.
+    The low tier uses keywords only. The high tier sends the sample of each document
+    with text to the caller's functions; a failed summary stays null and failed tags
+    fall back to keywords.
     """
     profile = settings.effort_profile(effort)
     keywords = keyword_tags(chunks)
-    sampled = texts.filter(tx.strip(F.col("text")) != "").select(
-        "doc_id", tx.sample(F.col("text")).alias("sample")
-    )
-
-    summaries = texts.select("doc_id", F.lit(None).cast("string").alias("summary"))
+    sampled = document_samples(chunks)
+    summaries = chunks.select(
+        "doc_id", F.lit(None).cast("string").alias("summary")
+    ).distinct()
     if profile.enrich_summary and summarise:
         answers = apply_model(sampled, "sample", "summary", "string", summarise, profile.text_model)
         summaries = answers.select("doc_id", tx.strip(F.col("summary")).alias("summary"))

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan import settings
-from folioscan.functions import keys
-from folioscan.operators import chunking, lexical, tags, upserts
+from folioscan.operators import lexical, tags, upserts
+from folioscan.operators.joins import is_small
 from folioscan.operators.model_calls import ModelFactory
 from folioscan.sources.catalog import Catalog
-from folioscan.sources.files import Extracted, extract, list_folder, read_listed
+from folioscan.sources.files import (
+    ContentReader, Extracted, extract, folder_content, list_folder,
+)
 from folioscan.sources.shared import checkpointed
 
 STEMMER_SETTING = "stemmer"
@@ -28,11 +30,11 @@ class IngestTotals:
     rejects: DataFrame
 
 
-def document_rows(files: DataFrame, info: DataFrame, effort: str | None = None) -> DataFrame:
+def document_rows(listing: DataFrame, info: DataFrame, effort: str | None = None) -> DataFrame:
     """Catalog rows of extracted files."""
     profile = settings.effort_profile(effort)
     return upserts.complete_documents(
-        files.drop("content").join(info, "doc_id")
+        listing.join(info, "doc_id")
         .withColumn("path", F.coalesce("source_uri", "local_path"))
         .withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
         .withColumn("effort", F.lit(profile.name))
@@ -52,7 +54,8 @@ def superseded(documents: DataFrame, new: DataFrame) -> DataFrame:
 
 def ingest(
     catalog: Catalog,
-    files: DataFrame,
+    listing: DataFrame,
+    content: ContentReader,
     effort: str | None = None,
     enrich: bool = True,
     keep_history: bool = False,
@@ -64,22 +67,22 @@ def ingest(
     sheets: DataFrame | None = None,
     blocks: DataFrame | None = None,
 ) -> IngestTotals:
-    """Add or replace documents from a listing with content.
+    """Add or replace the documents of a listing.
 
     Running it again over the same files changes nothing. An older version of a
     file leaves the catalog unless `keep_history` is set.
     """
     stemmer = catalog.lock(STEMMER_SETTING, stemmer or "none")
-    found = extract(files, effort, transcribe, pages, sheets, blocks)
+    found = extract(listing, content, effort, transcribe, pages, sheets, blocks)
     return store_extracted(
-        catalog, files, found, effort, enrich, keep_history,
+        catalog, listing, found, effort, enrich, keep_history,
         None if stemmer == "none" else stemmer, summarise, tag,
     )
 
 
 def store_extracted(
     catalog: Catalog,
-    files: DataFrame,
+    listing: DataFrame,
     found: Extracted,
     effort: str | None,
     enrich: bool,
@@ -89,7 +92,7 @@ def store_extracted(
     tag: ModelFactory | None,
 ) -> IngestTotals:
     """Write extracted documents and everything derived from them."""
-    documents = checkpointed(document_rows(files, found.info, effort))
+    documents = checkpointed(document_rows(listing, found.info, effort))
     touched = documents.select("doc_id")
     if not keep_history:
         touched = touched.union(superseded(catalog.table("documents"), documents))
@@ -113,8 +116,7 @@ def store_extracted(
     catalog.refresh_statistics(parts)
 
     if enrich:
-        texts = chunking.document_text(stored)
-        summaries, tagged = tags.enrich(stored, texts, effort, summarise, tag)
+        summaries, tagged = tags.enrich(stored, effort, summarise, tag)
         catalog.replace("tags", tagged, touched, parts)
         if settings.effort_profile(effort).enrich_summary and summarise:
             answered = checkpointed(summaries.filter(F.col("summary").isNotNull()))
@@ -139,9 +141,12 @@ def ingest_folder(
 ) -> IngestTotals:
     """Ingest the new and changed files of a folder; all of them when `full`."""
     listing = list_folder(catalog.spark, folder)
-    if not full:
-        listing = upserts.new_or_changed(listing, known_versions(catalog, "local"))
-    return ingest(catalog, read_listed(catalog.spark, listing, folder), **options)
+    if full:
+        return ingest(catalog, listing, folder_content(catalog.spark, folder), **options)
+    changed = upserts.new_or_changed(listing, known_versions(catalog, "local"))
+    changed = checkpointed(changed)
+    content = folder_content(catalog.spark, folder, changed)
+    return ingest(catalog, changed, content, **options)
 
 
 def ingest_staged(
@@ -151,15 +156,19 @@ def ingest_staged(
 
     `planned` comes from `plan_listing`; a file is found by its staged name.
     """
-    files = list_folder(catalog.spark, folder, content=True).select(
-        "filename", "local_path", "ext", "source_type", "size_bytes", "modified_at", "content"
-    )
-    staged = planned.filter(F.col("status") == "staged").select(
-        "filename", "source_id", "source_uri", "source_modified", "mime_type",
+    staged = checkpointed(planned.filter(F.col("status") == "staged").select(
+        "filename", "source_id", "source_uri", "source_modified", "mime_type", "doc_id",
         F.lit("gdrive").alias("source"),
-        keys.document_id(F.col("source_id"), F.col("source_modified")).alias("doc_id"),
-    )
-    return ingest(catalog, files.join(staged, "filename"), **options)
+    ))
+    small = is_small(staged)
+
+    def identified(files: DataFrame) -> DataFrame:
+        local = files.drop(*[c for c in staged.columns if c != "filename"])
+        return local.join(F.broadcast(staged) if small else staged, "filename")
+
+    read = folder_content(catalog.spark, folder)
+    listing = identified(list_folder(catalog.spark, folder))
+    return ingest(catalog, listing, lambda exts: identified(read(exts)), **options)
 
 
 def ingest_totals(documents: DataFrame, chunks: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ another tool extracted come as tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,9 +21,12 @@ from folioscan.functions import json_lines as jx
 from folioscan.functions import keys
 from folioscan.functions import text as tx
 from folioscan.operators import chunking
+from folioscan.operators.joins import is_small
 from folioscan.operators.model_calls import ModelFactory, apply_model
 
 
+INFO = "doc_id string, title string, author string, page_count int"
+REJECTS = "doc_id string, local_path string, error string"
 # Columns of the binaryFile source.
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -49,20 +53,61 @@ def listing_columns(files: DataFrame) -> DataFrame:
     ).filter(F.col("source_type").isNotNull())
 
 
-def list_folder(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """Supported files below a folder; the bytes are read only when asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return listing_columns(files if content else files.drop("content"))
+def _files(spark: SparkSession, folder: str, exts: list[str]) -> DataFrame:
+    """binaryFile rows of the files with one of the extensions, in any case.
 
+    The name pattern keeps files of other types from being opened at all.
+    """
+    def any_case(ext: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
 
-def read_listed(spark: SparkSession, listing: DataFrame, folder: str) -> DataFrame:
-    """The listing with the bytes of its files, which lie below `folder`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return listing.join(
-        files.select(F.col("path").alias("local_path"), "content"), "local_path"
+    pattern = "*{" + ",".join(any_case(e) for e in exts) + "}"
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern).load(folder)
     )
 
 
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Listing of the supported files below a folder; no file is opened."""
+    return listing_columns(_files(spark, folder, list(settings.EXTENSION_TYPES)).drop("content"))
+
+
+# From extensions to the listing rows of such files, with their content.
+ContentReader = Callable[[list[str]], DataFrame]
+
+
+def folder_content(
+    spark: SparkSession, folder: str, wanted: DataFrame | None = None
+) -> ContentReader:
+    """Reads files below `folder`: all of them, or those of the `wanted` listing.
+
+    For a part of the folder, files older than every wanted one are not opened, and
+    the bytes stay where they are read as long as the wanted list is small.
+    """
+    oldest, small = None, False
+    if wanted is not None:
+        oldest = wanted.agg(F.min("modified_at").cast("timestamp")).first()[0]
+        small = is_small(wanted.select("doc_id"))
+
+    def read(exts: list[str]) -> DataFrame:
+        files = _files(spark, folder, exts)
+        if wanted is None:
+            return listing_columns(files)
+        if oldest is not None:
+            files = files.filter(F.col("modificationTime") >= F.lit(oldest))
+        ids = wanted.select("doc_id")
+        return listing_columns(files).join(
+            F.broadcast(ids) if small else ids, "doc_id", "left_semi"
+        )
+
+    return read
+
+
+def extensions_of(kind: str) -> list[str]:
+    return [ext for ext, of in settings.EXTENSION_TYPES.items() if of == kind]
+
+
 @dataclass
 class Extracted:
     """What extraction gives: document facts, chunks, metadata and refused files."""
@@ -100,60 +145,65 @@ def _delimited(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract(
-    files: DataFrame,
+    listing: DataFrame,
+    content: ContentReader,
     effort: str | None = None,
     transcribe: ModelFactory | None = None,
     pages: DataFrame | None = None,
     sheets: DataFrame | None = None,
     blocks: DataFrame | None = None,
 ) -> Extracted:
-    """Route every file to the extraction of its type.
+    """Route every listed file to the extraction of its type.
 
-    `files` is a listing with `content`. `pages` (local_path, page_no, text and, for
-    transcription, image), `sheets` (local_path, sheet_no, sheet, row_no, cells) and
+    `content` reads the files of text types. `pages` (local_path, page_no, text and,
+    for transcription, image), `sheets` (local_path, sheet_no, sheet, row_no, cells) and
     `blocks` (local_path, block_no, kind, text, cells) hold what was extracted from
     pdf, xlsx and docx files. `transcribe` turns image paths into text. A file that
     cannot be read lands in the rejects with the reason; the others go on.
     """
     profile = settings.effort_profile(effort)
-    of_type = {
-        kind: files.filter(F.col("source_type") == kind)
-        for kind in sorted(set(settings.EXTENSION_TYPES.values()))
-    }
-    infos, chunks, metadata, rejects = [], [], [], []
+    spark = listing.sparkSession
+    # At most one value per type; types that do not occur add nothing to the plan.
+    present = {row[0] for row in listing.select("source_type").distinct().collect()}
+    infos = [spark.createDataFrame([], INFO)]
+    chunks = [spark.createDataFrame([], schemas.CHUNKS)]
+    metadata = [spark.createDataFrame([], schemas.DOC_METADATA)]
+    rejects = [spark.createDataFrame([], REJECTS)]
 
     def reject(df: DataFrame, reason: Column) -> None:
         rejects.append(df.select("doc_id", "local_path", reason.alias("error")))
 
-    plain = of_type["text"].withColumn("text", dx.utf8_text(F.col("content")))
-    markdown = plain.filter(F.col("ext") == ".md")
-    infos.append(chunking.markdown_titles(markdown).select(
-        "doc_id", "title", F.lit(None).cast("string").alias("author"),
-        F.lit(None).cast("int").alias("page_count"),
-    ))
-    chunks.append(chunking.markdown_chunks(markdown))
-    infos.append(_info(plain.filter(F.col("ext") != ".md")))
-    chunks.append(chunking.text_chunks(plain.filter(F.col("ext") != ".md")))
-
-    html = of_type["html"].select("doc_id", dx.utf8_text(F.col("content")).alias("html"))
-    infos.append(_info(html, title=hx.title(F.col("html"))))
-    chunks.append(chunking.html_chunks(html))
-
-    info, rows = _delimited(of_type["csv"])
-    infos.append(info)
-    chunks.append(rows)
-
-    parsed = of_type["json"].select(
-        "doc_id", "local_path",
-        jx.json_records(dx.utf8_text(F.col("content")), F.col("ext")).alias("j"),
-    ).select("doc_id", "local_path", "j.*")
-    readable = parsed.filter(F.col("error").isNull())
-    infos.append(_info(readable, pages=F.size("records")))
-    chunks.append(chunking.json_file_chunks(readable))
-    reject(parsed.filter(F.col("error").isNotNull()), F.col("error"))
-
-    images = of_type["image"].select("doc_id", "local_path")
-    if transcribe:
+    if "text" in present:
+        markdown = content([".md"]).withColumn("text", dx.utf8_text(F.col("content")))
+        plain = content([".txt"]).withColumn("text", dx.utf8_text(F.col("content")))
+        titles = chunking.markdown_titles(markdown)
+        infos += [_info(titles, title=F.col("title")), _info(plain)]
+        chunks += [chunking.markdown_chunks(markdown), chunking.text_chunks(plain)]
+
+    if "html" in present:
+        html = content(extensions_of("html")).select(
+            "doc_id", dx.utf8_text(F.col("content")).alias("html")
+        )
+        infos.append(_info(html, title=hx.title(F.col("html"))))
+        chunks.append(chunking.html_chunks(html))
+
+    if "csv" in present:
+        info, rows = _delimited(content(extensions_of("csv")))
+        infos.append(info)
+        chunks.append(rows)
+
+    if "json" in present:
+        parsed = content(extensions_of("json")).select(
+            "doc_id", "local_path",
+            jx.json_records(dx.utf8_text(F.col("content")), F.col("ext")).alias("j"),
+        ).select("doc_id", "local_path", "j.*")
+        readable = parsed.filter(F.col("error").isNull())
+        infos.append(_info(readable, pages=F.size("records")))
+        chunks.append(chunking.json_file_chunks(readable))
+        reject(parsed.filter(F.col("error").isNotNull()), F.col("error"))
+
+    images = listing.filter(F.col("source_type") == "image").select("doc_id", "local_path")
+    if "image" in present and transcribe:
         seen = apply_model(
             images, "local_path", "text", "string", transcribe, profile.vision_model
         )
@@ -164,45 +214,42 @@ def extract(
             "doc_id", F.lit("vision_model").alias("key"), F.lit(profile.vision_model).alias("value")
         ))
         reject(seen.filter(F.col("error").isNotNull()), F.col("error"))
-    else:
+    elif "image" in present:
         reject(images, F.lit("no transcription function was given"))
 
     for kind, rows in (("pdf", pages), ("xlsx", sheets), ("docx", blocks)):
-        named = of_type[kind].select("doc_id", "local_path")
+        if kind not in present:
+            continue
+        named = listing.filter(F.col("source_type") == kind).select("doc_id", "local_path")
         if rows is None:
             reject(named, F.lit(f"no extracted content was given for {kind} files"))
             continue
-        content = rows.join(named, "local_path")
+        given = rows.join(named, "local_path")
         absent = named.join(rows.select("local_path"), "local_path", "left_anti")
         reject(absent, F.lit(f"no extracted content was given for {kind} files"))
         if kind == "pdf":
-            content = transcribed_pages(content, profile, transcribe)
-            totals = chunking.page_totals(content)
+            given = transcribed_pages(given, profile, transcribe)
+            totals = chunking.page_totals(given)
             infos.append(_info(totals, pages=F.col("page_count")))
-            chunks.append(chunking.page_chunks(content))
+            chunks.append(chunking.page_chunks(given))
             metadata.append(totals.filter(F.col("ocr_pages") > 0).select(
                 "doc_id", F.lit("ocr_pages").alias("key"),
                 F.col("ocr_pages").cast("string").alias("value"),
             ))
         elif kind == "xlsx":
-            infos.append(_info(content.select("doc_id").distinct()))
-            chunks.append(chunking.sheet_chunks(content))
+            infos.append(_info(given.select("doc_id").distinct()))
+            chunks.append(chunking.sheet_chunks(given))
         else:
-            titles = chunking.block_titles(content)
+            titles = chunking.block_titles(given)
             infos.append(_info(
-                content.select("doc_id").distinct().join(titles, "doc_id", "left"),
+                given.select("doc_id").distinct().join(titles, "doc_id", "left"),
                 title=F.col("title"),
             ))
-            chunks.append(chunking.block_chunks(content))
-
-    spark = files.sparkSession
-    empty_metadata = spark.createDataFrame([], schemas.DOC_METADATA)
-    return Extracted(
-        info=reduce(DataFrame.unionByName, infos),
-        chunks=reduce(DataFrame.unionByName, chunks),
-        metadata=reduce(DataFrame.unionByName, metadata, empty_metadata),
-        rejects=reduce(DataFrame.unionByName, rejects),
-    )
+            chunks.append(chunking.block_chunks(given))
+
+    return Extracted(*(
+        reduce(DataFrame.unionByName, parts) for parts in (infos, chunks, metadata, rejects)
+    ))
 
 
 def transcribed_pages(

@@ -17,6 +17,7 @@ from folioscan.plans.backfill import HASHING_MODEL, embed
 from folioscan.plans.ingest import ingest, known_versions
 from folioscan.sources.catalog import Catalog
 from folioscan.sources.files import BINARY_FILES, listing_columns
+from folioscan.sources.shared import checkpointed
 from folioscan.sources.vector_store import vector_store
 
 
@@ -37,7 +38,11 @@ def ingest_stream(
 
     def run(batch: DataFrame, _: int) -> None:
         known = known_versions(catalog, "local")
-        ingest(catalog, upserts.new_or_changed(listing_columns(batch), known), **options)
+        files = upserts.new_or_changed(listing_columns(batch), known)
+        ingest(
+            catalog, checkpointed(files.drop("content")),
+            lambda exts: files.filter(F.col("ext").isin(*exts)), **options,
+        )
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from folioscan.operators import upserts
 from folioscan.plans.ingest import ingest_folder
 from folioscan.sources.catalog import Catalog
-from folioscan.sources.files import extract, list_folder
+from folioscan.sources.files import extract, folder_content, list_folder
 from tests.helpers import receipt_factory
 
 
@@ -83,8 +83,7 @@ def test_image_uses_the_tiers_model(catalog):
 
 
 def test_high_tier_reads_blank_pages(spark, folder, extracted):
-    files = list_folder(spark, str(folder), content=True)
-    found = extract(files, "high", transcribe=receipt_factory, **extracted)
+    found = extract(list_folder(spark, str(folder)), folder_content(spark, str(folder)), "high", transcribe=receipt_factory, **extracted)
     seen = found.chunks.filter(F.col("locator") == "page 1 (ocr)").collect()
     assert [r["text"] for r in seen] == ["Receipt 99.50 by gpt-4o"]
     counted = {r["value"] for r in found.metadata.collect() if r["key"] == "ocr_pages"}

@@ -44,19 +44,18 @@ def test_keyword_tags(spark):
 
 
 def high_tier(spark, tag):
-    chunks = spark.createDataFrame([("d", 0, "quarterly revenue revenue"), ("blank", 0, "  ")],
+    chunks = spark.createDataFrame([("d", 0, "quarterly revenue revenue"), ("other", 0, "x")],
                                    "doc_id string, ordinal int, text string")
-    texts = chunks.select("doc_id", "text")
     summaries, tagged = tags.enrich(
-        chunks, texts, "high", lambda m: lambda xs: [f"{m}: short" for _ in xs], tag)
+        chunks, "high", lambda m: lambda xs: [f"{m}: short" for _ in xs], tag)
     return ({r["doc_id"]: r["summary"] for r in summaries.collect()},
             {(r["doc_id"], r["tag"]) for r in tagged.collect()})
 
 
 def test_high_tier_uses_models(spark):
     summaries, tagged = high_tier(spark, lambda m: lambda xs: [[" Alpha ", "", "beta", "alpha"] for _ in xs])
-    assert summaries == {"d": "claude-sonnet-4-6: short"}
-    assert tagged == {("d", "alpha"), ("d", "beta")}
+    assert summaries == {d: "claude-sonnet-4-6: short" for d in ("d", "other")}
+    assert tagged == {(d, t) for d in ("d", "other") for t in ("alpha", "beta")}
 
 
 def test_failed_tags_fall_back(spark):
@@ -73,7 +72,7 @@ def test_low_tier_calls_no_model(spark):
         raise AssertionError("called")
 
     chunks = spark.createDataFrame([("d", 0, "revenue growth revenue")], "doc_id string, ordinal int, text string")
-    summaries, tagged = tags.enrich(chunks, chunks, "low", forbidden, forbidden)
+    summaries, tagged = tags.enrich(chunks, "low", forbidden, forbidden)
     assert [r["summary"] for r in summaries.collect()] == [None]
     assert {r["tag"] for r in tagged.collect()} == {"revenue", "growth"}
 
