@@ -21,7 +21,7 @@ from folioscan.streaming.incremental import backfill_stream
 
 # -- tags ---------------------------------------------------------------------
 
-_WORDS = f"""words AS (
+WORDS = f"""words AS (
   SELECT doc_id, ordinal, lower(w) AS term, pos FROM (
     SELECT doc_id, ordinal, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{{2,}}')) AS w,
            generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{{2,}}'), 1) AS pos
@@ -34,17 +34,17 @@ keyword_tags AS (
     PARTITION BY doc_id ORDER BY n DESC, first) AS tag_rank FROM counted) WHERE tag_rank <= 6)"""
 
 
-@check(q.select("SELECT doc_id, term, n FROM counted", _WORDS))
+@check(q.select("SELECT doc_id, term, n FROM counted", WORDS))
 def term_frequencies(spark, sf_dir):
     return tags.term_frequencies(r.chunks(spark, sf_dir)).select("doc_id", "term", "n")
 
 
-@check(q.select("SELECT doc_id, tag, CAST(tag_rank AS INT) AS tag_rank FROM keyword_tags", _WORDS))
+@check(q.select("SELECT doc_id, tag, CAST(tag_rank AS INT) AS tag_rank FROM keyword_tags", WORDS))
 def keyword_tags(spark, sf_dir):
     return tags.keyword_tags(r.chunks(spark, sf_dir))
 
 
-@check(q.select("SELECT doc_id, tag FROM keyword_tags", _WORDS))
+@check(q.select("SELECT doc_id, tag FROM keyword_tags", WORDS))
 def enrichment_low_tier(spark, sf_dir):
     return tags.enrich(r.chunks(spark, sf_dir), "low")[1]
 
@@ -80,7 +80,7 @@ def _first_line(model):
   UNION ALL
   SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_split_to_array(
     {q.strip("substr(text, 1, 6000)")}, '[{WHITESPACE_CLASS}]+'), lambda t: t <> '')[1:3]))
-  FROM whole WHERE NOT contains(substr(text, 1, 6000), 'ü')""", _WORDS,
+  FROM whole WHERE NOT contains(substr(text, 1, 6000), 'ü')""", WORDS,
     """whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text
                  FROM chunks GROUP BY 1)"""))
 def enrichment_high_tier(spark, sf_dir):

@@ -44,7 +44,9 @@ def corpus_totals(spark, sf_dir):
     return lexical.corpus_totals(r.chunks(spark, sf_dir), stemmer=None)
 
 
-@check()
+@check(q.select("""SELECT stem AS term, chunk_id, doc_id, CAST(count(*) AS INT) AS tf,
+  CAST(any_value(len) AS INT) AS len FROM tokens JOIN stems USING (term) JOIN lengths USING (chunk_id)
+  GROUP BY 1, 2, 3""", q.POSTINGS, q.PORTER))
 def stemmed_postings(spark, sf_dir):
     return lexical.build_postings(r.chunks(spark, sf_dir), stemmer="porter")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioscan import settings
+from folioscan.functions import terms
 from folioscan.functions.text import WHITESPACE, WHITESPACE_CLASS
 
 STOP = ", ".join(f"'{w}'" for w in ("", *settings.STOP_WORDS))
@@ -168,3 +169,73 @@ fused AS (
 def select(body: str, *ctes: str) -> str:
     """A statement over the catalog CTEs and more."""
     return ",\n".join([CATALOG, *ctes]) + "\n" + body
+
+
+# Porter's conditions on the part of a word before its suffix.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+
+
+def _is(pattern: str, x: str) -> str:
+    return f"regexp_matches({x}, '{pattern}')"
+
+
+def _m1(x: str) -> str:
+    return _is(f"^({_C})?{_V}{_C}", x)
+
+
+def _m1_exactly(x: str) -> str:
+    return _is(f"^({_C})?{_V}{_C}({_V})?$", x)
+
+
+def _m2(x: str) -> str:
+    return _is(f"^({_C})?{_V}{_C}{_V}{_C}", x)
+
+
+def _vowel(x: str) -> str:
+    return _is(f"^({_C})?{_V}", x)
+
+
+def _short(x: str) -> str:
+    return _is(f"^{_C}[aeiouy][^aeiouwxy]$", x)
+
+
+def _cut(x: str, n: int) -> str:
+    return f"left({x}, length({x}) - {n})"
+
+
+def _suffixes(x: str, rules, condition) -> str:
+    """The longest suffix that fits decides, whether its condition holds or not."""
+    cases = " ".join(
+        f"WHEN ends_with({x}, '{old}') THEN CASE WHEN {condition(_cut(x, len(old)), old)} "
+        f"THEN {_cut(x, len(old))} || '{new}' ELSE {x} END"
+        for old, new in sorted(rules, key=lambda rule: -len(rule[0]))
+    )
+    return f"CASE {cases} ELSE {x} END"
+
+
+def _ion(base: str, suffix: str) -> str:
+    return _m2(base) + (f" AND {_is('[st]$', base)}" if suffix == "ion" else "")
+
+
+_ED = "regexp_replace(w, '(ed|ing)$', '')"
+PORTER = f"""stem_0 AS (SELECT DISTINCT term, term AS w FROM tokens),
+stem_1 AS (SELECT term, CASE WHEN {_is("(sses|ies)$", "w")} THEN {_cut("w", 2)}
+  WHEN {_is("[^s]s$", "w")} THEN {_cut("w", 1)} ELSE w END AS w FROM stem_0),
+stem_2 AS (SELECT term, CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m1(_cut("w", 3))}
+      THEN {_cut("w", 1)} ELSE w END
+    WHEN {_ED} <> w AND {_vowel(_ED)} THEN CASE WHEN {_is("(at|bl|iz)$", _ED)} THEN {_ED} || 'e'
+      WHEN {_is("[^aeiouylsz]$", _ED)} AND right({_ED}, 1) = left(right({_ED}, 2), 1)
+        AND length({_ED}) > 1 THEN {_cut(_ED, 1)}
+      WHEN {_m1_exactly(_ED)} AND {_short(_ED)} THEN {_ED} || 'e' ELSE {_ED} END
+    ELSE w END AS w FROM stem_1),
+stem_3 AS (SELECT term, CASE WHEN ends_with(w, 'y') AND {_vowel(_cut("w", 1))}
+    THEN {_cut("w", 1)} || 'i' ELSE w END AS w FROM stem_2),
+stem_4 AS (SELECT term, {_suffixes("w", terms.STEP_2, lambda b, _: _m1(b))} AS w FROM stem_3),
+stem_5 AS (SELECT term, {_suffixes("w", terms.STEP_3, lambda b, _: _m1(b))} AS w FROM stem_4),
+stem_6 AS (SELECT term, {_suffixes("w", [(x, "") for x in terms.STEP_4], _ion)} AS w FROM stem_5),
+stem_7 AS (SELECT term, CASE WHEN ends_with(w, 'e') AND ({_m2(_cut("w", 1))}
+    OR ({_m1_exactly(_cut("w", 1))} AND NOT {_short(_cut("w", 1))})) THEN {_cut("w", 1)}
+    ELSE w END AS w FROM stem_6),
+stems AS (SELECT term, CASE WHEN length(term) < 3 THEN term
+    WHEN ends_with(w, 'll') AND {_m2(_cut("w", 1))} THEN {_cut("w", 1)} ELSE w END AS stem
+  FROM stem_7)"""

@@ -83,18 +83,18 @@ def term_counts(tokens: Column) -> Column:
 
 
 # ---- Porter (1980) suffix rules: fixed values --------------------------------
-_STEP_2 = (
+STEP_2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"),
     ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
     ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
     ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
     ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
 )
-_STEP_3 = (
+STEP_3 = (
     ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
     ("ful", ""), ("ness", ""),
 )
-_STEP_4 = (
+STEP_4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
     "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
@@ -142,9 +142,9 @@ def porter_stem(word: str) -> str:
 
     if word.endswith("y") and _HAS_VOWEL.match(word[:-1]):
         word = word[:-1] + "i"
-    word = _swap_suffix(_swap_suffix(word, _STEP_2), _STEP_3)
+    word = _swap_suffix(_swap_suffix(word, STEP_2), STEP_3)
 
-    for suffix in sorted(_STEP_4, key=len, reverse=True):
+    for suffix in sorted(STEP_4, key=len, reverse=True):
         if word.endswith(suffix):
             base = word[: -len(suffix)]
             if _MEASURE_2.match(base) and (suffix != "ion" or base.endswith(("s", "t"))):
