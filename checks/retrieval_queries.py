@@ -51,8 +51,11 @@ def stemmed_postings(spark, sf_dir):
     return lexical.build_postings(r.chunks(spark, sf_dir), stemmer="porter")
 
 
-def _lexical_scores(spark, sf_dir):
-    return lexical_scores(r.chunks(spark, sf_dir), r.queries(spark, sf_dir), stemmer=None)
+def _lexical_scores(spark, sf_dir, wanted=None):
+    allowed = matching_documents(
+        r.documents(spark, sf_dir), r.label_tags(spark, sf_dir), wanted
+    ) if wanted else None
+    return lexical_scores(r.chunks(spark, sf_dir), r.queries(spark, sf_dir), None, allowed)
 
 
 @check(q.select("SELECT query_id, chunk_id, doc_id, round(score, 6) AS score FROM lexical_scores",
@@ -152,11 +155,7 @@ def filter_by_all(spark, sf_dir):
     f"""kept AS (SELECT * FROM lexical_scores WHERE doc_id IN (
       SELECT doc_id FROM docs WHERE {_ALL_FILTERS}))""", q.ranked("kept", "lexical", LIMIT)))
 def bm25_filtered(spark, sf_dir):
-    kept = restrict(
-        _lexical_scores(spark, sf_dir), r.documents(spark, sf_dir),
-        r.label_tags(spark, sf_dir), WANTED,
-    )
-    return top_k(kept, LIMIT).withColumn("score", F.round("score", 6))
+    return top_k(_lexical_scores(spark, sf_dir, WANTED), LIMIT).withColumn("score", F.round("score", 6))
 
 
 @check(q.select("SELECT chunk_id, doc_id, bucket, v FROM chunk_vecs JOIN chunks USING (chunk_id)",
@@ -312,12 +311,11 @@ kept_dense AS (SELECT * FROM dense_scores WHERE doc_id IN (
 lexical AS (\n""", 1), q.fused(LIMIT)))
 def hybrid_filtered(spark, sf_dir):
     pool = fusion.pool_size(LIMIT)
-    documents, tags = r.documents(spark, sf_dir), r.label_tags(spark, sf_dir)
-    words = top_k(restrict(_lexical_scores(spark, sf_dir), documents, tags, WANTED), pool)
+    words = top_k(_lexical_scores(spark, sf_dir, WANTED), pool)
     fused = fusion.fuse(words, _dense_ranked(spark, sf_dir, pool, WANTED), LIMIT)
-    return results.result_rows(fused, r.chunks(spark, sf_dir), documents).withColumn(
-        "score", F.round("score", 12)
-    )
+    return results.result_rows(
+        fused, r.chunks(spark, sf_dir), r.documents(spark, sf_dir)
+    ).withColumn("score", F.round("score", 12))
 
 
 @check(q.select(

@@ -60,15 +60,9 @@ def query_terms(queries: DataFrame, text: str = "text", stemmer: str | None = "p
 
 
 def matching_postings(postings: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """Postings of the wanted terms, with those of one chunk in one task.
-
-    The only large shuffle of a search. It carries each posting once, however many
-    queries ask for its term, and lets the scores be summed and cut to the best `k`
-    in the same tasks: pairs of query and chunk never travel.
-    """
+    """Postings of the wanted terms."""
     terms = wanted.select("term").distinct()
-    found = join_small(postings, terms, ["term"], F.col("chunk_id"), small, "left_semi")
-    return found.repartition("chunk_id")
+    return join_small(postings, terms, ["term"], F.col("chunk_id"), small, "left_semi")
 
 
 def score(
@@ -85,6 +79,11 @@ def score(
     `matching` comes from `matching_postings`; `small` says whether the query terms
     may be broadcast. `frequencies` and `totals` may be partial sums per catalog part.
     They always describe the whole corpus: filters on documents come after scoring.
+
+    The only large shuffle brings the postings of a chunk together. It carries each
+    posting once, however many queries ask for its term, and lets the scores be
+    summed and cut to the best `k` in the same tasks: pairs of query and chunk never
+    travel.
     """
     n, length = totals.agg(
         F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("total_len"), F.lit(0))
@@ -96,7 +95,8 @@ def score(
         "query_id", "term",
         F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"),
     )
-    matched = join_small(matching, weights, ["term"], F.col("chunk_id"), small)
+    together = matching.repartition("chunk_id") if small else matching
+    matched = join_small(together, weights, ["term"], F.col("chunk_id"), small)
     part = F.col("_idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len))
     )

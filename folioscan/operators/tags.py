@@ -35,7 +35,12 @@ def _term_runs(tokens: Column) -> Column:
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(doc_id, term, n, first): counted per chunk first, then per document."""
+    """(doc_id, term, n, first): counted per chunk first, then per document.
+
+    `first` is one number, chunk ordinal before position, so that both sums are
+    kept in a hash aggregation.
+    """
+    first = F.col("ordinal").cast("bigint") * (1 << 32) + F.col("t.first")
     return (
         chunks.select(
             "doc_id", "ordinal",
@@ -44,7 +49,7 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
         .groupBy("doc_id", F.col("t.term").alias("term"))
         .agg(
             F.sum("t.n").alias("n"),
-            F.min(F.struct(F.col("ordinal"), F.col("t.first"))).alias("first"),
+            F.min(first).alias("first"),
         )
     )
 

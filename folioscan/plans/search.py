@@ -22,20 +22,27 @@ LISTED_TERMS = 500
 
 
 def lexical_scores(
-    chunks: DataFrame, queries: DataFrame, stemmer: str | None = "porter"
+    chunks: DataFrame,
+    queries: DataFrame,
+    stemmer: str | None = "porter",
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """BM25 of a query table over chunks that have no stored index.
 
     The postings of the query terms are computed once and kept: they give both the
-    document frequencies and the scores.
+    document frequencies and the scores. `allowed` (doc_id) restricts what is scored,
+    not the statistics.
     """
     wanted = lexical.query_terms(queries, stemmer=stemmer)
     small = is_small(wanted)
     postings = checkpointed(
         lexical.matching_postings(lexical.build_postings(chunks, stemmer), wanted, small)
     )
+    kept = postings if allowed is None else postings.join(
+        allowed.select("doc_id"), "doc_id", "left_semi"
+    )
     return lexical.score(
-        postings, lexical.document_frequencies(postings),
+        kept, lexical.document_frequencies(postings),
         lexical.corpus_totals(chunks, stemmer), wanted, small,
     )
 
@@ -73,12 +80,16 @@ def lexical_top_k(
     if len(listed) <= LISTED_TERMS:
         known = F.col("term").isin(*[row["term"] for row in listed])
         postings, frequencies = postings.filter(known), frequencies.filter(known)
+    # Filtering postings, not scores, keeps pairs of query and chunk out of the join;
+    # the statistics come from their own tables and do not change.
+    matching = restrict(
+        lexical.matching_postings(postings, terms, small),
+        catalog.table("documents"), catalog.table("tags"), wanted,
+    )
     scores = lexical.score(
-        lexical.matching_postings(postings, terms, small), frequencies,
-        catalog.table("corpus_stats"), terms, small,
+        matching, frequencies, catalog.table("corpus_stats"), terms, small
     )
-    kept = restrict(scores, catalog.table("documents"), catalog.table("tags"), wanted)
-    return top_k(kept, limit)
+    return top_k(scores, limit)
 
 
 def search(
