@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import byte_bpe, token_counts
+from folioscan.llm import byte_bpe, secrets, token_counts, warc
 from folioscan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,37 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+# Base 32 of a SHA-1: every five hex digits make four letters.
+ORACLES["op5_warc"] = """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+    numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS n,
+        first(page_id) OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS first_page
+      FROM p)
+    SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+      list_aggregate(list_transform(range(32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER)
+              >> (15 - 5 * (i % 4))) & 31), 1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN n > 1 THEN first_page END AS refers_to
+    FROM numbered"""
+
+
+@_query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_secrets"] = secrets.oracle()
+
+
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(
