@@ -11,19 +11,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import blocks, text_of
 
-KEPT_WORDS = 400_000
-BLOCK_BYTES = 24 << 20
+KEPT_WORDS = 500_000
+BLOCK_BYTES = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +38,9 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        single = [bytes([b]) for b in range(256)]
+        self.single = np.array([ranks[b] for b in single], np.int64)
+        self.initial = np.array([[ranks.get(a + b, -1) for b in single] for a in single])
         self.rank = {
             ranks[token[:cut]] << 32 | ranks[token[cut:]]: rank
             for token, rank in ranks.items()
@@ -51,40 +53,38 @@ class Merges:
 
         A word that is a token itself becomes that token, as the rank-file library does.
         """
-        rank_of, single = self.rank.get, self.single
+        rank_of = self.rank.get
         whole = [self.ranks.get(w, -1) if w else -2 for w in words]
-        tokens: list[int] = []
-        after: list[int] = []  # next live position, or -1 at the end of a word
-        before: list[int] = []
-        starts: list[int] = []
-        for word, known in zip(words, whole, strict=True):
-            first = len(tokens)
-            starts.append(first)
-            if known == -1:
-                end = first + len(word)
-                tokens.extend(map(single.__getitem__, word))
-                after.extend(range(first + 1, end))
-                after.append(-1)
-                before.append(-1)
-                before.extend(range(first, end - 1))
+        parts = [w for w, known in zip(words, whole, strict=True) if known == -1]
+        if not parts:
+            return [[known] if known >= 0 else [] for known in whole]
+        joined = np.frombuffer(b"".join(parts), np.uint8)
+        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+        last = np.zeros(len(joined), bool)
+        last[ends - 1] = True
+        first = np.roll(last, 1)
+        place = np.arange(len(joined))
+        tokens = self.single[joined].tolist()
+        after = np.where(last, -1, place + 1).tolist()  # next live position, -1 at a word's end
+        before = np.where(first, -1, place - 1).tolist()
 
         # The index: rank of the pair that starts at a position, and positions by rank. A
         # rank names the joined token; different splits of it merge at the same turn.
-        turn = [-1] * len(tokens)
-        where: dict[int, list[int]] = defaultdict(list)
-        for at, follows in enumerate(after):
-            if follows >= 0:
-                rank = rank_of(tokens[at] << 32 | tokens[follows], -1)
-                if rank >= 0:
-                    turn[at] = rank
-                    where[rank].append(at)
+        ranks = self.initial[joined, np.roll(joined, -1)]
+        ranks[last] = -1
+        turn = ranks.tolist()
+        order = np.argsort(ranks, kind="stable")
+        present, begins = np.unique(ranks[order], return_index=True)
+        where: dict[int, list[int]] = {
+            int(rank): spots.tolist()
+            for rank, spots in zip(present, np.split(order, begins[1:]), strict=True)
+            if rank >= 0
+        }
         queue = list(where)
-        heapq.heapify(queue)
+        heapify(queue)
         while queue:
-            rank = heapq.heappop(queue)
-            spots = where.pop(rank, None)
-            if spots is None:
-                continue
+            rank = heappop(queue)
+            spots = where.pop(rank)
             spots.sort()
             for at in spots:
                 if turn[at] != rank:
@@ -96,26 +96,33 @@ class Merges:
                 after[at] = following
                 if following >= 0:
                     before[following] = at
-                    new = rank_of(rank << 32 | tokens[following], -1)
-                    if new >= 0:
+                    new = rank_of(rank << 32 | tokens[following])
+                    if new is not None:
                         turn[at] = new
-                        if new not in where:
-                            heapq.heappush(queue, new)
-                        where[new].append(at)
+                        if new in where:
+                            where[new].append(at)
+                        else:
+                            where[new] = [at]
+                            heappush(queue, new)
                 ahead = before[at]
                 if ahead >= 0:
-                    turn[ahead] = new = rank_of(tokens[ahead] << 32 | rank, -1)
-                    if new >= 0:
-                        if new not in where:
-                            heapq.heappush(queue, new)
-                        where[new].append(ahead)
-
-        encoded = []
-        for start, known in zip(starts, whole, strict=True):
+                    new = rank_of(tokens[ahead] << 32 | rank)
+                    if new is None:
+                        turn[ahead] = -1
+                    else:
+                        turn[ahead] = new
+                        if new in where:
+                            where[new].append(ahead)
+                        else:
+                            where[new] = [ahead]
+                            heappush(queue, new)
+
+        encoded, starts = [], iter([0, *ends.tolist()])
+        for known in whole:
             if known != -1:
                 encoded.append([known] if known >= 0 else [])
                 continue
-            ids, at = [], start
+            ids, at = [], next(starts)
             while at >= 0:
                 ids.append(tokens[at])
                 at = after[at]
@@ -138,14 +145,13 @@ class Codec:
         self._find = regex.compile(pattern).findall
         self._cut = re.compile(r"(?<=\S)(?= )").split
         self._spaced = re.compile(r"\s ").search
-        self._words: dict[str, list[int]] = {}
-        self._chunks: dict[str, tuple[str, bytes]] = {}
+        self._words: dict[str, str] = {}  # ids, written in decimal
+        self._chunks: dict[str, str] = {}
+        # Decoded bytes of the chunks whose ids do not decode to the chunk itself.
+        self._changed: dict[str, bytes] = {}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text; replays the merges over words not met before."""
-        for known in (self._words, self._chunks):
-            if len(known) > KEPT_WORDS:
-                known.clear()
         found = []
         for text in texts:
             if self._spaced(text):
@@ -155,27 +161,38 @@ class Codec:
                 found.append([first, *map(" ".__add__, rest)])
             else:
                 found.append([])
-        new = set().union(*found).difference(self._chunks)
-        words = {c: self._find(c) for c in new}
-        fresh = sorted(set().union(*words.values()).difference(self._words))
+        present = set().union(*found)
+        if len(self._chunks) > KEPT_WORDS:  # what this block needs is what blocks often need
+            self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
+        words = {c: self._find(c) for c in present.difference(self._chunks)}
+        needed = set().union(*words.values())
+        if len(self._words) > KEPT_WORDS:
+            self._words = {w: self._words[w] for w in needed if w in self._words}
+        fresh = sorted(needed.difference(self._words))
         encoded = self.merges.replay([w.encode() for w in fresh])
-        self._words.update(zip(fresh, encoded, strict=True))
+        self._words.update(zip(fresh, (" ".join(map(str, e)) for e in encoded), strict=True))
+        written = self._words.__getitem__
         for chunk, these in words.items():
-            ids = [i for w in these for i in self._words[w]]
-            self._chunks[chunk] = (" ".join(map(str, ids)), self.decode(ids))
+            self._chunks[chunk] = ids = " ".join(map(written, these))
+            decoded = self.decode(map(int, ids.split()))
+            if decoded != chunk.encode():
+                self._changed[chunk] = decoded
         return found
 
     def ids(self, chunks: list[str]) -> list[int]:
-        return [int(i) for c in chunks for i in self._chunks[c][0].split()]
+        return [int(i) for c in chunks for i in self._chunks[c].split()]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_of.__getitem__, ids))
 
     def digests(self, chunks: list[str]) -> tuple[int, str, str]:
         """Number of ids, digest of the ids in decimal, digest of their decoded bytes."""
-        known = [self._chunks[c] for c in chunks if c]
-        written = " ".join([ids for ids, _ in known])
-        decoded = b"".join([text for _, text in known])
+        chunks = [c for c in chunks if c]
+        written = " ".join(map(self._chunks.__getitem__, chunks))
+        if self._changed:
+            decoded = b"".join(self._changed.get(c) or c.encode() for c in chunks)
+        else:
+            decoded = "".join(chunks).encode()
         count = written.count(" ") + 1 if written else 0
         return (count, hashlib.sha256(written.encode()).hexdigest(),
                 hashlib.sha256(decoded).hexdigest())

@@ -169,17 +169,19 @@ class PrefixCounts:
     def counts(self, texts: list[str]) -> list[int]:
         """The token count of each text: the sum of the last entries of its units' tables."""
         found = [self._split(t) for t in texts]
-        new = set().union(*found).difference(self._chunks)
+        present = set().union(*found)
+        if len(self._chunks) > KEPT_UNITS:  # what this batch needs is what batches often need
+            self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
+        new = present.difference(self._chunks)
         units = {c: self._units.findall(SPACE + c) or [SPACE] for c in new}
+        if len(self._totals) > KEPT_UNITS:
+            needed = set().union(*units.values())
+            self._totals = {u: self._totals[u] for u in needed if u in self._totals}
         self._learn(set().union(*units.values()))
         total = self._totals.__getitem__
         self._chunks.update((c, sum(map(total, u))) for c, u in units.items())
         chunk = self._chunks.__getitem__
-        made = [sum(map(chunk, these)) for these in found]
-        for known in (self._chunks, self._totals):
-            if len(known) > KEPT_UNITS:
-                known.clear()
-        return made
+        return [sum(map(chunk, these)) for these in found]
 
     def prefixes(self, text: str) -> list[int]:
         """Token counts of the prefixes of 0, 1, 2, ... code points."""
