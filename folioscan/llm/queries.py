@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscan.llm import byte_bpe, decontaminate, secrets, token_counts, toxicity, warc
+from folioscan.llm import byte_bpe, decontaminate, secrets, token_counts, topk, toxicity, warc
 from folioscan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,28 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op9_exact_topk"] = """
+    WITH v AS (
+      SELECT row_number() OVER () AS n, vec_id,
+        list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.n, q.vec_id AS query_id, v.vec_id,
+        CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+      FROM v AS q JOIN v ON q.n <> v.n WHERE q.vec_id % 50 = 0),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank
+      FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 @_query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rejected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
