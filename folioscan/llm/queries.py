@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import byte_bpe, decontaminate, secrets, token_counts, topk, toxicity, warc
+from folioscan.llm import (
+    byte_bpe, decontaminate, hmm, secrets, token_counts, topk, toxicity, warc,
+)
 from folioscan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +24,11 @@ def _query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@_query
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
