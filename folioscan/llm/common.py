@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,13 @@ def _lengths(array: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(array), 0).to_pylist()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A well-spread 64-bit hash of 64-bit integers."""
+    x = x.astype(np.uint64, copy=True)
+    with np.errstate(over="ignore"):
+        x += np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import text_of
+from folioscan.llm.common import mixed, text_of
 
 EDITS = 0.2  # of an item's words
 MIN_WORDS = 5
@@ -41,7 +41,6 @@ MAX_CELLS = 1 << 19
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
 )
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_list(text: str) -> list[bytes]:
@@ -53,16 +52,6 @@ def allowed(n_words: int) -> int:
     return int(EDITS * n_words)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A well-spread 64-bit hash of 64-bit integers."""
-    x = x.astype(np.uint64, copy=True)
-    with np.errstate(over="ignore"):
-        x += _MIX
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def embed(rows: np.ndarray, walk: int) -> np.ndarray:
     """The CGK walk over each row of word numbers: three outputs per word, 0 past the end."""
     n, width = rows.shape

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import (
-    byte_bpe, decontaminate, hmm, secrets, token_counts, topk, toxicity, warc,
+    byte_bpe, decontaminate, hmm, jaccard, secrets, token_counts, topk, toxicity, warc,
 )
 from folioscan.llm.common import table
 
@@ -68,6 +68,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_secrets"] = secrets.oracle()
 
 
+@_query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(
