@@ -35,9 +35,26 @@ def stored(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, purpose)
     df.write.option("compression", codec).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
+    """Like `stored`, with the rows of a key in one bucket, so joins on it leave them there."""
+    spark = df.sparkSession
+    path = new_folder(spark, purpose)
+    name = f"{purpose}-{path.rpartition('-')[2]}".replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(
+        buckets, key).saveAsTable(name)
+    release(spark)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs; it does so as plans are collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: str) -> list[bytes]:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as UTF-8, A-Z lower-cased.
 

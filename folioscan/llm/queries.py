@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import (
-    byte_bpe, decontaminate, hmm, jaccard, secrets, token_counts, topk, toxicity, warc,
+    byte_bpe, decontaminate, hmm, jaccard, repeats, secrets, token_counts, topk, toxicity, warc,
 )
 from folioscan.llm.common import table
 
@@ -29,6 +29,11 @@ def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.find_repeats(table(spark, sf_dir, "documents")))
+
+
 @_query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
