@@ -358,3 +358,26 @@ def components(
     return judged.select("id", "n", "key").join(first, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"))
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with one row of each group of links: the one with the smallest id, nulls last.
+
+    Rows are told apart by themselves, not by their ids, so rows that share an id but no
+    text all stay. Rows without any words link with nothing and stay. Same columns.
+    """
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"),
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"),
+        F.monotonically_increasing_id().alias("row_no"))
+    found = components(rows, "row_no", "body").select("row_no", "component_id")
+    size = found.groupBy("component_id").count().filter("count > 1").drop("count")
+    grouped = stored(found.join(size, "component_id").join(
+        rows.select("row_no", F.struct(F.col("id").isNull(), "id", "row_no").alias("rank")),
+        "row_no"), "jaccard-grouped")
+    stays = grouped.groupBy("component_id").agg(F.min("rank")["row_no"].alias("stays"))
+    leaves = grouped.join(stays, "component_id").filter("row_no <> stays").select("row_no")
+    return rows.join(leaves, "row_no", "left_anti").select(
+        *(F.col("kept")[c].alias(c) for c in docs.columns))
