@@ -11,12 +11,41 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import stored
 
 
+class Block:
+    """One row of the encoded blocks."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        self._row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
+        self.number = self._row["block"].as_py()
+
+    def array(self, name: str, kind) -> np.ndarray:
+        return np.frombuffer(self._row[name].as_buffer(), kind).astype(
+            np.int64 if kind is np.int32 else kind)
+
+    def data(self) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._row["data"].as_py())
+
+    def list(self, name: str):
+        """A list column; missing where the block has no such rows."""
+        return self._row[name].as_py() or ()
+
+    def values(self, name: str) -> pa.Array:
+        return self._row[name].values
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield Block(batch, at)
+
+
 def _distinct(low: np.ndarray, high: np.ndarray | None, shards: int):
     """Distinct entries in shard order, each entry's number among them, counts, shard begins.
 
@@ -54,9 +83,7 @@ def census(
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folioscan.llm.repeats import _block_rows
-
-        for block in _block_rows(batches):
+        for block in block_rows(batches):
             found = entries(block)
             low, high = found if isinstance(found, tuple) else (found, None)
             parts, _, count, begins = _distinct(low, high, shards)

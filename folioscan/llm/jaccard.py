@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.census import Block, block_rows, census, levels
 from folioscan.llm.common import blocks, mixed, stored, text_of, words
 from folioscan.llm.components import connected
 
@@ -82,102 +83,49 @@ def _encoded(rows: DataFrame) -> DataFrame:
                                        "numbers binary, vocabulary binary"), "jaccard-blocks")
 
 
-def _sets(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
+def _sets(block: Block) -> list[np.ndarray]:
     """The n-gram sets of one block's documents."""
-    column = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
-    vocabulary = column["vocabulary"].as_py().split(b" ")
+    vocabulary = block.array("vocabulary", np.uint8).tobytes().split(b" ")
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-    flat = hashed[np.frombuffer(column["numbers"].as_buffer(), np.int32)]
-    ends = np.cumsum(column["lengths"].values.to_numpy().astype(np.int64))
+    flat = hashed[block.array("numbers", np.int32)]
+    ends = np.cumsum(block.values("lengths").to_numpy().astype(np.int64))
     return [shingles(part) for part in np.split(flat, ends[:-1])] if len(ends) else []
 
 
-def _sharded(sets: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a block in shard order, that order, and where shards begin."""
-    entries = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    shard = ((entries >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    begins = np.searchsorted(shard[order], np.arange(shards + 1))
-    return entries[order], order, begins
-
-
-def _rarity(encoded: DataFrame, shards: int) -> DataFrame:
-    """block, classes: per entry of the block, 0 if no other document has it, else how many."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                entries, _, begins = _sharded(_sets(batch, at), shards)
-                low = entries.astype(np.uint32)
-                names = [s for s in range(shards) if begins[s] < begins[s + 1]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(names, pa.int32()),
-                    pa.array([batch.column(0)[at].as_py()] * len(names), pa.int64()),
-                    pa.array([low[begins[s]:begins[s + 1]].tobytes() for s in names],
-                             pa.binary()),
-                ], names=["shard", "block", "entries"])
-
-    def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.uint32) for b in table.column("entries").to_pylist()]
-        entries = np.concatenate(parts)
-        order = np.argsort(entries)
-        ranked = entries[order]
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        which = np.cumsum(first) - 1
-        times = np.diff(np.append(np.flatnonzero(first), len(ranked)))
-        level = np.floor(np.log2(times)).astype(np.uint8) + (times > 1)
-        found = np.empty(len(entries), np.uint8)
-        found[order] = level.astype(np.uint8)[which]
-        cuts = np.cumsum([len(p) for p in parts])[:-1]
-        return pa.table({
-            "shard": table.column("shard"), "block": table.column("block"),
-            "classes": pa.array([c.tobytes() for c in np.split(found, cuts)], pa.binary()),
-        })
-
-    dealt = encoded.mapInArrow(deal, "shard int, block bigint, entries binary")
-    counted = dealt.groupBy("shard").applyInArrow(
-        count, "shard int, block bigint, classes binary")
-    return counted.groupBy("block").agg(
-        F.collect_list(F.struct("shard", "classes")).alias("classes"))
+def _joined(sets: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
 def _candidates(encoded: DataFrame, rarity: DataFrame, shards: int, id_type: str) -> DataFrame:
     """A row per document: id, n, and for those that may have partners key, entries, prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at_classes = batch.schema.names.index("classes")
-            at_ids = batch.schema.names.index("ids")
-            for at in range(batch.num_rows):
-                sets = _sets(batch, at)
-                _, order, begins = _sharded(sets, shards)
-                level = np.zeros(len(order), np.uint8)
-                for part in batch.column(at_classes)[at].as_py() or ():
-                    level[order[begins[part["shard"]]:begins[part["shard"] + 1]]] = (
-                        np.frombuffer(part["classes"], np.uint8))
-                keys, kept, prefixes = [], [], []
-                begin = 0
-                for entries in sets:
-                    n = len(entries)
-                    rare = level[begin:begin + n]
-                    begin += n
-                    if not n or np.count_nonzero(rare) < needed(n):
-                        keys.append(None), kept.append(None), prefixes.append(None)
-                        continue
-                    data = entries.tobytes()
-                    ranked = np.lexsort((entries, rare))[:n - needed(n) + 1]
-                    shared = ranked[rare[ranked] > 0]
-                    keys.append(xxhash.xxh3_128_digest(data))
-                    kept.append(data)
-                    prefixes.append(entries[shared].view(np.int64))
-                for cut in range(0, len(sets), 1024):
-                    to = slice(cut, cut + 1024)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(at_ids)[at].values[to],
-                        pa.array([len(s) for s in sets[to]], pa.int64()),
-                        pa.array(keys[to], pa.binary()), pa.array(kept[to], pa.binary()),
-                        pa.array(prefixes[to], pa.list_(pa.int64())),
-                    ], names=["id", "n", "key", "entries", "prefix"])
+        for block in block_rows(batches):
+            sets = _sets(block)
+            level = levels(_joined(sets), None, shards, block.list("classes"))
+            keys, kept, prefixes = [], [], []
+            begin = 0
+            for entries in sets:
+                n = len(entries)
+                rare = level[begin:begin + n]
+                begin += n
+                if not n or np.count_nonzero(rare) < needed(n):
+                    keys.append(None), kept.append(None), prefixes.append(None)
+                    continue
+                data = entries.tobytes()
+                ranked = np.lexsort((entries, rare))[:n - needed(n) + 1]
+                shared = ranked[rare[ranked] > 0]
+                keys.append(xxhash.xxh3_128_digest(data))
+                kept.append(data)
+                prefixes.append(entries[shared].view(np.int64))
+            for cut in range(0, len(sets), 1024):
+                to = slice(cut, cut + 1024)
+                yield pa.RecordBatch.from_arrays([
+                    block.values("ids")[to],
+                    pa.array([len(s) for s in sets[to]], pa.int64()),
+                    pa.array(keys[to], pa.binary()), pa.array(kept[to], pa.binary()),
+                    pa.array(prefixes[to], pa.list_(pa.int64())),
+                ], names=["id", "n", "key", "entries", "prefix"])
 
     return stored(encoded.join(rarity, "block", "left").mapInArrow(
         run, f"id {id_type}, n bigint, key binary, entries binary, prefix array<bigint>"),
@@ -345,7 +293,8 @@ def components(
     size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     shards = max(8, -(-size // SHARD_BYTES))
     encoded = _encoded(rows)
-    judged = _candidates(encoded, _rarity(encoded, shards), shards, kind)
+    counted = census(encoded, lambda block: _joined(_sets(block)), shards)
+    judged = _candidates(encoded, counted, shards, kind)
     some = judged.filter("key IS NOT NULL")
     sets = some.select("key", "entries", "prefix").dropDuplicates(["key"])
     root = connected(_edges(sets))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.census import census, levels
+from folioscan.llm.census import Block, block_rows, census, levels
 from folioscan.llm.common import blocks, bucketed, mixed, stored, text_of
 
 BLOCK_BYTES = 4 << 20
@@ -161,34 +161,6 @@ def _encoded(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         + ", ".join(f"{n} binary" for n in DATA)), "block", buckets, "repeat-blocks")
 
 
-class _Block:
-    """One row of the encoded blocks."""
-
-    def __init__(self, batch: pa.RecordBatch, at: int):
-        self._row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
-        self.number = self._row["block"].as_py()
-
-    def array(self, name: str, kind) -> np.ndarray:
-        return np.frombuffer(self._row[name].as_buffer(), kind).astype(
-            np.int64 if kind is np.int32 else kind)
-
-    def data(self) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self._row["data"].as_py())
-
-    def list(self, name: str):
-        """A list column; missing where the block has no such rows."""
-        return self._row[name].as_py() or ()
-
-    def values(self, name: str) -> pa.Array:
-        return self._row[name].values
-
-
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    for batch in batches:
-        for at in range(batch.num_rows):
-            yield _Block(batch, at)
-
-
 def _units(core: np.ndarray, digest: np.ndarray, block: int, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(core[at].view(np.int64)), pa.array(digest[at].view(np.int64)),
@@ -205,7 +177,7 @@ def _shared_runs(encoded: DataFrame, shards: int) -> DataFrame:
                      lambda block: block.array("anchors", np.uint64), shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _block_rows(batches):
+        for block in block_rows(batches):
             anchors = block.array("anchors", np.uint64)
             at = np.flatnonzero(levels(anchors, None, shards, block.list("classes")))
             yield _units(anchors, block.array("digests", np.uint64), block.number, at)
@@ -217,7 +189,7 @@ def _shared_runs(encoded: DataFrame, shards: int) -> DataFrame:
 class _Parts:
     """Parts of a block's open runs: windows of about equal distance to the anchor."""
 
-    def __init__(self, block: _Block, length: int):
+    def __init__(self, block: Block, length: int):
         self.length = length
         marks = _marks(block, "marks")
         at = marks[marks[:, 3] == 1, 0]
@@ -245,7 +217,7 @@ def _shared_parts(opened: DataFrame, length: int) -> DataFrame:
     """The parts of open runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _block_rows(batches):
+        for block in block_rows(batches):
             core, full = _Parts(block, length).units(block.data())
             yield _units(core, full, block.number, np.arange(len(core)))
 
@@ -269,7 +241,7 @@ def _judged(units: DataFrame, name: str) -> DataFrame:
     ).groupBy("block").agg(F.collect_list("mark").alias(name))
 
 
-def _marks(block: _Block, name: str) -> np.ndarray:
+def _marks(block: Block, name: str) -> np.ndarray:
     """Rows of unit, copied, first, open; by unit."""
     found = block.values(name)
     if found is None:
@@ -282,7 +254,7 @@ def _marks(block: _Block, name: str) -> np.ndarray:
 class _OpenWindows:
     """The windows of a block's open parts, their classes, and the first place of each class."""
 
-    def __init__(self, block: _Block, length: int):
+    def __init__(self, block: Block, length: int):
         marks, parts = _marks(block, "parts"), _Parts(block, length)
         at = marks[marks[:, 3] == 1, 0]
         starts, counts = parts.starts[at], parts.counts[at]
@@ -336,7 +308,7 @@ def find_repeats(
     parts = stored(_judged(stored(_shared_parts(opened, length), "repeat-parts"), "parts"),
                    "repeat-marks")
 
-    def open_windows(block: _Block):
+    def open_windows(block: Block):
         found = _OpenWindows(block, length)
         return found.low, found.high
 
@@ -344,7 +316,7 @@ def find_repeats(
                      open_windows, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _block_rows(batches):
+        for block in block_rows(batches):
             data = block.data()
             starts, counts = block.array("starts", np.int32), block.array("counts", np.int32)
             change = np.zeros(len(data) + 1, np.int64)

@@ -132,7 +132,6 @@ def test_recall_at_the_allowed_distance():
                                  for i in range(60)])
     hit = 0
     for item in range(60):
-        w = [f"x{v}" for v in range(0)] or [None] * 30
         names = {n: w for w, n in index.vocabulary.items()}
         w = [names[int(n)].decode() for n in index.items[item]]
         for at in rnd.sample(range(30), decontaminate.allowed(30)):
@@ -178,8 +177,8 @@ def test_scan_of_odd_rows(odd, nothing):
 def test_ownership(llm):
     example = "AbcDefGhi0123456789example"
     rows = [(i, f"copied {example} everywhere", f"org{i}/repo") for i in range(5)]
-    rows += [(9, "mine LiveKey9876543210abcdefgh here", "me/one"),
-             (10, "mine LiveKey9876543210abcdefgh here", "me/two"),
+    rows += [(9, "mine LiveKey98765ZYXwvu43210gh here", "me/one"),
+             (10, "mine LiveKey98765ZYXwvu43210gh here", "me/two"),
              (11, "token: secretvalue123 token=ab secret: token: abcdefghijkl", None)]
     docs = llm.createDataFrame(rows, "doc_id bigint, text string, source string")
     found = {r.doc_id: r for r in secrets.scan(docs).collect()}
