@@ -193,9 +193,9 @@ def fit(
         models = fit_rows(features, marks, folds, categories)
         return pa.table({
             "category": [m.category for m in models],
-            "buckets": [m.buckets.tolist() for m in models],
-            "weights": [m.weights.tolist() for m in models],
-            "earlier": [m.earlier.tolist() for m in models],
+            "buckets": pa.array([m.buckets for m in models], pa.list_(pa.int64())),
+            "weights": pa.array([m.weights for m in models], pa.list_(pa.float64())),
+            "earlier": pa.array([m.earlier for m in models], pa.list_(pa.float64())),
             "bias": [m.bias for m in models],
         })
 
