@@ -122,8 +122,12 @@ def markdown_titles(spark, sf_dir):
     return chunking.markdown_titles(_markdown(spark, sf_dir))
 
 
-# RE2 has no possessive or back-reference; the alternatives are the same.
-_NOT_TEXT = hx.NOT_TEXT.replace("'", "''")
+# Written from the rules of markup, not from the engine's pattern: comments and elements
+# without text go first, then declarations and tags, whose quoted values may hold `>`.
+_NOT_TEXT = (
+    "(?is)<!--.*?-->|<(?:script|style|noscript)(?:\\s[^>]*)?>.*?</(?:script|style|noscript)\\s*>"
+    "|<!doctype[^>]*>|</?[a-z][a-z0-9-]*(?:[^\"''>]|\"[^\"]*\"|''[^'']*'')*>"
+)
 _PAGES_CTE = f"""page_text AS (
   SELECT CAST(page_id AS VARCHAR) AS doc_id,
          regexp_replace(regexp_replace({q.newlines("html")}, '{_NOT_TEXT}', chr(1), 'g'),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,13 +64,22 @@ def sniff_delimiter(text: Column) -> Column:
 
 
 def parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: (doc_id, text, delimiter) to (doc_id, rows of cells).
+    """For mapInPandas: (doc_id, local_path, text, delimiter) to rows of cells or an error.
 
     Quotes are respected and all values are strings; lines without a cell are dropped.
+    Fields may have any length. A file that cannot be read has no rows and the reason.
     """
+    csv.field_size_limit(sys.maxsize)
+
+    def parsed(text: str | None, mark: str) -> tuple[list[list[str]] | None, str | None]:
+        try:
+            lines = csv.reader(io.StringIO(text or "", newline=""), delimiter=mark)
+            return [row for row in lines if row], None
+        except csv.Error as problem:
+            return None, str(problem)
+
     for pdf in batches:
-        parsed = [
-            [row for row in csv.reader(io.StringIO(text), delimiter=mark) if row]
-            for text, mark in zip(pdf["text"], pdf["delimiter"])
-        ]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "rows": parsed})
+        found = [parsed(t, m) for t, m in zip(pdf["text"], pdf["delimiter"])]
+        yield pdf[["doc_id", "local_path"]].assign(
+            rows=[rows for rows, _ in found], error=[error for _, error in found]
+        )

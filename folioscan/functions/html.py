@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as tx
 
-# Everything that is not a text node. One alternation, so that whichever opens
-# first wins: a tag inside a script and a script inside a comment are both inert.
-# A quoted value may hold `>`. The group that repeats is bounded, because the regex
-# engine recurses once per repetition; a tag with more `=` ends at its first `>`.
+# What stands in a page without being text or a tag: comments and dropped elements.
+INERT = (
+    r"<!--.*?(?:-->|\z)"
+    r"|<script\b[^>]*+>.*?(?:</script\s*+>|\z)"
+    r"|<style\b[^>]*+>.*?(?:</style\s*+>|\z)"
+    r"|<noscript\b[^>]*+>.*?(?:</noscript\s*+>|\z)"
+)
+# Everything that is not a text node, as runs. One alternation, so that whichever opens
+# first wins: a tag inside a script and a script inside a comment are both inert. A quoted
+# value may hold `>`; with an odd quote the tag ends at its first `>`; a tag that never
+# ends is dropped with what follows. All is possessive: no tag is read twice over.
 NOT_TEXT = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)"
-    r"|<[!?][^>]*>"
-    r"|</?[a-z][^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*')?[^>=]*){0,200}>"
-    r"|</?[a-z][^>]*>"
+    rf"(?is)(?:{INERT}"
+    r"|<[!?][^>]*+(?:>|\z)"
+    r"|</?[a-z](?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"|</?[a-z][^>]*+(?:>|\z))++"
 )
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+TITLE = r"(?is)<title\b[^>]*+>(.*?)</title\s*+>"
 ENTITY = r"^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 
 
@@ -51,26 +55,46 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(encoded), "UTF-8")
 
 
-def _entity_character(entity: Column) -> Column:
-    """The character an entity stands for; null when it is not one."""
-    body = F.regexp_replace(entity, "[&;]", "")
-    table = json.dumps({name: chr(code) for name, code in sorted(name2codepoint.items())})
-    named = F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), body)
-    number = F.when(
-        body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)
-    ).otherwise(F.substring(body, 2, 9)).cast("bigint")
+# Names that count without their semicolon, also when more letters follow.
+BARE_NAMES = sorted(name for name in html5 if not name.endswith(";"))
+# Numbers 128 to 159 mean these, where the code page has a character.
+WINDOWS_1252 = {
+    str(n): bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(128, 160)
+}
+
+
+def _table(entries: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _numbered(body: Column) -> Column:
+    """The character of `#65` or `#x41`; leading zeros do not count."""
+    hexadecimal = body.rlike("^#[xX]")
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    fits = F.length(digits) <= F.when(hexadecimal, 6).otherwise(7)
+    number = F.when(fits & hexadecimal, F.conv(digits, 16, 10)).when(
+        fits, digits).try_cast("bigint")
     valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    return (
-        F.when(body == "amp", F.lit("&"))
-        .when(body == "lt", F.lit("<"))
-        .when(body == "gt", F.lit(">"))
-        .when(body == "quot", F.lit('"'))
-        .when(
-            body.startswith("#"),
-            F.when(valid, _code_point(number)).otherwise(F.lit("�")),
-        )
-        .otherwise(named)
-    )
+    return F.when(
+        number.between(128, 159),
+        F.try_element_at(_table(WINDOWS_1252), number.cast("string")),
+    ).when(valid, _code_point(number)).otherwise(F.lit("\ufffd"))
+
+
+def _entity_text(entity: Column) -> Column:
+    """What a reference stands for, with what is left of it; null when it is none."""
+    body = F.substring(entity, 2, F.length(entity))
+    names = _table(dict(sorted(html5.items())))
+    bare = _table({name: html5[name] for name in BARE_NAMES})
+    longest = max(map(len, BARE_NAMES))
+    begun = [
+        F.concat(F.try_element_at(bare, F.substring(body, 1, n)), F.substring(
+            body, n + 1, F.length(body)))
+        for n in range(longest, min(map(len, BARE_NAMES)) - 1, -1)
+    ]
+    return F.when(
+        body.startswith("#"), _numbered(F.regexp_replace(body, ";$", ""))
+    ).otherwise(F.coalesce(F.try_element_at(names, body), *begun))
 
 
 def decode_entities(text: Column) -> Column:
@@ -80,7 +104,7 @@ def decode_entities(text: Column) -> Column:
         entity = F.regexp_extract(part, ENTITY, 0)
         return F.when(entity == "", part).otherwise(F.coalesce(
             F.concat(
-                _entity_character(entity),
+                _entity_text(entity),
                 F.substring(part, F.length(entity) + 1, F.length(part)),
             ),
             part,
@@ -93,9 +117,10 @@ def decode_entities(text: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    """Stripped title; null when there is none or it is blank."""
+    """Stripped title outside comments and scripts; null when there is none or it is blank."""
+    shown = F.regexp_replace(html, f"(?is)(?:{INERT})++", "")
     return F.nullif(
-        tx.strip(decode_entities(F.regexp_extract(html, TITLE, 1))), F.lit("")
+        tx.strip(decode_entities(F.regexp_extract(shown, TITLE, 1))), F.lit("")
     )
 
 
@@ -105,6 +130,5 @@ def body_text(html: Column) -> Column:
     A run of adjacent tags, comments and dropped elements is one separator: there
     is no text node between its members.
     """
-    marked = F.regexp_replace(tx.universal_newlines(html), NOT_TEXT, "\x01")
-    joined = decode_entities(F.regexp_replace(marked, "\x01+", "\n"))
+    joined = decode_entities(F.regexp_replace(tx.universal_newlines(html), NOT_TEXT, "\n"))
     return tx.strip(F.regexp_replace(joined, "\n{3,}", "\n\n"))

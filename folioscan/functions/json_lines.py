@@ -7,7 +7,6 @@ so the leaves are read by the Python parser in Arrow batches.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,37 +14,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _leaves(value: Any, path: str = "") -> Iterator[str]:
-    pairs: Any = ()
-    if isinstance(value, dict):
-        pairs = ((f"{path}.{key}" if path else key, item) for key, item in value.items())
-    elif isinstance(value, list):
-        pairs = ((f"{path}[{i}]", item) for i, item in enumerate(value))
-    else:
-        shown = "" if value is None else str(value)
-        yield f"{path}: {shown}" if path else shown
-    for name, item in pairs:
-        yield from _leaves(item, name)
-
-
 def flat_text(value: Any) -> str:
-    """All leaves of a parsed value, one per line."""
-    return "\n".join(_leaves(value))
-
-
-def parse_records(raw: str, ext: str) -> list[Any]:
-    """Records of a JSON or JSON Lines text; raises on text that is neither."""
-    if not raw.strip():
-        return []
-    whole = None
-    if ext != ".jsonl":
+    """All leaves of a parsed value, one `path: value` line each, in source order.
+
+    Walks with a stack of its own, so nesting is bounded by memory only.
+    """
+    lines: list[str] = []
+    waiting = [("", value)]
+    while waiting:
+        path, item = waiting.pop()
+        match item:
+            case dict():
+                dot = "." if path else ""
+                inside = [(f"{path}{dot}{name}", part) for name, part in item.items()]
+            case list():
+                inside = [(f"{path}[{number}]", part) for number, part in enumerate(item)]
+            case _:
+                leaf = "" if item is None else str(item)
+                lines.append(f"{path}: {leaf}" if path else leaf)
+                continue
+        waiting.extend(inside[::-1])
+    return "\n".join(lines)
+
+
+def _parsed(raw: str) -> Any:
+    """A JSON value; nesting that the parser cannot follow is a ValueError too."""
+    try:
+        return json.loads(raw)
+    except RecursionError:
+        raise ValueError("JSON is nested too deeply") from None
+
+
+def file_records(raw: str, ext: str) -> list[Any]:
+    """The records of a file: of JSON Lines its lines, of JSON its items or the one value.
+
+    A .json file that is no JSON as a whole is read as lines. Raises ValueError when a
+    record does not parse.
+    """
+    if ext != ".jsonl" and raw.strip():
         try:
-            whole = json.loads(raw)
+            value = _parsed(raw)
         except json.JSONDecodeError:
-            ext = ".jsonl"
-    if ext == ".jsonl":
-        return [json.loads(line) for line in raw.splitlines() if line.strip()]
-    return whole if isinstance(whole, list) else [whole]
+            pass
+        else:
+            return value if isinstance(value, list) else [value]
+    filled = filter(str.strip, raw.splitlines())
+    return list(map(_parsed, filled))
 
 
 @F.pandas_udf(T.StringType())
@@ -54,7 +68,7 @@ def flatten_json(text: pd.Series) -> pd.Series:
 
     def one(raw: str | None) -> str | None:
         try:
-            return None if raw is None else flat_text(json.loads(raw))
+            return None if raw is None else flat_text(_parsed(raw))
         except ValueError:
             return None
 
@@ -70,7 +84,7 @@ def json_records(text: pd.Series, ext: pd.Series) -> pd.DataFrame:
     rows = []
     for raw, suffix in zip(text, ext):
         try:
-            rows.append(([flat_text(r) for r in parse_records(raw or "", suffix)], None))
+            rows.append(([flat_text(r) for r in file_records(raw or "", suffix)], None))
         except ValueError as problem:
             rows.append((None, str(problem)))
     return pd.DataFrame(rows, columns=["records", "error"])

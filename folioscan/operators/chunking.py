@@ -103,7 +103,10 @@ def record_locator(first: Column, last: Column) -> Column:
 
 
 def record_chunks(records: DataFrame, json: str = "json") -> DataFrame:
-    """Chunks of JSON records kept as rows (doc_id, record_no from 0, json)."""
+    """Chunks of JSON records kept as rows (doc_id, record_no from 0, json).
+
+    A record that is null or does not parse is in `record_rejects` instead.
+    """
     flat = records.select(
         "doc_id", "record_no", F.array(jx.flatten_json(F.col(json))).alias("items")
     )
@@ -113,6 +116,17 @@ def record_chunks(records: DataFrame, json: str = "json") -> DataFrame:
     )
 
 
+def record_rejects(records: DataFrame, json: str = "json") -> DataFrame:
+    """Records that `record_chunks` leaves out: (doc_id, record_no, error)."""
+    return records.filter(
+        F.col(json).isNull() | jx.flatten_json(F.col(json)).isNull()
+    ).select(
+        "doc_id", "record_no",
+        F.when(F.col(json).isNull(), F.lit("no record")).otherwise(F.lit("not JSON"))
+        .alias("error"),
+    )
+
+
 def table_text(cells: Column) -> Column:
     """Comma-joined rows of a table block; rows without any text are dropped."""
 

@@ -119,12 +119,15 @@ def pack_rows(
     """Pack the text items of ordered rows into chunks joined by a blank line.
 
     `items` is an array of strings per row; `position` a non-negative whole number,
-    unique within the keys. An item longer than `max_chars` is packed by itself, by
+    unique within the keys. A null item, or a null array, is no item. An item longer than `max_chars` is packed by itself, by
     paragraph. Returns keys, `ordinal`, `first_at`, `last_at` (positions of the first
     and last row of the chunk's group) and `text`.
     """
     blocks = checkpointed(
-        rows.select(*keys, F.col(position).alias("_at"), F.col(items).alias("_items"))
+        rows.select(*keys, F.col(position).alias("_at"), F.filter(
+            F.coalesce(F.col(items), F.array().cast("array<string>")),
+            lambda item: item.isNotNull(),
+        ).alias("_items"))
         .withColumn("_block", F.floor(F.col("_at") / block_rows))
         .groupBy(*keys, "_block")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "_items"))).alias("_rows"))

@@ -128,11 +128,16 @@ def _info(df: DataFrame, title: Column | None = None, pages: Column | None = Non
     )
 
 
-def _delimited(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    text = files.select("doc_id", dx.decoded(F.col("content")).alias("text"))
-    rows = text.select(
-        "doc_id", "text", dx.sniff_delimiter(F.col("text")).alias("delimiter")
-    ).mapInPandas(dx.parse_rows, "doc_id string, rows array<array<string>>")
+def _delimited(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, chunks and rejects of delimited files."""
+    text = files.select("doc_id", "local_path", dx.decoded(F.col("content")).alias("text"))
+    parsed = text.select(
+        "doc_id", "local_path", "text", dx.sniff_delimiter(F.col("text")).alias("delimiter")
+    ).mapInPandas(
+        dx.parse_rows,
+        "doc_id string, local_path string, rows array<array<string>>, error string",
+    )
+    rows = parsed.filter(F.col("error").isNull())
     body = rows.select(
         "doc_id", F.get("rows", F.lit(0)).alias("header"),
         F.posexplode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))))
@@ -141,7 +146,7 @@ def _delimited(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     count = F.greatest(F.size("rows") - 1, F.lit(0))
     return _info(rows, pages=count), chunking.delimited_chunks(
         body, chunking.joined_cells(F.col("header"))
-    )
+    ), parsed.filter(F.col("error").isNotNull())
 
 
 def extract(
@@ -188,9 +193,10 @@ def extract(
         chunks.append(chunking.html_chunks(html))
 
     if "csv" in present:
-        info, rows = _delimited(content(extensions_of("csv")))
+        info, rows, broken = _delimited(content(extensions_of("csv")))
         infos.append(info)
         chunks.append(rows)
+        reject(broken, F.col("error"))
 
     if "json" in present:
         parsed = content(extensions_of("json")).select(
@@ -253,7 +259,7 @@ def extract(
 
 
 def transcribed_pages(
-    pages: DataFrame, profile: settings.EffortProfile, transcribe: ModelFactory | None
+    pages: DataFrame, profile: settings.Tier, transcribe: ModelFactory | None
 ) -> DataFrame:
     """Pages with the text of blank ones read from their image, where the tier allows."""
     blank = tx.strip(F.coalesce("text", F.lit(""))) == ""
