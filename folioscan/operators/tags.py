@@ -12,6 +12,7 @@ from folioscan.functions.terms import keyword_tokens
 from folioscan.functions.text import let
 from folioscan.operators.chunking import document_samples
 from folioscan.operators.model_calls import ModelFactory, apply_model
+from folioscan.sources.shared import kept_once
 
 
 def _term_runs(tokens: Column) -> Column:
@@ -90,12 +91,14 @@ def enrich(
         "doc_id", F.lit(None).cast("string").alias("summary")
     ).distinct()
     if profile.enrich_summary and summarise:
-        answers = apply_model(sampled, "sample", "summary", "string", summarise, profile.text_model)
+        answers = kept_once(apply_model(
+            sampled, "sample", "summary", "string", summarise, profile.text_model))
         summaries = answers.select("doc_id", tx.strip(F.col("summary")).alias("summary"))
 
     if not (profile.enrich_tags and tag):
         return summaries, keywords.select("doc_id", "tag")
-    answers = apply_model(sampled, "sample", "tags", "array<string>", tag, profile.text_model)
+    answers = kept_once(apply_model(
+        sampled, "sample", "tags", "array<string>", tag, profile.text_model))
     failed = answers.filter(F.col("error").isNotNull()).select("doc_id")
     answered = answers.filter(F.col("error").isNull()).select(
         "doc_id", F.explode(F.array_distinct(normalised_tags(F.col("tags")))).alias("tag")

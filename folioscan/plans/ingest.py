@@ -91,7 +91,10 @@ def store_extracted(
     summarise: ModelFactory | None,
     tag: ModelFactory | None,
 ) -> IngestTotals:
-    """Write extracted documents and everything derived from them."""
+    """Write extracted documents and everything derived from them.
+
+    The documents table decides which files count as known, so it is written last.
+    """
     documents = checkpointed(document_rows(listing, found.info, effort))
     touched = documents.select("doc_id")
     if not keep_history:
@@ -105,7 +108,6 @@ def store_extracted(
     )
     # Everything that follows reads the chunks from storage, not from the files.
     catalog.replace("chunks", found.chunks, touched, parts)
-    catalog.replace("documents", current, touched, parts)
     catalog.replace("doc_metadata", found.metadata, touched, parts)
     vectors = catalog.table("chunk_embeddings").limit(0)
     catalog.replace("chunk_embeddings", vectors, touched, parts)
@@ -119,11 +121,10 @@ def store_extracted(
         summaries, tagged = tags.enrich(stored, effort, summarise, tag)
         catalog.replace("tags", tagged, touched, parts)
         if settings.effort_profile(effort).enrich_summary and summarise:
-            answered = checkpointed(summaries.filter(F.col("summary").isNotNull()))
-            rows = catalog.table("documents").join(answered.select("doc_id"), "doc_id", "left_semi")
-            catalog.replace(
-                "documents", upserts.update_summaries(rows, answered), answered
-            )
+            answered = summaries.filter(F.col("summary").isNotNull())
+            current = upserts.update_summaries(current, answered)
+    # Last, as the mark that all else is there: a run that dies before is repeated in full.
+    catalog.replace("documents", current, touched, parts)
     rejects = checkpointed(found.rejects)
     return IngestTotals(
         documents=documents.count(), chunks=stored.count(), failed=rejects.count(),

@@ -23,6 +23,7 @@ from folioscan.functions import text as tx
 from folioscan.operators import chunking
 from folioscan.operators.joins import is_small
 from folioscan.operators.model_calls import ModelFactory, apply_model
+from folioscan.sources.shared import kept_once
 
 
 INFO = "doc_id string, title string, author string, page_count int"
@@ -210,9 +211,9 @@ def extract(
 
     images = listing.filter(F.col("source_type") == "image").select("doc_id", "local_path")
     if "image" in present and transcribe:
-        seen = apply_model(
+        seen = kept_once(apply_model(
             images, "local_path", "text", "string", transcribe, profile.vision_model
-        )
+        ))
         good = seen.filter(F.col("error").isNull())
         infos.append(_info(good))
         chunks.append(chunking.image_chunks(good))
@@ -234,7 +235,9 @@ def extract(
         absent = named.join(rows.select("local_path"), "local_path", "left_anti")
         reject(absent, F.lit(f"no extracted content was given for {kind} files"))
         if kind == "pdf":
-            given = transcribed_pages(given, profile, transcribe)
+            given, unread = transcribed_pages(given, profile, transcribe)
+            reject(unread, F.concat(
+                F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), F.col("error")))
             totals = chunking.page_totals(given)
             infos.append(_info(totals, pages=F.col("page_count")))
             chunks.append(chunking.page_chunks(given))
@@ -260,16 +263,24 @@ def extract(
 
 def transcribed_pages(
     pages: DataFrame, profile: settings.Tier, transcribe: ModelFactory | None
-) -> DataFrame:
-    """Pages with the text of blank ones read from their image, where the tier allows."""
+) -> tuple[DataFrame, DataFrame]:
+    """Pages with the text of blank ones read from their image, where the tier allows.
+
+    The second table has the pages whose transcription failed, with the error; they keep
+    their blank text.
+    """
     blank = tx.strip(F.coalesce("text", F.lit(""))) == ""
     columns = ["doc_id", "page_no", "text"]
+    plain = pages.select(*columns, F.lit(False).alias("is_ocr"))
     if not (profile.ocr_fallback and transcribe and "image" in pages.columns):
-        return pages.select(*columns, F.lit(False).alias("is_ocr"))
-    seen = apply_model(
-        pages.filter(blank).select("doc_id", "page_no", "image"),
+        return plain, pages.limit(0).select(
+            "doc_id", "local_path", "page_no", F.lit(None).cast("string").alias("error"))
+    seen = kept_once(apply_model(
+        pages.filter(blank).select("doc_id", "local_path", "page_no", "image"),
         "image", "text", "string", transcribe, profile.vision_model,
-    )
+    ))
+    failed = F.col("error").isNotNull()
     return pages.filter(~blank).select(*columns, F.lit(False).alias("is_ocr")).unionByName(
-        seen.select(*columns, F.lit(True).alias("is_ocr"))
-    )
+        seen.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text"),
+                    (~failed).alias("is_ocr"))
+    ), seen.filter(failed).select("doc_id", "local_path", "page_no", "error")

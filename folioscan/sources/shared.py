@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder for a master of one machine, else an error:
+    executors elsewhere could not read what the driver's machine holds.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.conf.get("spark.folioscan.scratch", None) is None:
         spark.conf.set("spark.folioscan.scratch", tempfile.mkdtemp(prefix="folioscan-"))
     return spark.conf.get("spark.folioscan.scratch")
@@ -29,3 +35,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there; for answers that cost money."""
+    path = new_folder(df.sparkSession, "answers")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

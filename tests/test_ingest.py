@@ -136,3 +136,86 @@ def test_changed_file_replaces_its_rows(spark, tmp_path):
     os.utime(source / "b.txt", (2_000_000_000, 2_000_000_000))
     ingest_folder(made, str(source), keep_history=True)
     assert made.table("documents").count() == 3
+
+
+def test_broken_files_are_rejects(spark, tmp_path):
+    (tmp_path / "bare.csv").write_bytes(b'a,b\n1,"x\ry"\n2,z\rw\n')
+    (tmp_path / "long.csv").write_text("a,b\n1," + "x" * 200_000 + "\n")
+    (tmp_path / "deep.json").write_text("[" * 50_000)
+    (tmp_path / "null.csv").write_bytes(b"a\x00,b\n1,2\n")
+    (tmp_path / "good.txt").write_text("fine")
+    made = Catalog(spark, str(tmp_path / "cat"), parts=2)
+    totals = ingest_folder(made, f"{tmp_path}/*.*")
+    failed = {r["local_path"].rpartition("/")[2] for r in totals.rejects.collect()}
+    assert "deep.json" in failed and not failed & {"long.csv", "good.txt"}
+    known = {r["filename"] for r in made.table("documents").collect()}
+    assert {"long.csv", "good.txt"} <= known and not known & failed
+    longest = max(len(r["text"]) for r in made.table("chunks").collect())
+    assert longest > 200_000
+
+
+def test_a_run_that_dies_is_repeated(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("words of the first file")
+    made = Catalog(spark, str(tmp_path / "cat"), parts=2)
+    real = Catalog.refresh_statistics
+
+    def dies(self, parts):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(Catalog, "refresh_statistics", dies)
+    try:
+        ingest_folder(made, str(source))
+    except RuntimeError:
+        pass
+    assert made.table("documents").count() == 0
+    monkeypatch.setattr(Catalog, "refresh_statistics", real)
+    assert ingest_folder(made, str(source)).documents == 1
+    assert made.table("chunks").count() == 1 and made.table("term_stats").count() > 0
+    assert ingest_folder(made, str(source)).documents == 0
+
+
+def test_models_are_called_once_per_input(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("a", "b", "c"):
+        (source / f"{name}.txt").write_text(f"text of {name} " * 5)
+    (source / "x.png").write_bytes(b"png")
+
+    def factory(kind):
+        def make(model):
+            def answer(inputs):
+                import uuid
+
+                for _ in inputs:
+                    (calls / f"{kind}-{uuid.uuid4().hex}").touch()
+                return [["Tag"] if kind == "tag" else kind for _ in inputs]
+
+            return answer
+
+        return make
+
+    made = Catalog(spark, str(tmp_path / "cat"), parts=2)
+    ingest_folder(made, str(source), effort="high", transcribe=factory("see"),
+                  summarise=factory("sum"), tag=factory("tag"))
+    kinds = [p.name[:3] for p in calls.iterdir()]
+    assert (kinds.count("see"), kinds.count("sum"), kinds.count("tag")) == (1, 4, 4)
+    assert {r["summary"] for r in made.table("documents").collect()} == {"sum"}
+
+
+def test_failed_pages_are_rejects(spark, folder, extracted):
+    def factory(model):
+        def fails(paths):
+            raise OSError("no such image")
+
+        return fails
+
+    found = extract(list_folder(spark, str(folder)), folder_content(spark, str(folder)),
+                    "high", transcribe=factory, **extracted)
+    errors = [r["error"] for r in found.rejects.collect() if "scanned" in r["local_path"]]
+    assert errors == ["page 1: OSError: no such image"]
+    counted = [r for r in found.metadata.collect() if r["key"] == "ocr_pages"]
+    assert counted == []
