@@ -228,12 +228,12 @@ def cosine_search(spark, sf_dir):
 {q.ranked("dense_scores", "dense", LIMIT)}
 SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM dense""")
 def cosine_all_vectors(spark, sf_dir):
-    """Nearest neighbours of every stored vector, several passes over the queries."""
+    """Nearest neighbours of every stored vector, in blocks of queries."""
     vectors = r.plain_vectors(spark, sf_dir)
     queries = r.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), "embedding"
     )
-    return dense.search_batch(vectors, queries, LIMIT, per_pass=300).withColumn(
+    return dense.search_batch(vectors, queries, LIMIT, per_block=300).withColumn(
         "score", F.round("score", 6)
     )
 

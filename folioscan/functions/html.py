@@ -55,8 +55,6 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(encoded), "UTF-8")
 
 
-# Names that count without their semicolon, also when more letters follow.
-BARE_NAMES = sorted(name for name in html5 if not name.endswith(";"))
 # Numbers 128 to 159 mean these, where the code page has a character.
 WINDOWS_1252 = {
     str(n): bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(128, 160)
@@ -82,19 +80,11 @@ def _numbered(body: Column) -> Column:
 
 
 def _entity_text(entity: Column) -> Column:
-    """What a reference stands for, with what is left of it; null when it is none."""
-    body = F.substring(entity, 2, F.length(entity))
-    names = _table(dict(sorted(html5.items())))
-    bare = _table({name: html5[name] for name in BARE_NAMES})
-    longest = max(map(len, BARE_NAMES))
-    begun = [
-        F.concat(F.try_element_at(bare, F.substring(body, 1, n)), F.substring(
-            body, n + 1, F.length(body)))
-        for n in range(longest, min(map(len, BARE_NAMES)) - 1, -1)
-    ]
-    return F.when(
-        body.startswith("#"), _numbered(F.regexp_replace(body, ";$", ""))
-    ).otherwise(F.coalesce(F.try_element_at(names, body), *begun))
+    """The text a whole reference stands for; null when it is none."""
+    body = F.regexp_replace(entity, "[&;]", "")
+    names = _table({name.rstrip(";"): shown for name, shown in sorted(html5.items())})
+    return F.when(body.startswith("#"), _numbered(body)).otherwise(
+        F.try_element_at(names, body))
 
 
 def decode_entities(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +13,8 @@ from folioscan import settings
 from folioscan.functions import vectors as vx
 from folioscan.operators.ranking import stable_score, top_k
 
-# Query vectors travel to the tasks inside the function, this many at a time.
-QUERIES_PER_PASS = 1024
+# Query vectors in one block of the grid.
+QUERIES_PER_BLOCK = 1024
 ROWS_PER_PRODUCT = 4096
 
 
@@ -66,73 +65,70 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
 
 
-def _pass(embeddings: DataFrame, queries: list, kind: str, k: int) -> DataFrame:
-    """Best `k` per query and task, by one matrix product per batch of vectors."""
-    names = [row["query_id"] for row in queries]
-    matrix = np.array([row["embedding"] for row in queries], dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1)
-    usable = np.flatnonzero(lengths > 0)
-    unit = matrix[usable] / lengths[usable, None]
+def _blocks(rows: DataFrame, columns: list[str], size: int, prefix: str) -> DataFrame:
+    """Rows with an `embedding` packed into blocks of one width, `size` rows at most.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    Zero vectors have no direction and are left out; the others get unit length.
+    """
+    names = [f"{prefix}_{c}" for c in columns]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), ROWS_PER_PRODUCT):
-                part = batch.iloc[start:start + ROWS_PER_PRODUCT]
-                block = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(block, axis=1)
-                some = size > 0
-                block = block[some] / size[some, None]
-                ids = part["chunk_id"].to_numpy(dtype=object)[some]
-                docs = part["doc_id"].to_numpy(dtype=object)[some]
-                found = np.round(unit @ block.T, settings.SCORE_DIGITS)
-                for at, scores in enumerate(found):
-                    top = _best(scores, ids, k)
-                    new = (scores[top], ids[top], docs[top])
-                    if at in best:
-                        new = tuple(np.concatenate(pair) for pair in zip(best[at], new))
-                        top = _best(new[0], new[1], k)
-                        new = tuple(column[top] for column in new)
-                    best[at] = new
-        for at, (scores, ids, docs) in best.items():
-            yield pd.DataFrame({
-                "query_id": [names[usable[at]]] * len(ids), "chunk_id": ids,
-                "doc_id": docs, "score": scores,
-            })
-
-    return embeddings.select("chunk_id", "doc_id", "embedding").mapInPandas(
-        scan, f"query_id {kind}, chunk_id string, doc_id string, score double"
-    )
+            widths = batch["embedding"].map(len)
+            for width, group in batch.groupby(widths):
+                for start in range(0, len(group), size):
+                    part = group.iloc[start:start + size]
+                    matrix = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                    length = np.linalg.norm(matrix, axis=1)
+                    some = length > 0
+                    unit = matrix[some] / length[some, None]
+                    yield pd.DataFrame({
+                        "width": [width], f"{prefix}_cells": [unit.tobytes()],
+                        **{n: [part[c].to_numpy(dtype=object)[some].tolist()]
+                           for c, n in zip(columns, names)},
+                    })
+
+    schema = f"width int, {prefix}_cells binary, " + ", ".join(
+        f"{n} array<{kinds[c]}>" for c, n in zip(columns, names))
+    return rows.select(*columns, "embedding").filter(
+        F.col("embedding").isNotNull()).mapInPandas(run, schema)
 
 
 def search_batch(
-    embeddings: DataFrame, queries: DataFrame, k: int, per_pass: int = QUERIES_PER_PASS
+    embeddings: DataFrame, queries: DataFrame, k: int, per_block: int = QUERIES_PER_BLOCK
 ) -> DataFrame:
     """Exact top-k cosine for a table of query vectors (query_id, embedding).
 
-    Each task keeps `k` rows per query, so pairs never reach a shuffle. The query
-    side is read in passes of at most `per_pass` vectors; the vectors are scanned
-    once per pass.
+    Blocks of queries meet blocks of vectors in a grid that an equi-join on a part number
+    spreads over the tasks; the driver sees neither side. A cell is one matrix product and
+    keeps `k` rows per query, so pairs never reach a shuffle. Rows that share a query_id
+    are answered together.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    slim = queries.select("query_id", vx.as_double(F.col("embedding")).alias("embedding"))
-    first = slim.limit(per_pass + 1).collect()
-    if len(first) <= per_pass:
-        passes = [first]
-    else:
-        n, largest = math.ceil(slim.count() / per_pass), per_pass + 1
-        while largest > per_pass:
-            n *= 2
-            part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-            largest = slim.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0]
-        passes = (slim.filter(part == i).collect() for i in range(n))
-    found = None
-    for chosen in passes:
-        if chosen:
-            scores = _pass(embeddings, chosen, kind, k)
-            found = scores if found is None else found.unionByName(scores)
-    if found is None:
-        found = embeddings.sparkSession.createDataFrame(
-            [], f"query_id {kind}, chunk_id string, doc_id string, score double"
-        )
+    parts = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = _blocks(embeddings, ["chunk_id", "doc_id"], ROWS_PER_PRODUCT, "v").withColumn(
+        "part", F.pmod(F.xxhash64("v_cells"), F.lit(parts)).cast("int"))
+    asked = _blocks(
+        queries.select("query_id", vx.as_double(F.col("embedding")).alias("embedding")),
+        ["query_id"], per_block, "q",
+    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cell in batch.itertuples(index=False):
+                block = np.frombuffer(cell.v_cells).reshape(-1, cell.width)
+                query = np.frombuffer(cell.q_cells).reshape(-1, cell.width)
+                ids, docs = (np.array(x, dtype=object) for x in (cell.v_chunk_id, cell.v_doc_id))
+                found = np.round(query @ block.T, settings.SCORE_DIGITS)
+                tops = [_best(scores, ids, k) for scores in found]
+                at = np.concatenate(tops) if tops else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(len(tops)), [len(t) for t in tops])
+                yield pd.DataFrame({
+                    "query_id": np.array(cell.q_query_id, dtype=object)[row],
+                    "chunk_id": ids[at], "doc_id": docs[at], "score": found[row, at],
+                })
+
+    found = vectors.join(asked, ["part", "width"]).mapInPandas(
+        products, f"query_id {kind}, chunk_id string, doc_id string, score double")
     return top_k(found, k)

@@ -237,3 +237,63 @@ def test_profiles():
     assert settings.effort_profile("HIGH").ocr_fallback is True
     with pytest.raises(ValueError):
         settings.effort_profile("medium")
+
+
+def test_html_of_broken_markup(spark):
+    many = "<a " + " ".join(f'x{i}="v>{i}"' for i in range(50_000)) + ">hello"
+    pages = [many, "before <a href='x' " * 3, "<p>x\x01y</p>z", "<a " * 100_000,
+             '<b title="a>b">t</b><i x="q>r', "<!-- never closed <p>text"]
+    shown = [r.c0 for r in run(spark, pages, hx.body_text(F.col("text")))]
+    assert shown == ["hello", "before", "x\x01y\nz", "", "t\nr", ""]
+
+
+def test_html_references_equal_the_standard(spark):
+    import html as standard
+
+    parts = ["&#0000000065;", "&#x000000041;", "&apos;", "&#150;", "&#129;", "&#x110000;", "&#0;",
+             "&not;", "&amp;lt;", "&nbsp;x", "&unknown;", "&amp x", "&copy",
+             "&CounterClockwiseContourIntegral;", "&#xD800;", "& ;", "&;", "&#;", "&fjlig;"]
+    shown = [r.c0 for r in run(spark, parts, hx.decode_entities(F.col("text")))]
+    want = [standard.unescape(p) for p in parts]
+    assert dict(zip(parts, shown)) == dict(zip(parts, want))
+    # Only whole names count, with or without the semicolon.
+    others = ["&hellip x", "&notit;", "&ampx"]
+    shown = [r.c0 for r in run(spark, others, hx.decode_entities(F.col("text")))]
+    assert shown == ["\u2026 x", "&notit;", "&ampx"]
+
+
+def test_title_outside_comments_and_scripts(spark):
+    page = ("<!-- <title>old</title> --><script>'<title>s</title>'</script>"
+            "<title>new &amp; x</title>")
+    assert run(spark, [page], hx.title(F.col("text")))[0].c0 == "new & x"
+
+
+def test_bad_records_are_rejects_and_cost_nothing_else(spark):
+    from folioscan.operators import chunking
+
+    good = ['{"t": "%s"}' % (c * 500) for c in "abcdefg"]
+    rows = [("d", i, j) for i, j in enumerate([*good[:3], "{broken", *good[3:], None, "[" * 9999])]
+    records = spark.createDataFrame(rows, "doc_id string, record_no bigint, json string")
+    chunks = chunking.record_chunks(records).orderBy("ordinal").collect()
+    assert [c.locator for c in chunks] == [
+        "records 1-2", "records 3-5", "records 6-7", "record 8"]
+    assert all(len(c.text) <= 1200 for c in chunks)
+    rejects = {(r.record_no, r.error) for r in chunking.record_rejects(records).collect()}
+    assert rejects == {(3, "not JSON"), (8, "no record"), (9, "not JSON")}
+
+
+def test_null_blocks_are_no_blocks(spark):
+    from folioscan.operators import chunking
+
+    rows = [("d", i, "para", t, None) for i, t in enumerate(["one", None, "two", " ", "three"])]
+    blocks = spark.createDataFrame(
+        rows, "doc_id string, block_no bigint, kind string, text string, "
+              "cells array<array<string>>")
+    assert [c.text for c in chunking.block_chunks(blocks).collect()] == ["one\n\ntwo\n\nthree"]
+
+
+def test_flat_json_nested(spark):
+    value = '{"a": {"b": [1, null, {"c": true}]}, "d": 1.50, "e": [], "f": ""}'
+    flat = run(spark, [value, "7", "[]"], jx.flatten_json(F.col("text")))
+    assert [r.c0 for r in flat] == [
+        "a.b[0]: 1\na.b[1]: \na.b[2].c: True\nd: 1.5\nf: ", "7", ""]

@@ -88,8 +88,8 @@ def test_hashing_embedder_equals_python(spark):
     np.testing.assert_allclose(got, [toy_embed(t) for t in texts], rtol=1e-12)
 
 
-@pytest.mark.parametrize("per_pass", [1000, 3])
-def test_batch_search_equals_brute_force(spark, per_pass):
+@pytest.mark.parametrize("per_block", [1000, 3])
+def test_batch_search_equals_brute_force(spark, per_block):
     rng = np.random.default_rng(0)
     vectors = rng.integers(-2, 3, (400, 6)).astype(float)
     queries = rng.integers(-2, 3, (9, 6)).astype(float)
@@ -99,7 +99,7 @@ def test_batch_search_equals_brute_force(spark, per_pass):
         "chunk_id string, doc_id string, embedding array<float>").repartition(5)
     table = spark.createDataFrame(
         [(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, embedding array<float>")
-    found = dense.search_batch(rows, table, 5, per_pass).collect()
+    found = dense.search_batch(rows, table, 5, per_block).collect()
     got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in found}
     expected = {}
     for q, query in enumerate(queries):
@@ -110,3 +110,17 @@ def test_batch_search_equals_brute_force(spark, per_pass):
     assert got.keys() == expected.keys()
     for key, (chunk, score) in expected.items():
         assert got[key][0] == chunk and got[key][1] == pytest.approx(score, abs=1e-8)
+
+
+def test_batch_search_of_odd_rows(spark):
+    schema = "chunk_id string, doc_id string, embedding array<float>"
+    rows = spark.createDataFrame(
+        [("a", "d", [1.0, 0.0]), ("b", "d", [0.0, 0.0]), ("c", "d", None), ("e", "d", [1.0])],
+        schema)
+    # The same id many times, more often than a block holds.
+    table = spark.createDataFrame([(1, [2.0, 0.0])] * 7 + [(2, [0.0, 0.0]), (3, None)],
+                                  "query_id bigint, embedding array<float>")
+    found = dense.search_batch(rows, table, 2, per_block=3).collect()
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in found} == {(1, "a", 1.0)}
+    assert dense.search_batch(rows.limit(0), table, 2).count() == 0
+    assert dense.search_batch(rows, table.limit(0), 2).count() == 0
