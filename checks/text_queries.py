@@ -215,6 +215,31 @@ def flat_json(spark, sf_dir):
     )
 
 
+@check("""SELECT event_id, 'a.b[0]: ' || event_id || chr(10) || 'a.b[1]: ' || chr(10)
+  || 'a.b[2].c: True' || chr(10) || 'p.k: ' || json_extract_string(props, '$.k') || chr(10)
+  || 'f: ' AS flat FROM events""")
+def nested_json(spark, sf_dir):
+    """Objects, arrays, null, a boolean, an empty array and an empty text, nested."""
+    value = F.concat(
+        F.lit('{"a": {"b": ['), F.col("event_id").cast("string"),
+        F.lit(', null, {"c": true}]}, "p": '), F.col("props"), F.lit(', "e": [], "f": ""}'))
+    return r.table(spark, sf_dir, "events").select(
+        "event_id", jx.flatten_json(value).alias("flat"))
+
+
+@check("""SELECT event_type AS doc_id, event_id AS record_no,
+  CASE WHEN event_id % 11 = 0 THEN 'no record' ELSE 'not JSON' END AS error
+FROM events WHERE event_id % 11 = 0 OR event_id % 7 = 0""")
+def record_rejects(spark, sf_dir):
+    """Records that are null or do not parse, of a table where some are."""
+    number = F.col("event_id")
+    json = F.when(number % 11 == 0, F.lit(None)).when(
+        number % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    records = r.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("doc_id"), number.alias("record_no"), json.alias("json"))
+    return chunking.record_rejects(records)
+
+
 _RECORDS_CTE = """recs AS (
   SELECT event_type AS doc_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1
            AS record_no,
