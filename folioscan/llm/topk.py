@@ -27,6 +27,8 @@ SEGMENTS = 8  # per dimension
 BLOCK_CELLS = 1 << 19  # components in a block of vectors
 QUERY_CELLS = 1 << 15
 CHECK_EVERY = 64  # segments between two attempts at a proof
+RESCORED = 32  # a proof that leaves this part of a block is enough
+GROUP = 64  # queries that are processed together
 
 
 class ImpactIndex:
@@ -42,45 +44,57 @@ class ImpactIndex:
         self.low = ordered[:, self.begins]  # least component of each segment
         self.high = ordered[:, self.ends - 1]
 
-    def search(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[list, int]:
-        """The best k (score, id) of rows not marked `own`, and the segments processed."""
-        n = len(self.ids)
+    def search(
+        self, queries: np.ndarray, k: int, own: np.ndarray
+    ) -> tuple[list[list[tuple[int, int]]], int]:
+        """The best k (score, id) for each query, and how many segments were processed.
+
+        The queries of a group share one order of segments, by the largest impact that any
+        of them gives. `own` has the row that a query must not meet, or -1.
+        """
+        n, asked = len(self.ids), np.arange(len(queries))
         # Product bounds of a segment; a negative weight turns the ends around.
-        weight = query[:, None]
-        top = np.where(weight >= 0, weight * self.high, weight * self.low)
-        bottom = np.where(weight >= 0, weight * self.low, weight * self.high)
+        weight = queries.T[:, None, :]
+        ends = weight * self.low[:, :, None], weight * self.high[:, :, None]
+        top, bottom = np.maximum(*ends), np.minimum(*ends)
         least = bottom.min(axis=1)
-        impact = top - least[:, None]
-        order = np.argsort(-impact, axis=None, kind="stable")
-        dims, parts = np.unravel_index(order, impact.shape)
-        sums = np.full(n, int(least.sum()), np.int64)  # no row scores less than this
-        gain = bottom - least[:, None]
-        error = top - bottom
-        # Still to gain, for a row that no segment of a dimension has covered yet.
-        ahead = impact.max(axis=1).astype(np.int64)
-        left = np.full(n, int(ahead.sum()), np.int64)
-        counted = ~own
-        live = int(counted.sum())
-        if not live:
-            return [], 0
-        k = min(k, live)
+        gain, impact = bottom - least[:, None], top - least[:, None]
+        # Still to gain, for a row that no segment of a dimension has covered yet; a row
+        # that one has covered keeps the rounding open.
+        ahead = impact.max(axis=1)
+        settled = ahead[:, None] - (impact - gain)
+        order = np.argsort(-impact.max(axis=2), axis=None, kind="stable")
+        dims, parts = np.unravel_index(order, impact.shape[:2])
+        sums = np.repeat(least.sum(axis=0)[None], n, axis=0)  # no row scores less than this
+        left = np.repeat(ahead.sum(axis=0)[None], n, axis=0)
+        lowest = np.iinfo(np.int64).min // 4
+        mine = own >= 0
+        sums[own[mine], asked[mine]] = lowest
+
+        def possible() -> np.ndarray:
+            at = max(0, n - k)
+            floor = np.partition(sums, at, axis=0)[at]
+            return (sums + left >= floor) & (sums > lowest // 2)
+
         done = 0
         for d, s in zip(dims.tolist(), parts.tolist(), strict=True):
             rows = self.order[d, self.begins[s]:self.ends[s]]
             sums[rows] += gain[d, s]
-            left[rows] -= ahead[d] - error[d, s]  # only the rounding stays open
+            left[rows] -= settled[d, s]
             done += 1
-            if done % CHECK_EVERY == 0:
-                lows = sums[counted]
-                floor = np.partition(lows, live - k)[live - k]
-                if np.count_nonzero((sums + left)[counted] >= floor) <= 4 * k:
-                    break  # proof: everything else stays below the k-th best
-        floor = np.partition(sums[counted], live - k)[live - k]
-        possible = np.flatnonzero(counted & (sums + left >= floor))
-        score = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return list(zip(score[best].tolist(), self.ids[possible][best].tolist(),
-                        strict=True)), done
+            if done % CHECK_EVERY == 0 and (
+                possible().sum(axis=0).max() <= max(4 * k, n // RESCORED)
+            ):
+                break  # proof: every other row stays below the k-th best
+        found = []
+        members = possible()
+        for q in asked.tolist():
+            rows = np.flatnonzero(members[:, q])
+            score = self.vectors[rows] @ queries[q]
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            found.append(list(zip(score[best].tolist(), self.ids[rows][best].tolist(),
+                                  strict=True)))
+        return found, done
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -165,9 +179,16 @@ def search(
                     index = ImpactIndex(v_ids, cells)
                 asked = np.frombuffer(row[6], np.int64).reshape(len(q_ids), width)
                 out: list[tuple] = []
-                for q, number, query in zip(q_ids.tolist(), q_rows.tolist(), asked, strict=True):
-                    best, _ = index.search(query, k, v_rows == number)
-                    out.extend((q, number, id_, score) for score, id_ in best)
+                place = {number: i for i, number in enumerate(v_rows.tolist())}
+                own = np.array([place.get(r, -1) for r in q_rows.tolist()], np.int64)
+                for cut in range(0, len(asked), GROUP):
+                    to = slice(cut, cut + GROUP)
+                    best, _ = index.search(asked[to], k, own[to])
+                    out.extend(
+                        (q, number, id_, score)
+                        for q, number, scored in zip(
+                            q_ids[to].tolist(), q_rows[to].tolist(), best, strict=True)
+                        for score, id_ in scored)
                 columns = zip(*out, strict=True) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in columns],

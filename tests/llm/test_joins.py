@@ -190,13 +190,16 @@ def test_search_small(llm):
     assert topk.search(one, F.col("vec_id") == 0).count() == 0
 
 
-def test_search_stops_on_proof():
+def test_search_stops_on_proof(monkeypatch):
+    monkeypatch.setattr(topk, "RESCORED", 4)
+    monkeypatch.setattr(topk, "CHECK_EVERY", 8)
     rnd = np.random.default_rng(1)
     vectors = np.zeros((4000, 16), np.int64)
     vectors[:, 0] = np.arange(4000)
     vectors[:, 1:] = rnd.integers(0, 2, (4000, 15))
     query = np.array([1000] + [1] * 15)
-    best, done = topk.ImpactIndex(np.arange(4000), vectors).search(
-        query, 5, np.zeros(4000, bool))
+    found, done = topk.ImpactIndex(np.arange(4000), vectors).search(
+        query[None], 5, np.array([-1]))
     want = sorted(zip((-(vectors @ query)).tolist(), range(4000), strict=True))[:5]
-    assert best == [(-s, i) for s, i in want]
+    assert found == [[(-s, i) for s, i in want]]
+    assert done < 16 * topk.SEGMENTS
