@@ -36,6 +36,7 @@ PERCENT = 75
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 24 << 20  # of text whose n-grams one counting shard gets
 SHARD_ROWS = 1000  # documents in a block of a product
+BROADCAST_ROWS = 1_000_000
 
 
 class _Numbers(dict):
@@ -327,6 +328,9 @@ def representatives(
         rows.select("row_no", F.struct(F.col("id").isNull(), "id", "row_no").alias("rank")),
         "row_no"), "jaccard-grouped")
     stays = grouped.groupBy("component_id").agg(F.min("rank")["row_no"].alias("stays"))
-    leaves = grouped.join(stays, "component_id").filter("row_no <> stays").select("row_no")
-    return rows.join(leaves, "row_no", "left_anti").select(
+    leaves = stored(grouped.join(stays, "component_id").filter("row_no <> stays").select(
+        "row_no"), "jaccard-leaves")
+    # Row numbers only; beyond the bound both sides are shuffled instead.
+    few = leaves.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(leaves) if few else leaves, "row_no", "left_anti").select(
         *(F.col("kept")[c].alias(c) for c in docs.columns))
