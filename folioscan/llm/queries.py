@@ -79,6 +79,32 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_jaccard_join"] = r"""
+    WITH RECURSIVE split AS (
+      SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+      FROM documents),
+    grams AS (
+      SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i
+            FROM split WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    shared AS (
+      SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS overlap
+      FROM grams AS x JOIN grams AS y USING (gram) WHERE x.doc_id <> y.doc_id
+      GROUP BY x.doc_id, y.doc_id),
+    links AS (
+      SELECT a, b FROM shared JOIN sizes AS x ON a = x.doc_id JOIN sizes AS y ON b = y.doc_id
+      WHERE 100 * overlap >= 75 * (x.n + y.n - overlap)),
+    reach AS (
+      SELECT doc_id AS a, doc_id AS b FROM documents
+      UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(b) AS component_id
+    FROM documents AS d LEFT JOIN sizes USING (doc_id) JOIN reach ON d.doc_id = reach.a
+    GROUP BY d.doc_id, n"""
+
+
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(
