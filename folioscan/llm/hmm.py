@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.llm.common import blocks, stored, text_of, words
+from folioscan.llm.common import blocks, bucketed, text_of, words
 
 STATES = 4
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 16 << 20
+STEP_TOKENS = 1 << 19  # of sequences whose forward states are held at once
 START_DOCS = 1500
 START_BYTES = 6 << 20
 START_ROUNDS = 12
@@ -220,7 +221,20 @@ def _counted(
     """A block's row with the expected counts of its training documents."""
     states = len(chain.first)
     train = np.repeat(~held, lengths)
-    counts, moves, begins = _Sequences(ids[train], lengths[~held]).expect(chain, emit)
+    order = np.flatnonzero(~held)
+    order = order[np.argsort(-lengths[order], kind="stable")]
+    begins_at = np.cumsum(lengths) - lengths
+    group = (np.cumsum(lengths[order]) - 1) // STEP_TOKENS
+    counts = np.zeros((len(emit), states))
+    moves, begins = np.zeros((states, states)), np.zeros(states)
+    for number in np.unique(group):
+        part = order[group == number]
+        some = np.concatenate([ids[begins_at[d]:begins_at[d] + lengths[d]] for d in part])
+        for total, found in zip(
+            (counts, moves, begins), _Sequences(some, lengths[part]).expect(chain, emit),
+            strict=True,
+        ):
+            total += found
     seen = np.bincount(ids[train], minlength=len(emit)).astype(np.int32)
     fields = dict(fields) | {
         "counts": pa.array([seen], pa.list_(pa.int32())),
@@ -229,13 +243,13 @@ def _counted(
         "occupied": pa.array([counts.sum(axis=0)], pa.list_(pa.float64())),
     } | {
         f"e{k}": pa.array([counts[:, k].astype(np.float32)], pa.list_(pa.float32()))
-        for k in range(states)
+        for k in range(states - 1)  # the last one is what remains of the count
     }
     return pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
 
 
 def _block_schema(states: int, id_type: str) -> str:
-    expected = ", ".join(f"e{k} array<float>" for k in range(states))
+    expected = ", ".join(f"e{k} array<float>" for k in range(states - 1))
     return (f"block bigint, doc_ids array<{id_type}>, held array<boolean>, lengths array<int>, "
             "ids binary, vocabulary string, counts array<int>, moves array<double>, "
             f"begins array<double>, occupied array<double>, {expected}")
@@ -291,7 +305,7 @@ class Totals:
 
 def _exchange(encoded: DataFrame, states: int) -> tuple[DataFrame, Totals]:
     """Each block with its vocabulary's counts over the corpus, and the corpus figures."""
-    expected = [f"e{k}" for k in range(states)]
+    expected = [f"e{k}" for k in range(states - 1)]
     listed = encoded.select("block", F.inline(F.arrays_zip(
         F.split("vocabulary", " ").alias("word"),
         F.sequence(F.lit(0), F.size("counts") - 1).alias("place"),
@@ -300,12 +314,17 @@ def _exchange(encoded: DataFrame, states: int) -> tuple[DataFrame, Totals]:
     same = Window.partitionBy("word")
     summed = listed.select(
         "block", "place", F.sum("counts").over(same).alias("seen"),
+        F.count("*").over(same).alias("holders"),
         F.row_number().over(same.orderBy("block")).alias("nth"),
         *(F.sum(F.col(e).cast("double")).over(same).cast("float").alias(e) for e in expected))
-    model = stored(summed.groupBy("block").agg(
-        F.collect_list(F.struct("place", "seen", *expected)).alias("model"),
+    # A word of one block has its sums there already; nulls are not collected, and all
+    # lists of a block have one order.
+    returned = ["place", "seen", *expected]
+    model = bucketed(summed.groupBy("block").agg(
+        *(F.collect_list(F.when(F.col("holders") > 1, F.col(c))).alias(f"all_{c}")
+          for c in returned),
         F.count(F.when((F.col("nth") == 1) & (F.col("seen") > 0), 1)).alias("words"),
-    ), "hmm-model")
+    ), "block", _buckets(encoded), "hmm-model")
 
     def figures(column: str, size: int) -> list[Column]:
         return [F.sum(F.col(column)[i]).alias(f"{column}{i}") for i in range(size)]
@@ -322,20 +341,25 @@ def _exchange(encoded: DataFrame, states: int) -> tuple[DataFrame, Totals]:
     moves = read("moves", states * states).reshape(states, states)
     totals = Totals(row["tokens"] or 0, words_in_all, _chain(moves, read("begins", states)),
                     read("occupied", states))
-    return encoded.select("block", "doc_ids", "held", "lengths", "ids", "vocabulary").join(
-        model.select("block", "model"), "block"), totals
+    return encoded.drop("moves", "begins", "occupied").join(
+        model.drop("words"), "block"), totals
+
+
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _unpacked(batch: pa.RecordBatch, at: int, states: int):
     """Ids, lengths, held flags, word counts and expected counts of one block's row."""
     row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
-    model = row["model"].values
-    place = model.field("place").to_numpy()
-    seen = np.zeros(len(place), np.int64)
-    seen[place] = model.field("seen").to_numpy()
-    expected = np.zeros((len(place), states))
-    for k in range(states):
-        expected[place, k] = model.field(f"e{k}").to_numpy()
+    place = row["all_place"].values.to_numpy()
+    seen = row["counts"].values.to_numpy().astype(np.int64)
+    seen[place] = row["all_seen"].values.to_numpy()
+    expected = np.zeros((len(seen), states))
+    for k in range(states - 1):
+        expected[:, k] = row[f"e{k}"].values.to_numpy()
+        expected[place, k] = row[f"all_e{k}"].values.to_numpy()
+    expected[:, -1] = np.maximum(0, seen - expected.sum(axis=1))
     ids = np.frombuffer(row["ids"].as_buffer(), np.int32)
     lengths = row["lengths"].values.to_numpy().astype(np.int64)
     held = row["held"].values.to_numpy(zero_copy_only=False)
@@ -375,10 +399,12 @@ def score(
         F.col(id_col).alias("id"), text_of(text_col).alias("body")
     ).withColumn("held", is_held_out(F.col("id")))
     kind = rows.schema["id"].dataType.simpleString()
-    encoded = stored(_first_round(rows, states), "hmm-blocks")
+    encoded = bucketed(
+        _first_round(rows, states), "block", _buckets(rows), "hmm-blocks")
     joined, totals = _exchange(encoded, states)
     for _ in range(rounds - 1):
-        encoded = stored(_next_round(joined, totals, states, kind), "hmm-blocks")
+        encoded = bucketed(_next_round(joined, totals, states, kind), "block", _buckets(rows),
+                           "hmm-blocks")
         joined, totals = _exchange(encoded, states)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -402,6 +428,6 @@ def score(
                 ], names=names)
                 yield from full.to_batches(max_chunksize=8192)
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, "
+    return joined.drop("vocabulary").mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, "
                                   "n_known bigint, train_tokens bigint, base_score double, "
                                   "score double")
