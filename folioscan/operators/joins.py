@@ -11,16 +11,13 @@ SALTS = 32
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no more than that.
+    """Whether `df` has at most `max_rows` rows; a partial aggregate, no row is moved.
 
     Text columns count too: their total length must stay below BROADCAST_CHARS.
     """
     texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
     chars = sum((F.coalesce(F.length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(0))
-    rows, size = (
-        df.select(chars.alias("chars")).limit(max_rows + 1)
-        .agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
-    )
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
     return rows <= max_rows and size <= BROADCAST_CHARS
 
 

@@ -21,11 +21,12 @@ def result_rows(
     """
     small = max_rows is not None and max_rows <= BROADCAST_RESULTS
     side = F.broadcast if small else (lambda df: df)
-    payload = chunks.select("chunk_id", "locator", "text")
-    found = payload.join(side(ranked), "chunk_id")
     about = documents.select("doc_id", "filename", "source_type", "source_uri", "summary")
-    # The joined rows are as few as the ranked ones, so they are the side to send.
-    return about.join(side(found), "doc_id").select(
+    facts = about.join(side(ranked), "doc_id")
+    # Only ids are sent to where the text lies; the few texts then meet the few facts.
+    texts = chunks.select("chunk_id", "locator", "text").join(
+        side(ranked.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return facts.join(texts, "chunk_id").select(
         *[c for c in ("query_id", "rank") if c in ranked.columns], *schemas.RESULT_COLUMNS
     )
 

@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.conf.get("spark.folioscan.scratch", None) is None:
         spark.conf.set("spark.folioscan.scratch", tempfile.mkdtemp(prefix="folioscan-"))

@@ -220,3 +220,14 @@ def test_streams(spark, tmp_path):
     assert {r["text"] for r in made.table("chunks").collect()} == {"first file", "second file"}
     assert made.table("chunk_embeddings").count() == 2
     assert made.setting("embedding_model") == HASHING_MODEL
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti", "left"])
+def test_join_small_gives_the_same_rows_either_way(spark, how):
+    big = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, v int")
+    other = spark.createDataFrame([(0, "a"), (2, "b"), (2, "c"), (9, "d")], "k int, w string")
+    ways = [
+        sorted(map(str, joins.join_small(big, other, ["k"], F.col("v"), small, how).collect()))
+        for small in (True, False)
+    ]
+    assert ways[0] == ways[1] and ways[0]
