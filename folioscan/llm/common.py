@@ -50,6 +50,12 @@ def bucketed(df: DataFrame, key: str, buckets: int, purpose: str) -> DataFrame:
     return spark.table(name)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one that no later plan reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs; it does so as plans are collected."""
     spark.sparkContext._jvm.System.gc()

@@ -3,39 +3,41 @@
 Texts are encoded once into blocks: documents as numbers of the block's own vocabulary. A
 Baum-Welch round runs forward and backward inside each block and yields expected counts of
 (state, word) for its vocabulary, which are summed over blocks by word; the sums return to
-the blocks that hold the word. So no task and no driver ever holds the whole vocabulary, and
-what is shuffled is a row per block and distinct word, never a row per token.
+the blocks that hold the word. So no task and no driver ever holds the whole vocabulary.
+
+Words are dealt by hash over shares. A share numbers its words once; after that a block and a
+share exchange arrays of counts in the order of the block's words, a row per block and share,
+never words again and never a row per token.
 
 The scaled forward recursion then gives the exact likelihood of every sequence: the sum over
 all state paths. Words have, in each state, the expected counts smoothed by the unigram
 distribution with one further place for every word not seen in training.
 
-Expectation needs a start that tells the states apart. It comes from a few local rounds over
-a bounded sample of training documents (`START_DOCS`, `START_BYTES`); all counts and
-probabilities of the model itself come from the rounds over the whole corpus.
+Expectation needs a start that tells the states apart: a hash of each word gives its weight in
+each state. No sample takes part; rounds over all training documents go on until the
+likelihood of the training corpus has settled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from folioscan.llm.common import blocks, bucketed, text_of, words
+from folioscan.llm.common import blocks, bucketed, discard, mixed, release, text_of, words
+from folioscan.sources.shared import new_folder
 
 STATES = 4
 BLOCK_BYTES = 16 << 20
 STEP_TOKENS = 1 << 19  # of sequences whose forward states are held at once
-START_DOCS = 1500
-START_BYTES = 6 << 20
-START_ROUNDS = 12
-START_PIECE = 256  # longest sequence of the start's rounds
+SETTLED = 1e-3  # gain of a round in log10 likelihood per training token that ends training
+SEED = 7
 END = b""  # the token that ends every text; words are never empty
 
 
@@ -79,7 +81,10 @@ class _Sequences:
         return given
 
     def expect(self, chain: Chain, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of (word, state), of moves and of first states."""
+        """Expected counts of (word, state), of moves and of first states.
+
+        The log10 likelihood under `emit` is left in `likelihood`.
+        """
         states = len(chain.first)
         first, move = chain.first.astype(np.float32), chain.move.astype(np.float32)
         forward, scales = [], []
@@ -91,6 +96,7 @@ class _Sequences:
             state /= scale
             forward.append(state)
             scales.append(scale)
+        self.likelihood = float(sum(np.log10(s.astype(np.float64)).sum() for s in scales))
         moves = np.zeros((states, states))
         shares: list[np.ndarray] = []
         back = np.zeros((0, states), np.float32)
@@ -136,36 +142,56 @@ def _encode(texts: list[str], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Start:
-    """The sample's model: how likely each word is in each state, against all states."""
+    """A model of texts in memory: how likely each word is in each state, against all states."""
 
     chain: Chain
     numbers: dict[bytes, int]
     ratio: np.ndarray
 
 
-def start_model(texts: list[str], states: int, seed: int = 7) -> Start:
-    """Baum-Welch on a sample, from random emissions; pieces of texts are the sequences."""
+def _hashes(vocabulary: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, vocabulary), np.uint32)
+
+
+def start_ratio(hashes: np.ndarray, states: int, seed: int = SEED) -> np.ndarray:
+    """A weight of every word in every state, from its hash alone: Gamma(2), mean 1."""
+    draw = np.arange(2 * states, dtype=np.int64) + np.int64(seed * 1_000)
+    bits = mixed(mixed(hashes)[:, None] ^ mixed(draw)[None, :])
+    uniform = ((bits >> np.uint64(11)).astype(np.float64) + 1) / 2.0 ** 53
+    return -0.5 * np.log(uniform).reshape(len(hashes), states, 2).sum(axis=2)
+
+
+def _start_chain(states: int) -> Chain:
+    return Chain(np.full(states, 1 / states),
+                 np.full((states, states), 0.1 / states) + 0.9 * np.eye(states))
+
+
+def start_model(texts: list[str], states: int, seed: int = SEED) -> Start:
+    """The training of `score` over texts in memory, which tests hold against the jobs."""
     numbers = _Numbers()
     ids, lengths = _encode(texts, numbers)
-    pieces = [
-        min(START_PIECE, length - cut)
-        for length in lengths.tolist() for cut in range(0, length, START_PIECE)
-    ]
-    sequences = _Sequences(ids, np.array(pieces, np.int64))
-    share = np.bincount(ids, minlength=len(numbers)) + 1.0
-    share /= share.sum()
-    ratio = np.random.default_rng(seed).gamma(2.0, 0.5, (len(numbers), states))
-    chain = Chain(np.full(states, 1 / states), np.full((states, states), 0.1 / states)
-                  + 0.9 * np.eye(states))
-    for _ in range(START_ROUNDS if len(ids) else 0):
+    sequences = _Sequences(ids, lengths)
+    seen = np.bincount(ids, minlength=len(numbers))
+    share = (seen + 1) / (len(ids) + len(numbers) + 1)
+    ratio, chain = start_ratio(_hashes(numbers), states, seed), _start_chain(states)
+    found: list[float] = []
+    while len(ids) and not _settled(found, len(ids)):
         counts, moves, begins = sequences.expect(chain, ratio.astype(np.float32))
-        smooth = len(numbers)
-        # Against the overall share, so that a word the sample lacks counts as neutral.
-        ratio = (counts / share[:, None] + smooth) / (counts.sum(axis=0) + smooth)
-        chain = _chain(moves, begins)
+        totals = Totals(len(ids), len(numbers), _chain(moves, begins), counts.sum(axis=0))
+        ratio, chain = totals.emit(seen, counts) / share[:, None], totals.chain
+        found.append(sequences.likelihood)
     return Start(chain, dict(numbers), ratio.astype(np.float32))
 
 
+def _settled(found: list[float], tokens: int) -> bool:
+    """Whether training ends, from the likelihoods of the rounds so far.
+
+    The first one is that of the start, which is no distribution. Likelihoods are bounded and
+    each further round must gain, so training ends without a limit on the rounds.
+    """
+    return not tokens or (len(found) > 2 and found[-1] - found[-2] < SETTLED * tokens)
+
+
 def _chain(moves: np.ndarray, begins: np.ndarray) -> Chain:
     first, move = begins + 1.0, moves + 1.0
     return Chain(first / first.sum(), move / move.sum(axis=1, keepdims=True))
@@ -176,97 +202,40 @@ def is_held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
-def _start(rows: DataFrame, states: int) -> Start:
-    """The start model of the training documents with the smallest hashes of their ids."""
-    chosen = (
-        rows.filter(~F.col("held")).select("id").filter(F.col("id").isNotNull()).distinct()
-        .orderBy(F.xxhash64("id"), "id").limit(START_DOCS))  # bounded, so it may be broadcast
-    sample = rows.filter(~F.col("held")).join(F.broadcast(chosen), "id").filter(
-        F.octet_length("body") <= START_BYTES // 16).select(
-        F.xxhash64("id").alias("rank"), "id", "body")
-
-    def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rank", "ascending"), ("body", "ascending")])
-        texts, held = [], 0
-        for text in table.column("body").to_pylist():
-            held += len(text)
-            if held > START_BYTES:
-                break
-            texts.append(text)
-        start = start_model(texts, states)
-        names = sorted(start.numbers, key=start.numbers.__getitem__)
-        return pa.table({
-            "words": [[w.decode() for w in names]],
-            "ratio": pa.array([start.ratio.ravel()], pa.list_(pa.float32())),
-            "first": [start.chain.first.tolist()],
-            "move": [start.chain.move.ravel().tolist()],
-        })
-
-    found = sample.groupBy(F.lit(0).alias("all")).applyInArrow(
-        train, "words array<string>, ratio array<float>, first array<double>, "
-               "move array<double>").collect()  # the vocabulary of at most START_BYTES
-    if not found:
-        return start_model([], states)
-    row = found[0]
-    return Start(
-        Chain(np.array(row.first), np.array(row.move).reshape(states, states)),
-        {w.encode(): i for i, w in enumerate(row.words)},
-        np.array(row.ratio, np.float32).reshape(-1, states))
-
-
-def _counted(
-    fields: dict[str, pa.Array], ids: np.ndarray, lengths: np.ndarray, held: np.ndarray,
-    chain: Chain, emit: np.ndarray,
-) -> pa.RecordBatch:
-    """A block's row with the expected counts of its training documents."""
+def _expected(
+    ids: np.ndarray, lengths: np.ndarray, held: np.ndarray, chain: Chain, emit: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of a block's training documents, and its figures for `Totals`."""
     states = len(chain.first)
-    train = np.repeat(~held, lengths)
     order = np.flatnonzero(~held)
     order = order[np.argsort(-lengths[order], kind="stable")]
     begins_at = np.cumsum(lengths) - lengths
     group = (np.cumsum(lengths[order]) - 1) // STEP_TOKENS
-    counts = np.zeros((len(emit), states))
+    counts, likelihood = np.zeros((len(emit), states)), 0.0
     moves, begins = np.zeros((states, states)), np.zeros(states)
     for number in np.unique(group):
         part = order[group == number]
         some = np.concatenate([ids[begins_at[d]:begins_at[d] + lengths[d]] for d in part])
+        sequences = _Sequences(some, lengths[part])
         for total, found in zip(
-            (counts, moves, begins), _Sequences(some, lengths[part]).expect(chain, emit),
-            strict=True,
+            (counts, moves, begins), sequences.expect(chain, emit), strict=True,
         ):
             total += found
-    seen = np.bincount(ids[train], minlength=len(emit)).astype(np.int32)
-    fields = dict(fields) | {
-        "counts": pa.array([seen], pa.list_(pa.int32())),
-        "moves": pa.array([moves.ravel()], pa.list_(pa.float64())),
-        "begins": pa.array([begins], pa.list_(pa.float64())),
-        "occupied": pa.array([counts.sum(axis=0)], pa.list_(pa.float64())),
-    } | {
-        f"e{k}": pa.array([counts[:, k].astype(np.float32)], pa.list_(pa.float32()))
-        for k in range(states - 1)  # the last one is what remains of the count
-    }
-    return pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
-
-
-def _block_schema(states: int, id_type: str) -> str:
-    expected = ", ".join(f"e{k} array<float>" for k in range(states - 1))
-    return (f"block bigint, doc_ids array<{id_type}>, held array<boolean>, lengths array<int>, "
-            "ids binary, vocabulary string, counts array<int>, moves array<double>, "
-            f"begins array<double>, occupied array<double>, {expected}")
-
-
-def _first_round(rows: DataFrame, states: int) -> DataFrame:
-    """Blocks of encoded documents with expected counts under the start model."""
-    start = rows.sparkSession.sparkContext.broadcast(_start(rows, states))
+        likelihood += sequences.likelihood
+    return counts, np.concatenate(
+        [moves.ravel(), begins, counts.sum(axis=0), [likelihood]])
+
+
+def _encoded(rows: DataFrame) -> DataFrame:
+    """Blocks of encoded documents with the words' counts in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = start.value
         for number, block in enumerate(blocks(batches, "body", BLOCK_BYTES)):
             numbers = _Numbers()
             ids, lengths = _encode(block.column("body").to_pylist(), numbers)
             held = np.array(block.column("held").to_pylist(), bool)
-            place = np.array([known.numbers.get(w, -1) for w in numbers], np.int64)
-            emit = np.where(place[:, None] >= 0, known.ratio[place], np.float32(1))
+            train = np.repeat(~held, lengths)
+            seen = np.bincount(ids[train], minlength=len(numbers)).astype(np.int32)
             name = TaskContext.get().partitionId() << 32 | number
             fields = {
                 "block": pa.array([name], pa.int64()),
@@ -275,11 +244,15 @@ def _first_round(rows: DataFrame, states: int) -> DataFrame:
                 "lengths": pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())),
                 "ids": pa.array([ids.tobytes()], pa.binary()),
                 "vocabulary": pa.array([b" ".join(numbers).decode()]),
+                "counts": pa.array([seen.tobytes()], pa.binary()),
+                "hashes": pa.array([_hashes(numbers).tobytes()], pa.binary()),
             }
-            yield _counted(fields, ids, lengths, held, known.chain, emit)
+            yield pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, _block_schema(states, kind))
+    return rows.mapInArrow(
+        run, f"block bigint, doc_ids array<{kind}>, held array<boolean>, lengths array<int>, "
+             "ids binary, vocabulary string, counts binary, hashes binary")
 
 
 def _one(column: pa.ChunkedArray) -> pa.ListArray:
@@ -298,136 +271,249 @@ class Totals:
 
     def emit(self, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         """Probability of words in each state, from their counts over the corpus."""
-        share = (seen + 1) / (self.tokens + self.vocabulary + 1)
         smooth = self.vocabulary + 1
-        return (expected + smooth * share[:, None]) / (self.occupied + smooth)
-
-
-def _exchange(encoded: DataFrame, states: int) -> tuple[DataFrame, Totals]:
-    """Each block with its vocabulary's counts over the corpus, and the corpus figures."""
-    expected = [f"e{k}" for k in range(states - 1)]
-    listed = encoded.select("block", F.inline(F.arrays_zip(
-        F.split("vocabulary", " ").alias("word"),
-        F.sequence(F.lit(0), F.size("counts") - 1).alias("place"),
-        "counts", *expected)))
-    # At most a row per block and word, so even the most frequent word has few.
-    same = Window.partitionBy("word")
-    summed = listed.select(
-        "block", "place", F.sum("counts").over(same).alias("seen"),
-        F.count("*").over(same).alias("holders"),
-        F.row_number().over(same.orderBy("block")).alias("nth"),
-        *(F.sum(F.col(e).cast("double")).over(same).cast("float").alias(e) for e in expected))
-    # A word of one block has its sums there already; nulls are not collected, and all
-    # lists of a block have one order.
-    returned = ["place", "seen", *expected]
-    model = bucketed(summed.groupBy("block").agg(
-        *(F.collect_list(F.when(F.col("holders") > 1, F.col(c))).alias(f"all_{c}")
-          for c in returned),
-        F.count(F.when((F.col("nth") == 1) & (F.col("seen") > 0), 1)).alias("words"),
-    ), "block", _buckets(encoded), "hmm-model")
-
-    def figures(column: str, size: int) -> list[Column]:
-        return [F.sum(F.col(column)[i]).alias(f"{column}{i}") for i in range(size)]
-
-    seen = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    row = encoded.agg(
-        F.sum(seen).alias("tokens"), *figures("moves", states * states),
-        *figures("begins", states), *figures("occupied", states)).first()
-    words_in_all = model.agg(F.sum("words")).first()[0] or 0
-
-    def read(column: str, size: int) -> np.ndarray:
-        return np.array([row[f"{column}{i}"] or 0.0 for i in range(size)])
-
-    moves = read("moves", states * states).reshape(states, states)
-    totals = Totals(row["tokens"] or 0, words_in_all, _chain(moves, read("begins", states)),
-                    read("occupied", states))
-    return encoded.drop("moves", "begins", "occupied").join(
-        model.drop("words"), "block"), totals
+        return (expected + smooth * self.share(seen)[:, None]) / (self.occupied + smooth)
+
+    def share(self, seen: np.ndarray) -> np.ndarray:
+        """Probability of words in the corpus, whatever the state."""
+        return (seen + 1) / (self.tokens + self.vocabulary + 1)
 
 
 def _buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _unpacked(batch: pa.RecordBatch, at: int, states: int):
-    """Ids, lengths, held flags, word counts and expected counts of one block's row."""
-    row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
-    place = row["all_place"].values.to_numpy()
-    seen = row["counts"].values.to_numpy().astype(np.int64)
-    seen[place] = row["all_seen"].values.to_numpy()
-    expected = np.zeros((len(seen), states))
-    for k in range(states - 1):
-        expected[:, k] = row[f"e{k}"].values.to_numpy()
-        expected[place, k] = row[f"all_e{k}"].values.to_numpy()
+def _dealt(hashes: np.ndarray, shares: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """A block's words in the order of their shares, and each share's part of that order."""
+    share = (mixed(hashes) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    names, begins = np.unique(share[order], return_index=True)
+    ends = [*begins[1:].tolist(), len(order)]
+    return order, [(n, slice(b, e)) for n, b, e in zip(
+        names.tolist(), begins.tolist(), ends, strict=True)]
+
+
+def _array(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([_array(v, kind) for v in column])
+
+
+def _cut(values: np.ndarray, sizes: list[int]) -> pa.Array:
+    """An array as the bytes of its parts."""
+    ends = np.cumsum(sizes).tolist()
+    return pa.array([values[e - n:e].tobytes() for e, n in zip(ends, sizes, strict=True)],
+                    pa.binary())
+
+
+def _numbered(encoded: DataFrame, shares: int) -> DataFrame:
+    """The words of every block and share as numbers of the share, with corpus counts.
+
+    `tokens` and `words` are figures of the share, in one of its rows.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, vocabulary, counts, hashes in zip(*batch.columns, strict=True):
+                found = vocabulary.as_py().encode().split(b" ")
+                seen = _array(counts, np.int32)
+                order, parts = _dealt(_array(hashes, np.uint32), shares)
+                at = order.tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([n for n, _ in parts], pa.int64()),
+                    pa.array([block.as_py()] * len(parts), pa.int64()),
+                    pa.array([b" ".join([found[i] for i in at[p]]) for _, p in parts],
+                             pa.binary()),
+                    pa.array([seen[order[p]].tobytes() for _, p in parts], pa.binary()),
+                ], names=["share", "block", "words", "counts"])
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        lists = [w.as_py().split(b" ") for w in table.column("words")]
+        sizes = [len(x) for x in lists]
+        slots = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        slots = slots.indices.to_numpy()
+        seen = np.bincount(
+            slots, weights=_joined(table.column("counts"), np.int32)).astype(np.int64)
+        others = [0] * (len(sizes) - 1)
+        return pa.table([
+            table.column("share"), table.column("block"), _cut(slots.astype(np.int32), sizes),
+            _cut(seen[slots], sizes), pa.array([int(seen.sum()), *others], pa.int64()),
+            pa.array([int((seen > 0).sum()), *others], pa.int64()),
+        ], names=["share", "block", "slots", "seen", "tokens", "words"])
+
+    dealt = encoded.select("block", "vocabulary", "counts", "hashes").mapInArrow(
+        deal, "share bigint, block bigint, words binary, counts binary")
+    return dealt.groupBy("share").applyInArrow(
+        number, "share bigint, block bigint, slots binary, seen binary, tokens bigint, "
+                "words bigint")
+
+
+_SENT = "share bigint, block bigint, expected binary, figures array<double>"
+_MODEL = "block bigint, share bigint, seen binary, expected binary, figures array<double>"
+
+
+def _sent(
+    block: int, order: np.ndarray, parts: list[tuple[int, slice]], counts: np.ndarray,
+    figures: np.ndarray,
+) -> pa.Table:
+    """A block's expected counts for each share; the last state is what remains of a count."""
+    counts = np.ascontiguousarray(counts[order, :-1], np.float32)
+    return pa.table([
+        pa.array([n for n, _ in parts], pa.int64()),
+        pa.array([block] * len(parts), pa.int64()),
+        pa.array([counts[p].tobytes() for _, p in parts], pa.binary()),
+        pa.array([figures, *[None] * (len(parts) - 1)], pa.list_(pa.float64())),
+    ], names=["share", "block", "expected", "figures"])
+
+
+def _summed(numbered: DataFrame, sent: DataFrame, states: int) -> DataFrame:
+    """Counts summed by word over all blocks, as they return to the blocks."""
+
+    def run(slots: pa.Table, sent: pa.Table) -> pa.Table:
+        slots, sent = slots.sort_by("block"), sent.sort_by("block")
+        at = _joined(slots.column("slots"), np.int32)
+        expected = _joined(sent.column("expected"), np.float32).reshape(len(at), states - 1)
+        total = np.stack([np.bincount(at, expected[:, k]) for k in range(states - 1)], 1)
+        sizes = [len(_array(s, np.int32)) for s in slots.column("slots")]
+        return pa.table([
+            slots.column("block"), slots.column("share"), slots.column("seen"),
+            _cut(total.astype(np.float32)[at], sizes), sent.column("figures"),
+        ], names=["block", "share", "seen", "expected", "figures"])
+
+    return numbered.select("share", "block", "slots", "seen").groupBy("share").cogroup(
+        sent.groupBy("share")).applyInArrow(run, _MODEL)
+
+
+def _unpacked(block: pa.Table, model: pa.Table, shares: int, states: int):
+    """Ids, lengths, held flags, word counts and expected counts of one block, and its deal."""
+    model = model.sort_by("share")
+    order, parts = _dealt(_array(block["hashes"][0], np.uint32), shares)
+    seen = np.zeros(len(order), np.int64)
+    seen[order] = _joined(model.column("seen"), np.int64)
+    expected = np.zeros((len(order), states))
+    expected[order, :-1] = _joined(model.column("expected"), np.float32).reshape(
+        len(order), states - 1)
     expected[:, -1] = np.maximum(0, seen - expected.sum(axis=1))
-    ids = np.frombuffer(row["ids"].as_buffer(), np.int32)
-    lengths = row["lengths"].values.to_numpy().astype(np.int64)
-    held = row["held"].values.to_numpy(zero_copy_only=False)
-    return ids, lengths, held, seen, expected
+    return *_documents(block), seen, expected, order, parts
+
 
+def _documents(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = _array(block["ids"][0], np.int32)
+    lengths = block["lengths"][0].values.to_numpy().astype(np.int64)
+    return ids, lengths, block["held"][0].values.to_numpy(zero_copy_only=False)
 
-def _next_round(joined: DataFrame, totals: Totals, states: int, id_type: str) -> DataFrame:
-    """Expected counts of every block under the corpus model of the round before."""
-    kept = ["block", "doc_ids", "held", "lengths", "ids", "vocabulary"]
+
+_KEPT = ["block", "held", "lengths", "ids", "hashes"]
+
+
+def _first_round(encoded: DataFrame, states: int, shares: int) -> DataFrame:
+    """What every block sends under the hashed start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, lengths, held, seen, expected = _unpacked(batch, at, states)
-                fields = {n: batch.column(batch.schema.names.index(n)).slice(at, 1) for n in kept}
-                # Only ratios between states matter here.
-                emit = totals.emit(seen, expected)
-                emit /= emit.max(axis=1, keepdims=True)
-                yield _counted(fields, ids, lengths, held, totals.chain,
-                               emit.astype(np.float32))
+                block = pa.Table.from_batches([batch.slice(at, 1)])
+                ids, lengths, held = _documents(block)
+                hashes = _array(block["hashes"][0], np.uint32)
+                counts, figures = _expected(
+                    ids, lengths, held, _start_chain(states),
+                    start_ratio(hashes, states).astype(np.float32))
+                yield from _sent(block["block"][0].as_py(), *_dealt(hashes, shares), counts,
+                                 figures).to_batches()
+
+    return encoded.select(*_KEPT).mapInArrow(run, _SENT)
+
+
+def _next_round(
+    encoded: DataFrame, model: DataFrame, totals: Totals, states: int, shares: int
+) -> DataFrame:
+    """What every block sends under the corpus model of the round before."""
+
+    def run(block: pa.Table, model: pa.Table) -> pa.Table:
+        ids, lengths, held, seen, expected, order, parts = _unpacked(
+            block, model, shares, states)
+        # Against the share of the word: only ratios between states matter for the counts,
+        # and the likelihoods of all rounds lack the same factor.
+        emit = totals.emit(seen, expected) / totals.share(seen)[:, None]
+        counts, figures = _expected(ids, lengths, held, totals.chain, emit.astype(np.float32))
+        return _sent(block["block"][0].as_py(), order, parts, counts, figures)
+
+    return encoded.select(*_KEPT).groupBy("block").cogroup(
+        model.drop("figures").groupBy("block")).applyInArrow(run, _SENT)
+
+
+def _totals(model: DataFrame, tokens: int, vocabulary: int, states: int) -> tuple[Totals, float]:
+    """Figures of the corpus after a round, and its likelihood under the model before."""
+    size = states * states + 2 * states + 1
+    row = model.agg(*(F.sum(F.col("figures")[i]).alias(f"f{i}") for i in range(size))).first()
+    figures = np.array([x or 0.0 for x in row])
+    moves, begins, occupied, likelihood = np.split(
+        figures, np.cumsum([states * states, states, states]))
+    return Totals(tokens, vocabulary, _chain(moves.reshape(states, states), begins),
+                  occupied), float(likelihood[0])
 
-    return joined.mapInArrow(run, _block_schema(states, id_type))
+
+def _written(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    path = new_folder(spark, "hmm-model")
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def score(
-    docs: DataFrame, states: int = STATES, rounds: int = 1, id_col: str = "doc_id",
+    docs: DataFrame, states: int = STATES, rounds: int | None = None, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Train on the documents that are not held out and score every whole text.
 
+    `rounds` over the training corpus, by default until its likelihood has settled.
+
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (unigram, add one) and
     score: log10 of the text's probability under the model, its end included. A row per row
     of `docs`; repeated rows stay, a null or empty text is the end alone, a null id trains.
     An empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("id"), text_of(text_col).alias("body")
     ).withColumn("held", is_held_out(F.col("id")))
     kind = rows.schema["id"].dataType.simpleString()
-    encoded = bucketed(
-        _first_round(rows, states), "block", _buckets(rows), "hmm-blocks")
-    joined, totals = _exchange(encoded, states)
-    for _ in range(rounds - 1):
-        encoded = bucketed(_next_round(joined, totals, states, kind), "block", _buckets(rows),
-                           "hmm-blocks")
-        joined, totals = _exchange(encoded, states)
+    shares = _buckets(rows)
+    encoded = bucketed(_encoded(rows), "block", shares, "hmm-blocks")
+    numbered = bucketed(_numbered(encoded, shares), "share", shares, "hmm-words")
+    row = numbered.agg(F.sum("tokens"), F.sum("words")).first()
+    tokens, vocabulary = row[0] or 0, row[1] or 0
+    model, path = _written(
+        spark, _summed(numbered, _first_round(encoded, states, shares), states))
+    totals, likelihood = _totals(model, tokens, vocabulary, states)
+    found = [likelihood]
+    while len(found) < rounds if rounds is not None else not _settled(found, tokens):
+        last = path
+        sent = _next_round(encoded, model, totals, states, shares)
+        model, path = _written(spark, _summed(numbered, sent, states))
+        discard(spark, last)
+        totals, likelihood = _totals(model, tokens, vocabulary, states)
+        found.append(likelihood)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids, lengths, held, seen, expected = _unpacked(batch, at, states)
-                if not len(lengths):
-                    continue
-                begins = np.cumsum(lengths) - lengths  # every document has its end
-                base = np.log10((seen + 1) / (totals.tokens + totals.vocabulary + 1))
-                likely = _Sequences(ids, lengths).log10_likelihood(
-                    totals.chain, totals.emit(seen, expected))
-                doc_ids = batch.column(batch.schema.names.index("doc_ids"))[at].values
-                full = pa.table([
-                    doc_ids, pa.array(held), pa.array(lengths),
-                    pa.array(np.add.reduceat((seen > 0)[ids].astype(np.int64), begins)),
-                    pa.array(np.full(len(lengths), totals.tokens)),
-                    pa.array(np.add.reduceat(base[ids], begins)), pa.array(likely),
-                ], names=names)
-                yield from full.to_batches(max_chunksize=8192)
-
-    return joined.drop("vocabulary").mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, "
-                                  "n_known bigint, train_tokens bigint, base_score double, "
-                                  "score double")
+    def run(block: pa.Table, model: pa.Table) -> pa.Table:
+        ids, lengths, held, seen, expected, *_ = _unpacked(block, model, shares, states)
+        begins = np.cumsum(lengths) - lengths  # every document has its end
+        base = np.log10(totals.share(seen))
+        likely = _Sequences(ids, lengths).log10_likelihood(
+            totals.chain, totals.emit(seen, expected))
+        return pa.table([
+            block["doc_ids"][0].values, pa.array(held), pa.array(lengths),
+            pa.array(np.add.reduceat((seen > 0)[ids].astype(np.int64), begins)),
+            pa.array(np.full(len(lengths), totals.tokens)),
+            pa.array(np.add.reduceat(base[ids], begins)), pa.array(likely),
+        ], names=names)
+
+    return encoded.select("doc_ids", *_KEPT).groupBy("block").cogroup(
+        model.drop("figures").groupBy("block")).applyInArrow(
+        run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, "
+             "train_tokens bigint, base_score double, score double")

@@ -88,6 +88,31 @@ def test_hmm_learns_states():
     assert len({side[w.encode()] for w in a}) == len({side[w.encode()] for w in b}) == 1
 
 
+def test_hmm_trains_on_the_corpus(llm, monkeypatch):
+    """The jobs reach the model that whole-corpus rounds in memory reach, in blocks of any size."""
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 4000)
+    rnd = random.Random(4)
+    sides = [[f"{c}{i}" for i in range(25)] for c in "abcd"]
+    rows = [(i, " ".join(w for _ in range(rnd.randint(1, 6))
+                         for w in rnd.choices(rnd.choice(sides), k=12))) for i in range(120)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = hmm.start_model(train, hmm.STATES)
+    numbers = hmm._Numbers()
+    ids, lengths = hmm._encode(train, numbers)
+    share = (np.bincount(ids) + 1) / (len(ids) + len(numbers) + 1)
+    likely = hmm._Sequences(ids, lengths).log10_likelihood(
+        want.chain, want.ratio * share[:, None])
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in hmm.score(docs).collect()}
+    assert [r.held_out for _, r in sorted(found.items())] == [
+        zlib.crc32(str(i).encode()) % 7 == 2 for i in range(120)]
+    got = [found[i].score for i, _ in rows if not found[i].held_out]
+    assert np.allclose(got, likely, rtol=1e-3)
+    # Settled: two more rounds add little to what the corpus has gained over one round.
+    few = {r.doc_id: r.score for r in hmm.score(docs, rounds=1).collect()}
+    assert sum(got) > sum(few[i] for i, r in found.items() if not r.held_out) + 0.1 * len(ids)
+
+
 ITEMS = [" ".join(f"Item{i}word{j}," for j in range(20 + i)) for i in range(12)]
 
 
