@@ -5,8 +5,10 @@ outputs the word it points at and moves on or stays as a random bit for (step, w
 Two sequences of small edit distance walk alike, so their outputs differ in few places:
 edit distance becomes Hamming distance. Sampling a few output places gives a key that close
 sequences share with good chance; several walks and samples bring recall to a target. Keys of
-all items are kept in a table, keys of item-sized windows of documents are looked up in it,
-and an exact word edit distance decides about every match.
+the items are kept in a table, keys of item-sized windows of documents are looked up in it,
+and an exact word edit distance decides about every match. The drift of a walk grows faster
+than the edits, so keys miss copies of long items; those have none, and the edit distance
+decides about every place that the condition below leaves.
 
 Embedding every window of every document would be wasteful. If an item is within `d` edits
 of a passage, one of its `d + 1` segments stands there unchanged; only windows around such
@@ -33,6 +35,7 @@ ITEM_BYTES = 8 << 20  # of benchmark text indexed at once
 TARGET_RECALL = 0.98
 SAMPLED = 6  # output places in a key
 STRETCH = 4.0  # places of the output that one edit changes, as a planning figure
+KEYED_WORDS = 32  # of the longest items that are looked up by keys; tests measure their recall
 WALKS = 8
 BATCH_ROWS = 3072
 MAX_CELLS = 1 << 19
@@ -152,7 +155,8 @@ class Index:
             for part in range(parts):
                 gram = self._grams(item[part * size:(part + 1) * size], size)[0]
                 segments[size].append((int(gram), k, part * size))
-        order = sorted(range(len(self.items)), key=lambda k: len(self.items[k]))
+        keyed = [k for k, item in enumerate(self.items) if len(item) <= KEYED_WORDS]
+        order = sorted(keyed, key=lambda k: len(self.items[k]))
         widths = np.array([len(self.items[k]) for k in order], np.int64)
         for part in _chunks(widths):
             rows = np.zeros((part.stop - part.start, int(widths[part.stop - 1])), np.int64)
@@ -177,12 +181,13 @@ class Index:
             gram = mixed(gram ^ words[j:j + count].astype(np.uint64))
         return gram
 
-    def windows(self, words: np.ndarray, start: np.ndarray) -> set[tuple[int, int]]:
-        """Places (item, first word) that an unchanged segment points at.
+    def windows(self, words: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """Places (item, row, first word) that an unchanged segment points at.
 
-        `words` holds the texts of a batch one after the other with a 0 between them.
+        `words` holds the texts of a batch one after the other with a 0 after each, `ends`
+        where the next one begins. The row is that of the segment.
         """
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[int, int, int]] = set()
         known = words > 0
         for size, (grams, targets) in self.segments.items():
             whole = known[:len(words) - size + 1].copy()
@@ -201,7 +206,9 @@ class Index:
                 which = np.repeat(left, count) + (
                     np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 item, offset = targets[which, 0], targets[which, 1]
-                found.update(zip(item.tolist(), (np.repeat(spots, count) - offset).tolist(),
+                spots = np.repeat(spots, count)
+                row = np.searchsorted(ends, spots, "right")
+                found.update(zip(item.tolist(), row.tolist(), (spots - offset).tolist(),
                                  strict=True))
         return found
 
@@ -219,12 +226,15 @@ class Index:
         if not self.items or not len(words):
             return []
         by_width: dict[int, set[int]] = defaultdict(set)
-        for item, first in self.windows(words, ends):
+        pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for item, row, first in self.windows(words, ends):
             n = len(self.items[item])
             slack = allowed(n)
-            by_width[n].update(range(first - slack, first + slack + 1))
+            if n > KEYED_WORDS:
+                pairs[row, item].append(first)
+            else:
+                by_width[n].update(range(first - slack, first + slack + 1))
         # Look the windows' keys up; a match names an item and about where it may stand.
-        pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
         wanted = sorted((n, first) for n, firsts in by_width.items() for first in firsts)
         widths = np.array([n for n, _ in wanted], np.int64)
         firsts = np.array([first for _, first in wanted], np.int64)

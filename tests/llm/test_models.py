@@ -165,6 +165,22 @@ def test_recall_at_the_allowed_distance():
     assert hit >= 0.95 * 60
 
 
+@pytest.mark.parametrize("kind", ["change", "insert", "delete"])
+def test_recall_of_any_length(kind):
+    rnd = random.Random(12)
+    for n, trials in ((15, 20), (32, 20), (50, 20), (100, 5), (250, 5), (500, 5), (700, 5), (1000, 4)):
+        index = decontaminate.Index([(0, " ".join(f"x{rnd.randrange(900)}" for _ in range(n)))])
+        names = {n: w.decode() for w, n in index.vocabulary.items()}
+        hit = 0
+        for _ in range(trials):
+            w = [names[int(x)] for x in index.items[0]]
+            for _ in range(decontaminate.allowed(n)):
+                at = rnd.randrange(len(w))
+                w[at:at + (kind != "insert")] = [] if kind == "delete" else ["other"]
+            hit += bool(index.matches(["", "before it " + " ".join(w) + " after"]))
+        assert hit == trials if n > 32 else hit >= 0.95 * trials, n
+
+
 def test_edit_match_is_exact():
     rnd = np.random.default_rng(5)
     for _ in range(200):
