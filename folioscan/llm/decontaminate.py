@@ -190,6 +190,8 @@ class Index:
         found: set[tuple[int, int, int]] = set()
         known = words > 0
         for size, (grams, targets) in self.segments.items():
+            if len(words) < size:
+                continue
             whole = known[:len(words) - size + 1].copy()
             for j in range(1, size):
                 whole &= known[j:len(words) - size + 1 + j]

@@ -181,6 +181,14 @@ def test_recall_of_any_length(kind):
         assert hit == trials if n > 32 else hit >= 0.95 * trials, n
 
 
+def test_leaks_of_small_batches():
+    """Fewer word places in a batch than in a segment; items of 9 and 19 words have four."""
+    for n in (9, 19):
+        index = decontaminate.Index([(0, " ".join(f"x{i}" for i in range(n)))])
+        for texts in ([""], ["", ""], [" .,"], ["x1"], ["x1", ""], ["x1 x2"]):
+            assert index.matches(texts) == []
+
+
 def test_edit_match_is_exact():
     rnd = np.random.default_rng(5)
     for _ in range(200):
