@@ -18,6 +18,7 @@ a segment are embedded. That condition loses nothing.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import mixed, text_of
 
 EDITS = 0.2  # of an item's words
-MIN_WORDS = 5
 ITEM_BYTES = 8 << 20  # of benchmark text indexed at once
 TARGET_RECALL = 0.98
 SAMPLED = 6  # output places in a key
@@ -44,9 +44,16 @@ MAX_CELLS = 1 << 19
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
 )
+# Thai, Lao, Tibetan, Burmese, Khmer, kana and Han letters: no spaces part their words.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+    "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def word_list(text: str) -> list[bytes]:
+    """The words of a text; each letter of a script without spaces is one."""
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
     return text.encode().translate(_WORD_BYTES).split()
 
 
@@ -143,7 +150,7 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         for item_id, text in items:
             words = word_list(text)
-            if len(words) >= MIN_WORDS:
+            if words:
                 self.ids.append(item_id)
                 number = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
                 self.items.append(np.array(number, np.int64))
@@ -155,7 +162,8 @@ class Index:
             for part in range(parts):
                 gram = self._grams(item[part * size:(part + 1) * size], size)[0]
                 segments[size].append((int(gram), k, part * size))
-        keyed = [k for k, item in enumerate(self.items) if len(item) <= KEYED_WORDS]
+        keyed = [k for k, item in enumerate(self.items)
+                 if allowed(len(item)) and len(item) <= KEYED_WORDS]
         order = sorted(keyed, key=lambda k: len(self.items[k]))
         widths = np.array([len(self.items[k]) for k in order], np.int64)
         for part in _chunks(widths):
@@ -232,7 +240,7 @@ class Index:
         for item, row, first in self.windows(words, ends):
             n = len(self.items[item])
             slack = allowed(n)
-            if n > KEYED_WORDS:
+            if n > KEYED_WORDS or not slack:
                 pairs[row, item].append(first)
             else:
                 by_width[n].update(range(first - slack, first + slack + 1))
@@ -258,6 +266,8 @@ class Index:
             best = None
             low = high = None
             for first in [*sorted(set(firsts)), None]:  # windows that overlap are read once
+                if best is not None and not best[0]:
+                    break
                 if first is not None and high is not None and first - slack <= high:
                     high = max(high, first + n + slack)
                     continue
@@ -294,8 +304,8 @@ def leaks(
 
     Returns id, item_id, edits, first_word, end_word: a row per document row and item, at
     the place of fewest edits (words counted from 0, end exclusive). Every item and every
-    whole text takes part; null texts have no words. Items of fewer than five words say
-    nothing about a leak and are left out. Repeated document rows give repeated rows; equal
+    whole text takes part; null texts have no words. Items of fewer than five words allow no
+    edit, so only a copy counts; items without words match nothing. Repeated document rows give repeated rows; equal
     items count once. No documents or no items: no rows.
     """
     kept = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))

@@ -189,6 +189,17 @@ def test_leaks_of_small_batches():
             assert index.matches(texts) == []
 
 
+def test_leaks_of_short_items_and_scripts_without_spaces():
+    items = [(0, "What now?"), (1, "yes"), (2, "水の沸点は何度ですか答えてください"), (3, " ?"),
+             (4, "น้ำเดือดที่กี่องศา")]
+    index = decontaminate.Index(items)
+    assert [m[:3] for m in index.matches(["he said: what NOW then", "what is now", "", "Yes"])] == [
+        (0, 0, 0), (3, 1, 0)]
+    altered = items[2][1].replace("沸", "氷").replace("何", "幾")
+    found = index.matches(["前文 " + altered + " yes yes", items[4][1], "水の沸点 別の文です"])
+    assert [m[:3] for m in found] == [(0, 1, 0), (0, 2, 2), (1, 4, 0)]
+
+
 def test_edit_match_is_exact():
     rnd = np.random.default_rng(5)
     for _ in range(200):
