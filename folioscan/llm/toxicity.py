@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -154,20 +155,23 @@ def fit(
     docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 8_000,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> list[Model]:
-    """Fit the chain on at most `max_rows` labelled documents of distinct texts.
+    """Fit the chain on at most `max_rows` documents of distinct texts for every category.
 
-    The sample is the rows with the smallest hash of the id, so it does not depend on the
-    layout of the tables. Labels that are null or for unknown documents are not used; with
-    no labels at all every probability is one half, which rejects nothing.
+    The sample is, of each category, the rows of `docs` with a known label and the smallest
+    hash of the id, so it does not depend on the layout of the tables. Labels that are null
+    or for unknown documents neither count nor take a place; with no labels at all every
+    probability is one half, which rejects nothing.
     """
     names = [f"label_{k}" for k in range(len(categories))]
-    sample = (
+    known = (
         labels.select(F.col(id_col).alias("id"), *(
             F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(n)
             for c, n in zip(categories, names, strict=True)))
         .filter(F.col("id").isNotNull()).groupBy("id").agg(*(F.max(n).alias(n) for n in names))
-        .orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded, so it may be broadcast
-    )
+        .join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"))
+    sample = reduce(DataFrame.unionByName, (
+        known.filter(F.col(n) >= 0).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+        for n in names)).distinct()  # bounded, so it may be broadcast
     joined = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body")).join(
         F.broadcast(sample), "id")
 
@@ -180,7 +184,7 @@ def fit(
 
     kind = sample.schema["id"].dataType.simpleString()
     columns = ", ".join(f"{n} int" for n in names)
-    # Copies of one text in the sample would weigh as many; the rows are max_rows at most.
+    # Copies of one text in the sample would weigh as many; the rows are max_rows a category at most.
     taken = joined.mapInArrow(extract, f"id {kind}, buckets binary, {columns}").groupBy(
         "buckets").agg(F.min("id").alias("id"), *(F.max(n).alias(n) for n in names))
 

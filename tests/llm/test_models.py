@@ -290,6 +290,20 @@ def test_toxicity(llm, odd, nothing):
     assert toxicity.rejected(nothing, labels).count() == 0
 
 
+def test_labels_without_use_take_no_place(llm):
+    docs, labels = _labelled(llm)
+    want = toxicity.fit(docs, labels, toxicity.CHAIN, max_rows=200)
+    assert len(want[1].buckets)
+    useless = llm.createDataFrame([(i, 1, 0) for i in range(1000, 6000)], labels.schema).unionByName(
+        llm.createDataFrame([(i, None, None) for i in range(200, 400)], labels.schema))
+    found = toxicity.fit(docs, labels.unionByName(useless), toxicity.CHAIN, max_rows=200)
+    for a, b in zip(want, found, strict=True):
+        assert a.buckets.tolist() == b.buckets.tolist() and np.allclose(a.weights, b.weights)
+    half = llm.createDataFrame([(i, 1, None) for i in range(200, 400)], labels.schema)
+    found = toxicity.fit(docs, labels.unionByName(half), toxicity.CHAIN, max_rows=200)
+    assert want[1].buckets.tolist() == found[1].buckets.tolist()
+
+
 def test_chain_uses_out_of_fold_predictions():
     rnd = np.random.default_rng(2)
     rows = [np.unique(rnd.integers(0, 500, 30)) for _ in range(300)]
