@@ -27,6 +27,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A text with A-Z, and no other letters, in lower case."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, letters, letters.lower())
+
+
 def stored(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     """`df` computed once, written to the shared folder and read again.
 

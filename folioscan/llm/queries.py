@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import (
-    byte_bpe, decontaminate, hmm, jaccard, repeats, secrets, token_counts, topk, toxicity, warc,
+    byte_bpe, decontaminate, hmm, jaccard, merkle, repeats, secrets, token_counts, topk, toxicity,
+    warc,
 )
-from folioscan.llm.common import table
+from folioscan.llm.common import ascii_lower, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,6 +147,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Tampering lower-cases A-Z in the text of every third document, by CRC-32 of its id.
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    lowered = F.when(hit, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), changes={"text": lowered})
+    return merkle.digests(found)
+
+
+ORACLES["op13_merkle"] = merkle.oracle()
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
