@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm import (
     byte_bpe, decontaminate, hmm, jaccard, merkle, repeats, secrets, token_counts, topk, toxicity,
-    warc,
+    vector_codes, warc,
 )
 from folioscan.llm.common import ascii_lower, table
 
@@ -147,6 +147,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_vector_codes"] = vector_codes.oracle()
+
+
 @_query
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Tampering lower-cases A-Z in the text of every third document, by CRC-32 of its id.
