@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import (
-    byte_bpe, decontaminate, hmm, jaccard, merkle, repeats, secrets, token_counts, topk, toxicity,
-    vector_codes, warc,
+    byte_bpe, decontaminate, golay, hmm, jaccard, merkle, repeats, secrets, token_counts, topk,
+    toxicity, vector_codes, warc,
 )
 from folioscan.llm.common import ascii_lower, table
 
@@ -147,6 +147,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay.components(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))
