@@ -227,7 +227,7 @@ def links(prints: DataFrame) -> DataFrame:
         F.lit(0), F.col("shards") - 1)).otherwise(F.array("shard"))
     rows = keyed.count()
     found = stored(_verified(placed.select(
-        "key", F.explode(cells).cast("bigint").alias("cell"), "print", none.alias("fresh")),
+        "key", F.explode(cells.cast("array<bigint>")).alias("cell"), "print", none.alias("fresh")),
         _partitions(rows)).distinct(), "golay-links")
     if not hot.limit(1).count():
         return found

@@ -10,12 +10,11 @@ changed child resumes the state at its slot with the replacement and the sibling
 right of it only; nothing to the left is hashed again.
 
 On Spark: leaves are hashed in the scan and range-sorted by group and id, so that counts per
-partition give every leaf its place. `SPAN` consecutive nodes are a block, one row, whose
-`LEVELS` levels are built in one call; the tops of blocks are the nodes of the next step, so
-a step divides their number by `SPAN`. Paths come back down the same blocks: each block is
-joined with the one path of its top, never with paths per leaf. A hash state cannot leave
-its process, so a block resumes the states above itself from the siblings to the left, once
-for all its leaves.
+partition give every leaf its place. `FAN ** LEVELS` consecutive nodes are a block, one row,
+whose levels are built in one call; the tops of blocks are the nodes of the next step. Paths
+come back down the same blocks: each block is joined with the one path of its top, never with
+paths per leaf. A hash state cannot leave its process, so a block resumes the states above
+itself from the siblings to the left, once for all its leaves.
 """
 
 from __future__ import annotations
@@ -32,8 +31,7 @@ from folioscan.llm.common import stored
 from folioscan.operators.joins import is_small, join_small
 
 FAN = 8
-LEVELS = 4
-SPAN = FAN ** LEVELS  # nodes of a block
+LEVELS = 4  # of a block, which has FAN ** LEVELS nodes
 PART_ROWS = 1 << 17  # nodes of a task: about 20 MB
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -92,11 +90,6 @@ def parents(nodes: list[str], levels: int) -> list[list[Parent]]:
     return found
 
 
-def _levels(size: int) -> int:
-    """Levels that a block of a tree with so many nodes has."""
-    return min(LEVELS, height(size))
-
-
 def leaf_digest(fields: list[Column]) -> Column:
     """SHA-256 in hex of all fields: `-` for null, else UTF-8 byte count, `:`, value."""
     parts = []
@@ -108,7 +101,7 @@ def leaf_digest(fields: list[Column]) -> Column:
 
 
 def _partitions(rows: int) -> int:
-    return max(8, -(-rows // PART_ROWS))
+    return -(-rows // PART_ROWS) or 1
 
 
 def _placed(rows: DataFrame, order: list[str], partitions: int) -> tuple[DataFrame, int]:
@@ -131,7 +124,7 @@ def _placed(rows: DataFrame, order: list[str], partitions: int) -> tuple[DataFra
     return placed.withColumn("place", F.col("at") + F.col("shift")), most
 
 
-def _blocks(nodes: DataFrame, partitions: int) -> DataFrame:
+def _blocks(nodes: DataFrame, partitions: int, levels: int) -> DataFrame:
     """A row per block of nodes (tree, size, place, id, node, changed), with its top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +132,14 @@ def _blocks(nodes: DataFrame, partitions: int) -> DataFrame:
             tops = []
             for size, row in zip(batch.column("size").to_pylist(),
                                  batch.column("nodes").to_pylist(), strict=True):
-                above = parents(row, _levels(size))
+                above = parents(row, min(levels, height(size)))
                 tops.append(above[-1][0].digest if above else row[0])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(tops, pa.string())], names=[*batch.schema.names, "top"])
 
-    block = F.expr(f"place div {SPAN}").alias("block")
+    block = F.expr(f"place div {FAN ** levels}").alias("block")
     rows = nodes.select("tree", "size", block, F.struct("place", "id", "node", "changed").alias("n"))
-    # At most SPAN rows of a key are collected.
+    # At most FAN ** levels rows of a key are collected.
     grouped = rows.repartition(partitions, "tree", "block").groupBy("tree", "block").agg(
         F.first("size").alias("size"), F.sort_array(F.collect_list("n")).alias("n")
     ).select("tree", "block", "size", F.col("n.id").alias("ids"), F.col("n.node").alias("nodes"),
@@ -155,23 +148,26 @@ def _blocks(nodes: DataFrame, partitions: int) -> DataFrame:
     return stored(grouped.mapInArrow(run, f"{schema}, top string"), "merkle-blocks")
 
 
-def _climbed(nodes: DataFrame, most: int) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
+def _climbed(
+    nodes: DataFrame, rows: int, most: int, levels: int
+) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
     """The blocks of every step until each tree has one node, and those nodes."""
-    steps = []
+    steps, span = [], FAN ** levels
     while True:
-        partitions = _partitions(nodes.count())
-        blocks = _blocks(nodes, partitions)
+        partitions = _partitions(rows)
+        blocks = _blocks(nodes, partitions, levels)
         steps.append((blocks, partitions))
         nodes = blocks.select(
-            "tree", F.ceil(F.col("size") / SPAN).alias("size"), F.col("block").alias("place"),
+            "tree", F.ceil(F.col("size") / span).alias("size"), F.col("block").alias("place"),
             F.col("block").alias("id"), F.col("top").alias("node"),
             F.lit(None).cast("string").alias("changed"))
-        most = -(-most // SPAN)
+        most = -(-most // span)
         if most <= 1:
             return steps, nodes
+        rows = nodes.count()
 
 
-def _paths(blocks: DataFrame) -> DataFrame:
+def _paths(blocks: DataFrame, levels: int) -> DataFrame:
     """A row per node of blocks that carry their top's path, subroot and root.
 
     tree, place, id, node, path (steps from the node to the root), subroot, root, and
@@ -183,13 +179,12 @@ def _paths(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, row in enumerate(
-                    batch.drop_columns(["ids"]).to_pylist()):
+            for at, row in enumerate(batch.drop_columns(["ids"]).to_pylist()):
                 yield unfolded(row, batch.column("ids")[at].values)
 
     def unfolded(row: dict, ids: pa.Array) -> pa.RecordBatch:
         nodes = row["nodes"]
-        inside = parents(nodes, _levels(row["size"]))
+        inside = parents(nodes, min(levels, height(row["size"])))
         outside = [(s["before"], s["after"]) for s in row["path"]]
         above = [(sha256(before.encode()), after) for before, after in outside]
         before, after, folded = [], [], []
@@ -212,24 +207,24 @@ def _paths(blocks: DataFrame) -> DataFrame:
             pa.StructArray.from_arrays(
                 [pa.array(before, pa.string()), pa.array(after, pa.string())],
                 names=["before", "after"]))
-        first = row["block"] * SPAN
-        # Without a subroot above, the nodes are subroots themselves.
-        subroot = nodes if row["subroot"] is None else [row["subroot"]] * n
+        first = row["block"] * FAN ** levels
         return pa.RecordBatch.from_arrays([
             pa.array([row["tree"]] * n, pa.string()), pa.array(range(first, first + n), pa.int64()),
-            ids, pa.array(nodes, pa.string()), path, pa.array(subroot, pa.string()),
+            ids, pa.array(nodes, pa.string()), path, pa.array([row["subroot"]] * n, pa.string()),
             pa.array([row["root"]] * n, pa.string()), pa.array(folded, pa.string()),
         ], names=["tree", "place", "id", "node", "path", "subroot", "root", "folded"])
 
     return blocks.mapInArrow(run, schema)
 
 
-def _descended(steps: list[tuple[DataFrame, int]], above: DataFrame) -> DataFrame:
+def _descended(
+    steps: list[tuple[DataFrame, int]], above: DataFrame, levels: int
+) -> DataFrame:
     """Paths of the nodes of the first step, given those of the tops of the last one."""
     for number, (blocks, partitions) in enumerate(reversed(steps), 1):
         upper = above.select("tree", F.col("place").alias("block"), "path", "subroot", "root")
         above = _paths(blocks.repartition(partitions, "tree", "block").join(
-            upper, ["tree", "block"]).drop("top"))
+            upper, ["tree", "block"]).drop("top"), levels)
         if number < len(steps):
             above = stored(above, "merkle-paths")
     return above
@@ -238,6 +233,7 @@ def _descended(steps: list[tuple[DataFrame, int]], above: DataFrame) -> DataFram
 def manifest(
     docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang",
     fields: tuple[str, ...] = FIELDS, changes: dict[str, Column] | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Per row: its leaf, its group's subroot, the root, its proof, and a fold.
 
@@ -265,19 +261,20 @@ def manifest(
     ), "merkle-leaves")
     rows = leaves.count()
     placed, most = _placed(leaves, ["id", "node", "row_no"], _partitions(rows))
-    steps, subroots = _climbed(placed, most)
+    steps, subroots = _climbed(placed, rows, most, levels)
     groups = stored(subroots.select(
         F.lit("").alias("tree"), F.col("tree").alias("id"), "node", "changed"), "merkle-groups")
-    ranked, most = _placed(groups, ["id"], _partitions(groups.count()))
-    group_steps, roots = _climbed(ranked, most)
+    rows = groups.count()
+    ranked, most = _placed(groups, ["id"], _partitions(rows))
+    group_steps, roots = _climbed(ranked, rows, most, levels)
     none = F.lit(None).cast("string")
     top = roots.select(
         "tree", "place", F.array().cast("array<struct<before: string, after: string>>").alias(
             "path"), none.alias("subroot"), F.col("node").alias("root"))
-    above = stored(_descended(group_steps, top).select(
-        F.col("id").alias("tree"), F.lit(0).cast("bigint").alias("place"), "path", "subroot",
-        "root"), "merkle-subroots")
-    return _descended(steps, above).select(
+    above = stored(_descended(group_steps, top, levels).select(
+        F.col("id").alias("tree"), F.lit(0).cast("bigint").alias("place"), "path",
+        F.col("node").alias("subroot"), "root"), "merkle-subroots")
+    return _descended(steps, above, levels).select(
         F.col("id").alias(id_col), F.col("node").alias("leaf"), "subroot", "root",
         F.col("path").alias("proof"), F.col("folded").alias("folded_root"),
         (F.col("folded") == F.col("root")).alias("verified"))
