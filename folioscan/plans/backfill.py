@@ -45,9 +45,11 @@ def backfill(
     model = store.ensure_model(model)
     step = parts_per_commit or catalog.parts
     part = part_of(F.col("doc_id"), catalog.parts)
-    written = 0
+    written, version = 0, catalog.last_batch()
     for start in range(0, catalog.parts, step):
         pending = store.missing_chunks(doc_id).filter(part.between(start, start + step - 1))
         vectors = embed(pending.select("chunk_id", "text"), model, factory)
         written += store.upsert(vectors.select("chunk_id", "embedding"))
+    if doc_id is None:
+        store.settle(version)
     return written

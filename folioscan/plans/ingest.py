@@ -93,38 +93,36 @@ def store_extracted(
 ) -> IngestTotals:
     """Write extracted documents and everything derived from them.
 
-    The documents table decides which files count as known, so it is written last.
+    All tables are one change: a run that dies before its commit leaves nothing behind,
+    and its files are still unknown to the next one.
     """
     documents = checkpointed(document_rows(listing, found.info, effort))
     touched = documents.select("doc_id")
     if not keep_history:
         touched = touched.union(superseded(catalog.table("documents"), documents))
     touched = checkpointed(touched.distinct())
-    parts = catalog.parts_of(touched)
-
     known = catalog.table("documents").join(touched, "doc_id", "left_semi")
+    # All rows of a document come with it, so only known documents have rows to replace.
+    gone = checkpointed(known.select("doc_id"))
     current = upserts.upsert_documents(known, documents).join(
         documents.select("doc_id"), "doc_id", "left_semi"
     )
-    # Everything that follows reads the chunks from storage, not from the files.
-    catalog.replace("chunks", found.chunks, touched, parts)
-    catalog.replace("doc_metadata", found.metadata, touched, parts)
-    vectors = catalog.table("chunk_embeddings").limit(0)
-    catalog.replace("chunk_embeddings", vectors, touched, parts)
-
-    stored = catalog.stored("chunks").filter(F.col("part").isin(*parts)).drop("part")
-    stored = stored.join(documents.select("doc_id"), "doc_id", "left_semi")
-    catalog.replace("postings", lexical.build_postings(stored, stemmer), touched, parts)
-    catalog.refresh_statistics(parts)
-
-    if enrich:
-        summaries, tagged = tags.enrich(stored, effort, summarise, tag)
-        catalog.replace("tags", tagged, touched, parts)
-        if settings.effort_profile(effort).enrich_summary and summarise:
-            answered = summaries.filter(F.col("summary").isNotNull())
-            current = upserts.update_summaries(current, answered)
-    # Last, as the mark that all else is there: a run that dies before is repeated in full.
-    catalog.replace("documents", current, touched, parts)
+    with catalog.change() as change:
+        change.replace("chunks", found.chunks, touched, gone)
+        change.replace("doc_metadata", found.metadata, touched, gone)
+        vectors = catalog.table("chunk_embeddings").limit(0)
+        change.replace("chunk_embeddings", vectors, touched, gone)
+        # Everything that follows reads the chunks from storage, not from the files.
+        stored = change.rows("chunks").drop("part")
+        change.replace("postings", lexical.build_postings(stored, stemmer), touched, gone)
+        catalog.refresh_statistics(change)
+        if enrich:
+            summaries, tagged = tags.enrich(stored, effort, summarise, tag)
+            change.replace("tags", tagged, touched, gone)
+            if settings.effort_profile(effort).enrich_summary and summarise:
+                answered = summaries.filter(F.col("summary").isNotNull())
+                current = upserts.update_summaries(current, answered)
+        change.replace("documents", current, touched, gone)
     rejects = checkpointed(found.rejects)
     return IngestTotals(
         documents=documents.count(), chunks=stored.count(), failed=rejects.count(),
@@ -133,7 +131,7 @@ def store_extracted(
 
 
 def known_versions(catalog: Catalog, source: str) -> DataFrame:
-    """Stored versions of a source, kept apart from the tables an ingest rewrites."""
+    """Stored versions of a source."""
     return checkpointed(upserts.existing_versions(catalog.table("documents"), source))
 
 

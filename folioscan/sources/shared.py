@@ -42,3 +42,11 @@ def kept_once(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "answers")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, pattern: str) -> None:
+    """Delete the folders that a path pattern names and that no plan reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(path) or []:
+        system.delete(status.getPath(), True)

@@ -8,7 +8,6 @@ from abc import ABC, abstractmethod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions.keys import part_of
 from folioscan.operators import dense
 from folioscan.operators.filters import Filters, restrict
 from folioscan.sources.catalog import Catalog
@@ -16,6 +15,7 @@ from folioscan.sources.shared import checkpointed
 
 MODEL_SETTING = "embedding_model"
 DIMENSION_SETTING = "embedding_dim"
+MARK_SETTING = "embedded_version"
 
 logger = logging.getLogger(__name__)
 
@@ -39,6 +39,9 @@ class VectorStore(ABC):
     def missing_chunks(self, doc_id: str | None = None) -> DataFrame:
         """Chunks without a vector."""
 
+    def settle(self, version: int) -> None:
+        """Told after a full backfill of a catalog version; a store may remember it."""
+
     @abstractmethod
     def search(self, queries: DataFrame, limit: int, filters: Filters = Filters()) -> DataFrame:
         """Top `limit` per query vector (query_id, embedding)."""
@@ -68,19 +71,27 @@ class ParquetVectorStore(VectorStore):
         found = dense.dimension_check(rows, size).first()
         if found["n_wrong"]:
             raise ValueError(f"{found['n_wrong']} vectors do not have {size} dimensions")
-        parts = self.catalog.parts_of(rows)
-        old = self.catalog.stored("chunk_embeddings").filter(F.col("part").isin(*parts))
-        kept = old.join(rows.select("chunk_id"), "chunk_id", "left_anti")
-        part = part_of(F.col("doc_id"), self.catalog.parts)
-        self.catalog.write_parts(
-            "chunk_embeddings", kept.unionByName(rows.withColumn("part", part)), parts
-        )
+        # Other vectors of the same documents move into the new batch with them.
+        old = self.catalog.table("chunk_embeddings")
+        kept = old.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").join(
+            rows.select("chunk_id"), "chunk_id", "left_anti")
+        self.catalog.replace("chunk_embeddings", kept.unionByName(rows), rows)
         return found["n_vectors"]
 
     def missing_chunks(self, doc_id: str | None = None) -> DataFrame:
-        return dense.missing(
-            self.catalog.table("chunks"), self.catalog.table("chunk_embeddings"), doc_id
-        )
+        """Reads what came after the last complete backfill, and documents without vectors."""
+        mark = int(self.catalog.setting(MARK_SETTING) or 0)
+        chunks = self.catalog.changes("chunks", mark)
+        emptied = self.catalog.replaced("chunk_embeddings", mark) if mark else None
+        if emptied is not None:
+            again = self.catalog.table("chunks").join(
+                emptied.select("doc_id"), "doc_id", "left_semi")
+            chunks = chunks.unionByName(again).dropDuplicates(["chunk_id"])
+        return dense.missing(chunks, self.catalog.table("chunk_embeddings"), doc_id)
+
+    def settle(self, version: int) -> None:
+        if not self.missing_chunks().limit(1).count():
+            self.catalog.set_setting(MARK_SETTING, str(version))
 
     def search(self, queries: DataFrame, limit: int, filters: Filters = Filters()) -> DataFrame:
         vectors = restrict(
