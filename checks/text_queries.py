@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks import relations as r
 from checks import sql as q
@@ -15,6 +16,8 @@ from folioscan.functions import text as tx
 from folioscan.functions.text import WHITESPACE_CLASS
 from folioscan.operators import chunking
 from folioscan.operators.running import running_before
+from folioscan.sources import splits
+from folioscan.sources.shared import new_folder
 
 
 @check("""SELECT doc_id AS number, substr(sha1(doc_id || '|' || n_chars), 1, 16) AS key
@@ -186,6 +189,57 @@ def delimited_chunks(spark, sf_dir):
     ).drop("token_estimate")
 
 
+def _item_files(spark, sf_dir, line):
+    """One large file per return flag, its lines in the order of the line items."""
+    items = r.table(spark, sf_dir, "lineitem").withColumn("note", F.concat(
+        "l_linestatus", F.lit('\n"'), F.col("l_partkey").cast("string"), F.lit('", '),
+        F.col("l_suppkey").cast("string")))
+    order = Window.partitionBy("l_returnflag").orderBy(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    both = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = items.withColumn("row_no", F.row_number().over(order) - 1).withColumn(
+        "last", F.col("row_no") == F.count("*").over(both) - 1)
+    path = new_folder(spark, "items")
+    numbered.repartition("l_returnflag").sortWithinPartitions("l_returnflag", "row_no").select(
+        line.alias("value"), "l_returnflag").write.partitionBy("l_returnflag").text(path)
+    return path
+
+
+def _flag(path):
+    return F.regexp_extract(path, "l_returnflag=([^/]*)", 1)
+
+
+_ITEMS = """SELECT l_returnflag AS flag, CAST(row_number() OVER (PARTITION BY l_returnflag
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS row_no,
+  CAST(l_orderkey AS BIGINT) AS item,
+  l_linestatus || chr(10) || '"' || l_partkey || '", ' || l_suppkey AS note
+FROM lineitem"""
+
+
+@check(_ITEMS)
+def split_delimited(spark, sf_dir):
+    """Records with quoted line breaks of files that several tasks read."""
+    quoted = F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))
+    path = _item_files(spark, sf_dir, F.concat_ws(",", "l_orderkey", quoted))
+    return splits.delimited_records(spark, path).select(
+        _flag("local_path").alias("flag"), "row_no",
+        F.col("cells")[0].cast("bigint").alias("item"), F.col("cells")[1].alias("note"))
+
+
+@check(_ITEMS)
+def split_json(spark, sf_dir):
+    """Elements of JSON arrays that several tasks read."""
+    value = F.to_json(F.struct(F.col("l_orderkey").alias("item"), "note"))
+    path = _item_files(spark, sf_dir, F.concat(
+        F.when(F.col("row_no") == 0, "[").otherwise(","), value,
+        F.when(F.col("last"), "]").otherwise("")))
+    found = splits.json_array_records(spark, path)
+    parsed = F.from_json("json", "item bigint, note string")
+    return found.select(
+        _flag("local_path").alias("flag"), F.col("record_no").alias("row_no"),
+        parsed["item"].alias("item"), parsed["note"].alias("note"))
+
+
 def _order_rows(spark, sf_dir):
     """Orders as delimited files, one per status: few files with very many rows."""
     rows = r.table(spark, sf_dir, "orders").select(

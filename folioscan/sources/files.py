@@ -1,12 +1,14 @@
 """Folders of mixed files: listing and extraction by type.
 
-A file is one row here, so its size is bounded by what fits in a row. Huge delimited
-files go through `read_delimited`; text of pages, workbook rows and body blocks that
-another tool extracted come as tables.
+Small files are a row each. Delimited and JSON files above `SPLIT_BYTES` are cut into
+records by many tasks; other files above `ROW_BYTES` are rejects, decided from the listing
+before any of them is opened. Text of pages, workbook rows and body blocks that another
+tool extracted come as tables.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,10 +23,15 @@ from folioscan.functions import json_lines as jx
 from folioscan.functions import keys
 from folioscan.functions import text as tx
 from folioscan.operators import chunking
-from folioscan.operators.joins import is_small
+from folioscan.operators.joins import is_small, join_small
 from folioscan.operators.model_calls import ModelFactory, apply_model
+from folioscan.sources import splits
 from folioscan.sources.shared import kept_once
 
+# Delimited and JSON files beyond are read in splits; others beyond the second bound not at all.
+SPLIT_BYTES = 64 << 20
+ROW_BYTES = 512 << 20
+SNIFFED_LINES = 1000
 
 INFO = "doc_id string, title string, author string, page_count int"
 REJECTS = "doc_id string, local_path string, error string"
@@ -150,6 +157,84 @@ def _delimited(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ), parsed.filter(F.col("error").isNotNull())
 
 
+def _literal(local_path: str) -> str:
+    """A listed path as one in which a reader finds no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", local_path)
+
+
+def _readable(named: DataFrame) -> list[str]:
+    """Paths of large files; Spark itself keeps every one of them to plan a scan."""
+    return [_literal(row[0]) for row in named.select("local_path").collect()]
+
+
+def _one_per_document(rows: DataFrame) -> DataFrame:
+    """(doc_id, local_path, error) of the first of several errors of a file."""
+    return rows.groupBy("doc_id", "local_path").agg(F.min("error").alias("error"))
+
+
+def _identified(
+    records: DataFrame, named: DataFrame, bad: DataFrame, position: str
+) -> DataFrame:
+    """Records with the doc_id of their file, without those of refused files."""
+    good = named.join(bad.select("doc_id"), "doc_id", "left_anti")
+    return join_small(
+        records, good.select("doc_id", "local_path"), ["local_path"], F.col(position),
+        is_small(good))
+
+
+def _split_delimited(named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, chunks and rejects of delimited files (doc_id, local_path) of any size.
+
+    The delimiter is judged on the first lines of a file.
+    """
+    spark = named.sparkSession
+    paths = _readable(named)
+    marks = splits.first_lines(spark, paths, SNIFFED_LINES).select(
+        "local_path", dx.sniff_delimiter(F.col("text")).alias("delimiter")).collect()
+    records = reduce(DataFrame.unionByName, [
+        splits.delimited_records(
+            spark, [_literal(r.local_path) for r in marks if r.delimiter == mark], mark)
+        for mark in sorted({r.delimiter for r in marks})])
+    bad = kept_once(_one_per_document(
+        records.filter(F.col("error").isNotNull()).join(named, "local_path")))
+    rows = _identified(splits.with_headers(records.drop("error")), named, bad, "row_no")
+    count = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    whole = named.join(bad, "doc_id", "left_anti").join(count, "doc_id", "left")
+    info = _info(whole, pages=F.coalesce("rows", F.lit(0)))
+    return info, chunking.delimited_chunks(rows, chunking.joined_cells(F.col("header"))), bad
+
+
+def _split_json(named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts, chunks and rejects of JSON files (doc_id, local_path, ext) of any size.
+
+    A file of this size that is no array is read as lines.
+    """
+    spark = named.sparkSession
+    paths = _readable(named)
+    marked = splits.first_lines(spark, paths, 1, ",").select(
+        "local_path", F.ltrim(F.regexp_replace("text", "^[\\x{feff}\\s]+", "")).startswith("[")
+        .alias("array"))
+    kinds = named.join(marked, "local_path").select("local_path", F.when(
+        F.col("ext") == ".jsonl", False).otherwise(F.col("array")).alias("array")).collect()
+    records = reduce(DataFrame.unionByName, [
+        read(spark, [_literal(r.local_path) for r in kinds if r.array == array])
+        for array, read in ((True, splits.json_array_records), (False, splits.json_line_records))
+        if any(r.array == array for r in kinds)])
+    known = kept_once(join_small(
+        records, named.select("doc_id", "local_path"), ["local_path"], F.col("record_no"),
+        is_small(named)))
+    broken = chunking.record_rejects(known).withColumn("error", F.concat(
+        F.lit("record "), (F.col("record_no") + 1).cast("string"), F.lit(": "), F.col("error")))
+    bad = kept_once(_one_per_document(broken.join(
+        named.select("doc_id", "local_path"), "doc_id")))
+    rows = join_small(known, bad.select("doc_id"), ["doc_id"], F.col("record_no"), is_small(
+        bad.select("doc_id")), "left_anti")
+    count = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    whole = named.join(bad, "doc_id", "left_anti").join(count, "doc_id", "left")
+    info = _info(whole, pages=F.coalesce("rows", F.lit(0)))
+    return info, chunking.record_chunks(rows.select("doc_id", "record_no", "json")), bad
+
+
 def extract(
     listing: DataFrame,
     content: ContentReader,
@@ -158,6 +243,8 @@ def extract(
     pages: DataFrame | None = None,
     sheets: DataFrame | None = None,
     blocks: DataFrame | None = None,
+    split_bytes: int = SPLIT_BYTES,
+    row_bytes: int = ROW_BYTES,
 ) -> Extracted:
     """Route every listed file to the extraction of its type.
 
@@ -165,12 +252,31 @@ def extract(
     for transcription, image), `sheets` (local_path, sheet_no, sheet, row_no, cells) and
     `blocks` (local_path, block_no, kind, text, cells) hold what was extracted from
     pdf, xlsx and docx files. `transcribe` turns image paths into text. A file that
-    cannot be read lands in the rejects with the reason; the others go on.
+    cannot be read lands in the rejects with the reason; the others go on. Delimited and
+    JSON files of more than `split_bytes` are read from their paths by many tasks; text
+    and HTML files of more than `row_bytes` are rejects.
     """
+    read, by_splits = content, F.col("source_type").isin("csv", "json")
+    most = F.when(by_splits, split_bytes).otherwise(row_bytes)
+
+    def content(exts: list[str]) -> DataFrame:
+        # A bound on the file length is decided before the file is opened.
+        files = read(exts)
+        bound = split_bytes if set(exts) <= set(
+            extensions_of("csv") + extensions_of("json")) else row_bytes
+        return files.filter(F.coalesce(F.col("size_bytes"), F.lit(0)) <= bound)
+
     profile = settings.effort_profile(effort)
     spark = listing.sparkSession
     # At most one value per type; types that do not occur add nothing to the plan.
-    present = {row[0] for row in listing.select("source_type").distinct().collect()}
+    present, huge = set(), set()
+    for kind, above in listing.select(
+        "source_type", F.coalesce(F.col("size_bytes") > most, F.lit(False))
+    ).distinct().collect():
+        present.add(kind)
+        if above:
+            huge.add(kind)
+    large = listing.filter(F.col("size_bytes") > most)
     infos = [spark.createDataFrame([], INFO)]
     chunks = [spark.createDataFrame([], schemas.CHUNKS)]
     metadata = [spark.createDataFrame([], schemas.DOC_METADATA)]
@@ -209,6 +315,17 @@ def extract(
         chunks.append(chunking.json_file_chunks(readable))
         reject(parsed.filter(F.col("error").isNotNull()), F.col("error"))
 
+    for kind, split in (("csv", _split_delimited), ("json", _split_json)):
+        if kind in huge:
+            info, rows, broken = split(kept_once(
+                large.filter(F.col("source_type") == kind).select("doc_id", "local_path", "ext")))
+            infos.append(info)
+            chunks.append(rows)
+            reject(broken, F.col("error"))
+    if huge & {"text", "html"}:
+        reject(large.filter(F.col("source_type").isin("text", "html")), F.concat(
+            F.lit(f"larger than {row_bytes} bytes: "), F.col("size_bytes").cast("string")))
+
     images = listing.filter(F.col("source_type") == "image").select("doc_id", "local_path")
     if "image" in present and transcribe:
         seen = kept_once(apply_model(

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -157,6 +157,11 @@ def _pieces(spark: SparkSession, paths: str | list[str], separator: str) -> Data
             "piece"))
 
 
+def _decoded(path: str) -> Column:
+    """The path as listings name it; the scan gives it encoded like a URI."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
 def _runs(keys: list[np.ndarray]) -> list[tuple[int, int]]:
     """Begin and end of the runs of equal keys."""
     n = len(keys[0])
@@ -234,7 +239,7 @@ def _entry_states(summaries: DataFrame, form: Format) -> DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _STATES.split(", ")])
 
     return kept_once(summaries.groupBy("path").applyInPandas(compose, _STATES).withColumn(
-        "split", F.monotonically_increasing_id()))
+        "split", F.monotonically_increasing_id()).withColumn("local_path", _decoded("path")))
 
 
 def _cut(pieces: DataFrame, states: DataFrame, form: Format) -> DataFrame:
@@ -372,8 +377,8 @@ def _joined_fragments(cut: DataFrame, states: DataFrame, form: Format) -> DataFr
 
     # At most two fragments a split, so a window over those of a file holds few rows.
     fragments = cut.filter("opens IS NOT NULL").select("split", "at", "opens", "to_end", "text").join(
-        F.broadcast(states.select("split", "path", "start", "latin", "first", "last", "trailing")),
-        "split")
+        F.broadcast(states.select(
+            "split", F.col("local_path").alias("path"), "start", "latin", "first", "last", "trailing")), "split")
     order = Window.partitionBy("path").orderBy("start", "opens")
     record = F.sum(F.col("opens").cast("int")).over(order)
     names = fragments.drop("text").withColumn("record", record)
@@ -389,7 +394,7 @@ def _records(spark: SparkSession, paths: str | list[str], form: Format) -> DataF
     states = _entry_states(_summaries(pieces, form), form)
     cut = kept_once(_cut(pieces, states, form))
     whole = cut.filter("opens IS NULL").join(
-        F.broadcast(states.select("split", "path", "start")), "split")
+        F.broadcast(states.select("split", F.col("local_path").alias("path"), "start")), "split")
     rows = whole.select("path", "start", "at", "value", "error").unionByName(
         _joined_fragments(cut, states, form))
     # A record over several splits is numbered with the split that opens it.
@@ -437,11 +442,12 @@ def json_line_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.count("*").alias("held"), F.min("at").alias("lowest"))
     ahead = Window.partitionBy("path").orderBy("start").rowsBetween(
         Window.unboundedPreceding, -1)
-    before = splits.select("path", "start", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias(
-        "before"))
+    before = splits.select(
+        "path", "start", _decoded("path").alias("local_path"),
+        F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("path", "start").orderBy("at")
     return lines.join(F.broadcast(before), ["path", "start"]).select(
-        F.col("path").alias("local_path"),
+        "local_path",
         (F.col("before") + F.row_number().over(inside) - 1).alias("record_no"), "json")
 
 
@@ -453,3 +459,18 @@ def with_headers(records: DataFrame) -> DataFrame:
     return join_small(body, headers, ["local_path"], F.col("row_no"), is_small(
         headers.select("local_path", F.array_join("header", ",").alias("text")))).select(
         "local_path", "header", "row_no", "cells")
+
+
+def first_lines(
+    spark: SparkSession, paths: str | list[str], lines: int, separator: str = "\n"
+) -> DataFrame:
+    """(local_path, text) of the first lines of every file, from its first split."""
+    numbered = _pieces(spark, paths, separator).filter("start = 0").withColumn(
+        "at", F.monotonically_increasing_id())
+    begin = numbered.groupBy("path").agg(F.min("at").alias("begin")).withColumn(
+        "local_path", _decoded("path"))
+    return numbered.join(F.broadcast(begin), "path").filter(
+        F.col("at") < F.col("begin") + lines
+    ).groupBy("local_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "at", F.make_valid_utf8(F.col("piece").cast("string")).alias("piece")
+    ))), lambda line: line["piece"]), separator).alias("text"))

@@ -116,3 +116,32 @@ def test_headers(spark, tmp_path):
     rows = splits.with_headers(splits.delimited_records(spark, str(tmp_path))).collect()
     assert sorted((r.header[1], r.row_no, r.cells) for r in rows) == [
         ("a", 0, ["1", "x"]), ("a", 1, ["2", "y"]), ("b", 0, ["1", "x"]), ("b", 1, ["2", "y"])]
+
+
+def test_ingest_reads_large_files_in_splits(spark, tmp_path):
+    from folioscan.sources.files import extract, folder_content, list_folder
+
+    names = [f"row {i}" for i in range(130)]
+    (tmp_path / "a [1]+b%20é.csv").write_text("id;note\n" + "".join(
+        f'{i};"{n}\nsecond line"\n' for i, n in enumerate(names)))
+    (tmp_path / "c.json").write_text(json.dumps([{"n": i, "t": t} for i, t in enumerate(names)]))
+    (tmp_path / "d.jsonl").write_text("\n".join(json.dumps({"t": t}) for t in names))
+    (tmp_path / "e.json").write_text("[1, 2, " + "3" * 900)
+    (tmp_path / "small.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "big.txt").write_text("x" * 900)
+    (tmp_path / "small.txt").write_text("y")
+    listing, content = list_folder(spark, str(tmp_path)), folder_content(spark, str(tmp_path))
+    found = extract(listing, content, split_bytes=500, row_bytes=500)
+    plain = extract(listing, content)
+
+    def chunks(extracted, *skip):
+        rows = extracted.chunks.join(listing.select("doc_id", "filename"), "doc_id").collect()
+        return sorted((r.filename, r.ordinal, r.locator, r.text) for r in rows
+                      if r.filename not in skip)
+
+    assert chunks(found) == chunks(plain, "big.txt")
+    rejects = {r.local_path.rpartition("/")[2] for r in found.rejects.collect()}
+    assert rejects == {"e.json", "big.txt"}
+    info = {r.doc_id: r.page_count for r in found.info.collect()}
+    whole = {r.doc_id: r.page_count for r in plain.info.collect()}
+    assert len(info) == 5 and info.items() <= whole.items()
