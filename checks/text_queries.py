@@ -150,6 +150,25 @@ def html_text(spark, sf_dir):
     )
 
 
+# Numbers 128 to 159 of the Windows code page; the five without a character stand for themselves.
+_WINDOWS = ", ".join(
+    f"'{bytes([n]).decode('cp1252')}'" if n not in (129, 141, 143, 144, 157) else f"chr({n})"
+    for n in range(128, 160))
+
+
+@check(f"""SELECT page_id, 'x?a=' || page_id || '&beta=2 β ©right; ¬it; ¬ é& &nosuch; <'
+  || CASE WHEN n = 0 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN [{_WINDOWS}][n - 127]
+     WHEN n < 9 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 THEN '' ELSE chr(n) END || '|' AS text
+  FROM (SELECT page_id, CAST(page_id % 5000 AS INT) AS n FROM pages)""")
+def html_references(spark, sf_dir):
+    """Named references with and without a semicolon, and a number per page."""
+    code = (F.col("page_id") % 5000).cast("string")
+    return r.table(spark, sf_dir, "pages").select("page_id", hx.decode_entities(F.concat(
+        F.lit("x?a="), F.col("page_id").cast("string"),
+        F.lit("&beta=2 &beta; &copyright; &notit; &not &eacute& &nosuch; &lt&#"), code,
+        F.lit(";|"))).alias("text"))
+
+
 @check(f"""SELECT CAST(page_id AS VARCHAR) AS doc_id, nullif({q.strip(
     "replace(replace(replace(replace(regexp_extract(html, "
     "'(?is)<title[^>]*>(.*?)</title>', 1), '&copy;', chr(169)), '&middot;', chr(183)), "

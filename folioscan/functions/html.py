@@ -28,7 +28,11 @@ NOT_TEXT = (
     r"|</?[a-z][^>]*+(?:>|\z))++"
 )
 TITLE = r"(?is)<title\b[^>]*+>(.*?)</title\s*+>"
-ENTITY = r"^&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+NUMBER = r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+NAME = r"^&([^\t\n\f <&#;]{1,32};)"
+# Names that need no semicolon; the longest one that a text begins with counts.
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+BARE = f"^&({'|'.join(BARE_NAMES)})"
 
 
 def _code_point(number: Column) -> Column:
@@ -73,32 +77,42 @@ def _numbered(body: Column) -> Column:
     number = F.when(fits & hexadecimal, F.conv(digits, 16, 10)).when(
         fits, digits).try_cast("bigint")
     valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    # Control characters and code points that stand for no character vanish.
+    nothing = (
+        number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+        | number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE)
+    )
     return F.when(
         number.between(128, 159),
         F.try_element_at(_table(WINDOWS_1252), number.cast("string")),
-    ).when(valid, _code_point(number)).otherwise(F.lit("\ufffd"))
-
-
-def _entity_text(entity: Column) -> Column:
-    """The text a whole reference stands for; null when it is none."""
-    body = F.regexp_replace(entity, "[&;]", "")
-    names = _table({name.rstrip(";"): shown for name, shown in sorted(html5.items())})
-    return F.when(body.startswith("#"), _numbered(body)).otherwise(
-        F.try_element_at(names, body))
+    ).when(valid & nothing, F.lit("")).when(valid, _code_point(number)).otherwise(F.lit("\ufffd"))
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode character references, each exactly once."""
+    """Decode character references, each exactly once.
+
+    A name with its semicolon counts as a whole. Otherwise the longest old name that the
+    text begins with is decoded, and what follows it stays: `&copyright;` is `©right;`.
+    Anything else stays as it is.
+    """
+    names = _table({name: shown for name, shown in sorted(html5.items()) if name[-1] == ";"})
+    bare_names = _table({name: html5[name] for name in BARE_NAMES})
 
     def piece(part: Column) -> Column:
-        entity = F.regexp_extract(part, ENTITY, 0)
-        return F.when(entity == "", part).otherwise(F.coalesce(
-            F.concat(
-                _entity_text(entity),
-                F.substring(part, F.length(entity) + 1, F.length(part)),
-            ),
-            part,
-        ))
+        def after(length: Column) -> Column:
+            return F.substring(part, length + 1, F.length(part))
+
+        number = F.regexp_extract(part, NUMBER, 0)
+        name, bare = F.regexp_extract(part, NAME, 1), F.regexp_extract(part, BARE, 1)
+        known = F.try_element_at(names, name)
+        return (
+            F.when(number != "", F.concat(
+                _numbered(F.regexp_replace(number, "[&;]", "")), after(F.length(number))))
+            .when(known.isNotNull(), F.concat(known, after(F.length(name) + 1)))
+            .when(bare != "", F.concat(
+                F.try_element_at(bare_names, bare), after(F.length(bare) + 1)))
+            .otherwise(part)
+        )
 
     return F.when(
         F.contains(text, F.lit("&")),

@@ -18,5 +18,5 @@ def toy_factory(model):
     return lambda texts: [toy_embed(t) for t in texts]
 
 
-def receipt_factory(model):
-    return lambda paths: [f"Receipt 99.50 by {model}" for _ in paths]
+def sign_factory(model):
+    return lambda paths: [f"No mooring, read by {model}" for _ in paths]

@@ -1,4 +1,4 @@
-"""The sample folder from files to catalog."""
+"""The survey folder from files to catalog."""
 
 from pyspark.sql import functions as F
 
@@ -6,7 +6,7 @@ from folioscan.operators import upserts
 from folioscan.plans.ingest import ingest_folder
 from folioscan.sources.catalog import Catalog
 from folioscan.sources.files import extract, folder_content, list_folder
-from tests.helpers import receipt_factory
+from tests.helpers import sign_factory
 
 
 def joined(catalog, name):
@@ -28,64 +28,64 @@ def test_counts_and_types(catalog):
 
 
 def test_delimited(catalog):
-    rows, text = joined(catalog, "data.csv")
-    assert text == "name,amount\nAlice,100\nBob,250"
+    rows, text = joined(catalog, "berths.csv")
+    assert text == "port,berths\nOslo,12\nCork,7"
     assert rows[0]["locator"] == "rows 1-2" and rows[0]["page_count"] == 2
-    assert joined(catalog, "locale.csv")[1] == "name,city\nRené,Montréal\nAna,Bogotá"
-    assert joined(catalog, "prices.tsv")[1].startswith("sku,price\nA-100,9.99")
+    assert joined(catalog, "flow.csv")[1] == "rivière,débit\nRhône,1700\nLoire,850"
+    assert joined(catalog, "gauges.tsv")[1].startswith("gauge,level\nG-1,0.42")
 
 
 def test_markdown_headings(catalog):
-    rows, _ = joined(catalog, "guide.md")
-    assert [r["locator"] for r in rows] == ["Overview", "Locale Setup", "Troubleshooting"]
-    assert rows[0]["title"] == "Overview"
-    assert rows[1]["text"] == "Locale Setup\n\nConfigure the locale carefully."
+    rows, _ = joined(catalog, "river.md")
+    assert [r["locator"] for r in rows] == ["Survey", "Instruments", "Errors"]
+    assert rows[0]["title"] == "Survey"
+    assert rows[1]["text"] == "Instruments\n\nA weighted line and a notebook."
 
 
 def test_json(catalog):
-    rows, text = joined(catalog, "feedback.json")
-    assert "locale: fr-CA" in text and "note.text: needs review" in text
+    rows, text = joined(catalog, "soundings.json")
+    assert "depth: 2.25" in text and "bed.kind: coarse gravel" in text
     assert rows[0]["locator"] == "records 1-2" and rows[0]["page_count"] == 2
-    assert "count: 42" in joined(catalog, "events.jsonl")[1]
+    assert "hour: 10" in joined(catalog, "tides.jsonl")[1]
 
 
 def test_html(catalog):
-    rows, text = joined(catalog, "page.html")
-    assert text == "Locale Report\nSummary\nThe transcription quality improved."
-    assert rows[0]["title"] == "Locale Report" and rows[0]["locator"] == "part 1"
+    rows, text = joined(catalog, "harbour.html")
+    assert text == "Harbour Survey\nFindings\nThe dredged channels silted quickly."
+    assert rows[0]["title"] == "Harbour Survey" and rows[0]["locator"] == "part 1"
 
 
 def test_pages(catalog):
-    rows, _ = joined(catalog, "doc.pdf")
+    rows, _ = joined(catalog, "birds.pdf")
     assert [(r["ordinal"], r["locator"]) for r in rows] == [(0, "page 1"), (1, "page 2")]
     assert rows[0]["page_count"] == 2
-    assert joined(catalog, "scanned.pdf")[0] == []
+    assert joined(catalog, "sign.pdf")[0] == []
 
 
 def test_sheets(catalog):
-    rows, _ = joined(catalog, "sheet.xlsx")
+    rows, _ = joined(catalog, "buoys.xlsx")
     assert [(r["locator"], r["text"]) for r in rows] == [
-        ("sheet 'Q1'", "product,units\nwidget,42\ngadget,"), ("sheet 'Lone'", "only line,x"),
+        ("sheet 'North'", "buoy,chain\nred,18\ngreen,"), ("sheet 'South'", "none laid,yet"),
     ]
 
 
 def test_blocks(catalog):
-    rows, text = joined(catalog, "table_memo.docx")
-    assert text == "Inventory snapshot\n\nitem,count\nsprocket,314"
-    assert rows[0]["title"] == "Inventory snapshot" and rows[0]["locator"] == "block 1"
+    rows, text = joined(catalog, "stores.docx")
+    assert text == "Stores on hand\n\npart,stock\nshackle,57"
+    assert rows[0]["title"] == "Stores on hand" and rows[0]["locator"] == "block 1"
 
 
 def test_image_uses_the_tiers_model(catalog):
-    rows, text = joined(catalog, "scan.png")
-    assert text == "Receipt 99.50 by gpt-4o-mini" and rows[0]["locator"] == "image"
+    rows, text = joined(catalog, "pier.png")
+    assert text == "No mooring, read by gpt-4o-mini" and rows[0]["locator"] == "image"
     stored = catalog.table("doc_metadata").collect()
     assert [(r["key"], r["value"]) for r in stored] == [("vision_model", "gpt-4o-mini")]
 
 
 def test_high_tier_reads_blank_pages(spark, folder, extracted):
-    found = extract(list_folder(spark, str(folder)), folder_content(spark, str(folder)), "high", transcribe=receipt_factory, **extracted)
+    found = extract(list_folder(spark, str(folder)), folder_content(spark, str(folder)), "high", transcribe=sign_factory, **extracted)
     seen = found.chunks.filter(F.col("locator") == "page 1 (ocr)").collect()
-    assert [r["text"] for r in seen] == ["Receipt 99.50 by gpt-4o"]
+    assert [r["text"] for r in seen] == ["No mooring, read by gpt-4o"]
     counted = {r["value"] for r in found.metadata.collect() if r["key"] == "ocr_pages"}
     assert counted == {"1"}
 
@@ -102,9 +102,9 @@ def test_rejects_do_not_stop_a_run(spark, tmp_path):
 
 def test_second_run_skips_and_full_run_changes_nothing(spark, folder, extracted, catalog):
     before = sorted(map(tuple, catalog.table("chunks").collect()))
-    again = ingest_folder(catalog, str(folder), transcribe=receipt_factory, **extracted)
+    again = ingest_folder(catalog, str(folder), transcribe=sign_factory, **extracted)
     assert again.documents == 0
-    full = ingest_folder(catalog, str(folder), full=True, transcribe=receipt_factory, **extracted)
+    full = ingest_folder(catalog, str(folder), full=True, transcribe=sign_factory, **extracted)
     assert full.documents == 14
     assert catalog.table("documents").count() == 14
     assert sorted(map(tuple, catalog.table("chunks").collect())) == before
@@ -215,7 +215,7 @@ def test_failed_pages_are_rejects(spark, folder, extracted):
 
     found = extract(list_folder(spark, str(folder)), folder_content(spark, str(folder)),
                     "high", transcribe=factory, **extracted)
-    errors = [r["error"] for r in found.rejects.collect() if "scanned" in r["local_path"]]
+    errors = [r["error"] for r in found.rejects.collect() if "sign.pdf" in r["local_path"]]
     assert errors == ["page 1: OSError: no such image"]
     counted = [r for r in found.metadata.collect() if r["key"] == "ocr_pages"]
     assert counted == []

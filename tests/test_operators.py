@@ -36,11 +36,11 @@ def test_fusion_limit_and_ties(spark):
 
 def test_keyword_tags(spark):
     chunks = spark.createDataFrame([
-        ("d", 0, "Locale locale feedback feedback feedback the the and 123 transcription"),
+        ("d", 0, "Channel channel gravel gravel gravel the the and 123 silting"),
         ("d", 1, "zeta alpha zeta-1"),
     ], "doc_id string, ordinal int, text string")
     rows = tags.keyword_tags(chunks, 5).orderBy("tag_rank").collect()
-    assert [r["tag"] for r in rows] == ["feedback", "locale", "transcription", "zeta", "alpha"]
+    assert [r["tag"] for r in rows] == ["gravel", "channel", "silting", "zeta", "alpha"]
 
 
 def high_tier(spark, tag):
@@ -164,7 +164,7 @@ def test_manifest(spark, catalog, tmp_path):
     write_index(catalog, str(tmp_path / "index"), "My index")
     text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "index")).collect())
     assert text.startswith("# My index") and "14 documents" in text
-    assert "## csv" in text and "### Locale Report\n- `page.html` · 1 chunks" in text
+    assert "## csv" in text and "### Harbour Survey\n- `harbour.html` · 1 chunks" in text
     assert text.index("## csv") < text.index("## docx") < text.index("## xlsx")
     nothing = catalog.table("documents").limit(0)
     empty = manifest.manifest_entries(nothing, catalog.table("chunks"), catalog.table("tags"))

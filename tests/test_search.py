@@ -13,31 +13,31 @@ def rows(found):
 
 
 def test_ranked_hits(catalog):
-    found, mode = search(catalog, "fox")
+    found, mode = search(catalog, "heron")
     assert mode == "bm25"
     assert found.columns == ["query_id", "rank", *schemas.RESULT_COLUMNS]
     hits = found.collect()
-    assert {h["filename"] for h in hits} == {"doc.pdf", "memo.docx"}
+    assert {h["filename"] for h in hits} == {"birds.pdf", "note.docx"}
     assert hits[0]["score"] >= hits[-1]["score"]
 
 
 def test_stemming_finds_other_forms(catalog):
-    assert {h["filename"] for h in rows(search(catalog, "transcriptions qualities"))} >= {
-        "page.html", "notes.txt"}
+    assert {h["filename"] for h in rows(search(catalog, "dredges silts"))} >= {
+        "harbour.html", "log.txt"}
 
 
 def test_type_filter(catalog):
-    assert {h["source_type"] for h in rows(search(catalog, "fox", types=["docx"]))} == {"docx"}
+    assert {h["source_type"] for h in rows(search(catalog, "heron", types=["docx"]))} == {"docx"}
 
 
 def test_source_filter(catalog):
-    assert rows(search(catalog, "fox", source="gdrive")) == []
-    assert rows(search(catalog, "fox", source="local"))
+    assert rows(search(catalog, "heron", source="gdrive")) == []
+    assert rows(search(catalog, "heron", source="local"))
 
 
 def test_tag_filter(catalog):
-    tag = catalog.table("tags").filter("tag = 'lazy'").first()
-    hits = rows(search(catalog, "fox dog", tags=["lazy", "dog"]))
+    tag = catalog.table("tags").filter("tag = 'water'").first()
+    hits = rows(search(catalog, "heron ferry", tags=["water", "ferry"]))
     assert {h["doc_id"] for h in hits} == {tag["doc_id"]}
 
 
@@ -47,22 +47,22 @@ def test_no_match(catalog):
 
 
 def test_format(catalog):
-    found, mode = search(catalog, "sprocket")
+    found, mode = search(catalog, "shackle")
     shown = results.format_results(found, 10, mode)
-    assert shown.startswith("(mode: bm25)\n1. [") and "table_memo.docx (docx, block 1)" in shown
+    assert shown.startswith("(mode: bm25)\n1. [") and "stores.docx (docx, block 1)" in shown
     assert "\n   uri: file:" in shown
 
 
 def test_vector_mode(embedded):
-    hits, mode = search(embedded, "quick brown fox", mode="vector", embed_query=toy_factory)
+    hits, mode = search(embedded, "heron watches shallow water", mode="vector", embed_query=toy_factory)
     hits = hits.collect()
     assert mode == "vector" and len(hits) == 10
     assert all(-1 <= h["score"] <= 1 for h in hits)
-    assert hits[0]["filename"] == "doc.pdf"
+    assert hits[0]["filename"] == "birds.pdf"
 
 
 def test_hybrid_mode(embedded):
-    hits, mode = search(embedded, "fox", mode="hybrid", limit=5, embed_query=toy_factory)
+    hits, mode = search(embedded, "heron", mode="hybrid", limit=5, embed_query=toy_factory)
     hits = hits.collect()
     assert mode == "hybrid" and 0 < len(hits) <= 5
     assert all(0 < h["score"] <= 2 / 60 for h in hits)
@@ -70,25 +70,25 @@ def test_hybrid_mode(embedded):
 
 
 def test_hybrid_respects_filters(embedded):
-    hits = rows(search(embedded, "fox", types=["json"], embed_query=toy_factory))
+    hits = rows(search(embedded, "heron", types=["json"], embed_query=toy_factory))
     assert hits and {h["source_type"] for h in hits} == {"json"}
 
 
 def test_auto(catalog, embedded):
-    assert search(catalog, "fox")[1] == "bm25"
-    assert search(embedded, "fox", embed_query=toy_factory)[1] == "hybrid"
+    assert search(catalog, "heron")[1] == "bm25"
+    assert search(embedded, "heron", embed_query=toy_factory)[1] == "hybrid"
 
 
 def test_errors(catalog):
     with pytest.raises(ValueError):
-        search(catalog, "fox", mode="fuzzy")
+        search(catalog, "heron", mode="fuzzy")
     for mode in ("vector", "hybrid"):
         with pytest.raises(RuntimeError):
-            search(catalog, "fox", mode=mode)
+            search(catalog, "heron", mode=mode)
 
 
 def test_query_table(spark, catalog):
-    queries = spark.createDataFrame([(7, "fox"), (8, "locale"), (9, "zebra")],
+    queries = spark.createDataFrame([(7, "heron"), (8, "silt"), (9, "zebra")],
                                     "query_id bigint, text string")
     hits = rows(search(catalog, queries, limit=2))
     assert {h["query_id"] for h in hits} == {7, 8}
