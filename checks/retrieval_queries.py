@@ -11,6 +11,7 @@ from folioscan.functions import terms as tm
 from folioscan.functions import vectors as vx
 from folioscan.operators import dense, fusion, lexical, model_calls, results
 from folioscan.operators.filters import Filters, matching_documents, restrict
+from folioscan.operators.joins import is_small
 from folioscan.operators.ranking import first_k, top_k
 from folioscan.plans.search import lexical_scores
 from folioscan.sources.shared import checkpointed
@@ -71,6 +72,22 @@ def bm25_top_k(spark, sf_dir):
     return top_k(_lexical_scores(spark, sf_dir), LIMIT).withColumn("score", F.round("score", 6))
 
 
+@check(q.select(
+    "SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank "
+    "FROM lexical", q.QUERIES, q.POSTINGS, q.SCORES, q.ranked("lexical_scores", "lexical", LIMIT)))
+def bm25_block_max(spark, sf_dir):
+    """The best chunks from postings in blocks with their maxima."""
+    chunks = r.chunks(spark, sf_dir)
+    wanted = lexical.query_terms(r.queries(spark, sf_dir), stemmer=None)
+    blocks = max(1, chunks.select("doc_id").distinct().count() // 8)
+    postings = checkpointed(lexical.in_blocks(lexical.build_postings(chunks, None), blocks))
+    best = lexical.block_max_top_k(
+        postings, checkpointed(lexical.block_maxima(postings)),
+        lexical.document_frequencies(postings), lexical.corpus_totals(chunks, None), wanted,
+        is_small(wanted), LIMIT)
+    return best.withColumn("score", F.round("score", 6))
+
+
 _BEST_WORD = """queries AS (
   SELECT 0 AS query_id, string_agg(term, ' ') AS text FROM (
     SELECT term FROM frequencies ORDER BY df DESC, term LIMIT 3))"""

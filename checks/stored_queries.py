@@ -13,11 +13,12 @@ from checks.catalog_queries import WORDS
 from checks.registry import check
 from folioscan import schemas
 from folioscan.plans.backfill import backfill
-from folioscan.plans.ingest import store_extracted
+from folioscan.plans.ingest import ingest_folder, store_extracted
 from folioscan.plans.search import search
 from folioscan.sources.catalog import Catalog
 from folioscan.sources.files import REJECTS, Extracted
 from folioscan.sources.shared import new_folder
+from folioscan.streaming.incremental import ingest_stream
 
 
 def _ingest(catalog, documents, chunks):
@@ -57,6 +58,62 @@ def _stored_catalog(spark, sf_dir):
     return catalog
 
 
+def _order_files(spark, sf_dir):
+    """Orders as one delimited file per status, with a header line."""
+    path = new_folder(spark, "orders")
+    r.table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("folder"), "o_orderkey", "o_orderstatus",
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"),
+    ).repartition("folder").sortWithinPartitions("folder", "o_orderkey").write.partitionBy(
+        "folder").option("header", "true").csv(path)
+    return path
+
+
+def _ingested(catalog):
+    """Chunks by the folder of their file, and whether ids follow from path and time."""
+    documents = catalog.table("documents").select(
+        "doc_id", F.regexp_extract("path", "folder=([^/]*)", 1).alias("folder"), "page_count",
+        "source_type", (F.col("doc_id") == F.substring(F.sha1(F.concat(
+            "path", F.lit("|"), F.unix_micros(F.col("modified_at").cast("timestamp")).cast(
+                "string"))), 1, 16)).alias("id_follows"))
+    return documents.join(catalog.table("chunks"), "doc_id").select(
+        "folder", "source_type", "page_count", "id_follows", "ordinal", "locator", "text")
+
+
+_ORDER_FILES = """SELECT o_orderstatus AS folder, 'csv' AS source_type, CAST(page_count AS INT)
+    AS page_count, true AS id_follows, ordinal,
+  'rows ' || (min(row_no) + 1) || '-' || (max(row_no) + 1) AS locator,
+  'o_orderkey,o_orderstatus,o_orderpriority' || chr(10)
+    || string_agg(line, chr(10) ORDER BY row_no) AS text
+FROM (SELECT *, CAST(row_no // 50 AS INT) AS ordinal,
+        o_orderkey || ',' || o_orderstatus || ',' || coalesce(nullif(o_orderpriority, '5-LOW'), '')
+        AS line
+      FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1
+              AS row_no, count(*) OVER (PARTITION BY o_orderstatus) AS page_count FROM orders))
+GROUP BY o_orderstatus, page_count, ordinal"""
+
+
+@check(_ORDER_FILES)
+def ingested_files(spark, sf_dir):
+    """A folder listed, extracted and stored, then once more without anything to do."""
+    path = _order_files(spark, sf_dir)
+    catalog = Catalog(spark, new_folder(spark, "catalog"), parts=4)
+    assert ingest_folder(catalog, path, effort="low").failed == 0
+    assert ingest_folder(catalog, path, effort="low").documents == 0
+    return _ingested(catalog)
+
+
+@check(_ORDER_FILES)
+def streamed_ingest(spark, sf_dir):
+    """The same folder as a stream that is started twice."""
+    path = _order_files(spark, sf_dir)
+    catalog = Catalog(spark, new_folder(spark, "catalog"), parts=4)
+    checkpoint = new_folder(spark, "stream")
+    for _ in range(2):
+        ingest_stream(catalog, path, checkpoint, effort="low").awaitTermination()
+    return _ingested(catalog)
+
+
 @check(q.select(
     f"{rq._HYBRID} FROM fused JOIN chunks USING (chunk_id, doc_id) JOIN docs d USING (doc_id)",
     rq._LISTS, q.fused(rq.LIMIT)))

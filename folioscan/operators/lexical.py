@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan import schemas, settings
 from folioscan.functions import terms as tm
 from folioscan.operators.joins import join_small
-from folioscan.operators.ranking import stable_score
+from folioscan.operators.ranking import stable_score, top_k
+from folioscan.sources.shared import checkpointed
 
 STEMMERS = ("porter", None)
 
@@ -65,6 +67,27 @@ def matching_postings(postings: DataFrame, wanted: DataFrame, small: bool) -> Da
     return join_small(postings, terms, ["term"], F.col("chunk_id"), small, "left_semi")
 
 
+def _weights(
+    frequencies: DataFrame, totals: DataFrame, wanted: DataFrame, small: bool
+) -> tuple[DataFrame, float]:
+    """(query_id, term, _idf), and the mean length of a chunk."""
+    n, length = totals.agg(
+        F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("total_len"), F.lit(0))
+    ).first()
+    known = join_small(frequencies, wanted, ["term"], F.col("df"), small)
+    # One row per query term again, so as small as the query terms.
+    weights = known.groupBy("query_id", "term").agg(F.sum("df").alias("df")).select(
+        "query_id", "term",
+        F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"),
+    )
+    return weights, length / n if length else 1.0
+
+
+def _part(tf: Column, length: Column, avg_len: float, k1: float, b: float) -> Column:
+    """What a term adds to a score: more with its frequency, less with the length."""
+    return F.col("_idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(avg_len)))
+
+
 def score(
     matching: DataFrame,
     frequencies: DataFrame,
@@ -85,22 +108,79 @@ def score(
     summed and cut to the best `k` in the same tasks: pairs of query and chunk never
     travel.
     """
-    n, length = totals.agg(
-        F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("total_len"), F.lit(0))
-    ).first()
-    avg_len = length / n if length else 1.0
-    known = join_small(frequencies, wanted, ["term"], F.col("df"), small)
-    # One row per query term again, so as small as the query terms.
-    weights = known.groupBy("query_id", "term").agg(F.sum("df").alias("df")).select(
-        "query_id", "term",
-        F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"),
-    )
+    weights, avg_len = _weights(frequencies, totals, wanted, small)
     together = matching.repartition("chunk_id") if small else matching
     matched = join_small(together, weights, ["term"], F.col("chunk_id"), small)
-    part = F.col("_idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len))
-    )
+    part = _part(F.col("tf"), F.col("len"), avg_len, k1, b)
     return (
         matched.groupBy("query_id", "chunk_id", "doc_id")
         .agg(stable_score(F.sum(part)).alias("score"))
     )
+
+
+def in_blocks(postings: DataFrame, blocks: int) -> DataFrame:
+    """Postings with the block of their document; chunks of a document stay together."""
+    return postings.withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+
+
+def block_maxima(postings: DataFrame) -> DataFrame:
+    """(term, block, max_tf, min_len): what a term can add at most inside a block."""
+    return postings.groupBy("term", "block").agg(
+        F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+
+
+def block_max_top_k(
+    postings: DataFrame,
+    maxima: DataFrame,
+    frequencies: DataFrame,
+    totals: DataFrame,
+    wanted: DataFrame,
+    small: bool,
+    limit: int,
+    rounds: tuple[int, ...] = (4, 32),
+    k1: float = settings.BM25_K1,
+    b: float = settings.BM25_B,
+    read: list[int] | None = None,
+) -> DataFrame:
+    """The best `limit` chunks per query, as `top_k(score(...))`, from fewer postings.
+
+    `postings` and `maxima` have blocks. The maxima of its terms bound what any chunk of a
+    block can score for a query. Blocks are taken by descending bound, in rounds that end at
+    the given ranks; after each one the limit-th best score so far is a threshold, and a
+    block whose bound lies below it is not looked at. The last round takes what is left,
+    so nothing is missed. `read`, if given, gets the number of postings of every round.
+    """
+    weights, avg_len = _weights(frequencies, totals, wanted, small)
+    weights = checkpointed(weights)
+    terms = join_small(maxima, weights, ["term"], F.col("block"), small).withColumn(
+        "_most", _part(F.col("max_tf"), F.col("min_len"), avg_len, k1, b))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    bounds = checkpointed(terms.groupBy("query_id", "block").agg(
+        F.sum("_most").alias("bound")).withColumn("_order", F.row_number().over(order)))
+    best, after = None, 0
+    for upto in (*rounds, None):
+        blocks = bounds.filter(F.col("_order") > after)
+        if upto is not None:
+            blocks = blocks.filter(F.col("_order") <= upto)
+        if best is not None:
+            # Sums of doubles differ in their last digits with their order.
+            least = best.groupBy("query_id").agg(
+                F.when(F.count("*") >= limit, F.min("score") - 1e-6).alias("_least"))
+            blocks = blocks.join(least, "query_id", "left").filter(
+                F.col("_least").isNull() | (F.col("bound") >= F.col("_least")))
+        wanted_blocks = blocks.select("query_id", "block").join(
+            weights, "query_id").select("term", "block", "query_id", "_idf")
+        # At most one row per query, block and term; a key holds the postings of a block.
+        matched = postings.join(wanted_blocks, ["term", "block"])
+        if read is not None:
+            read.append(postings.join(
+                wanted_blocks.select("term", "block").distinct(), ["term", "block"],
+                "left_semi").count())
+        scores = matched.groupBy("query_id", "chunk_id", "doc_id").agg(stable_score(F.sum(
+            _part(F.col("tf"), F.col("len"), avg_len, k1, b))).alias("score"))
+        found = top_k(scores, limit)
+        if best is not None:
+            found = top_k(best.drop("rank").unionByName(found.drop("rank")), limit)
+        best, after = checkpointed(found), upto
+    return best

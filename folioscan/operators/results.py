@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan import schemas, settings
 from folioscan.functions import text as tx
+from folioscan.sources.shared import checkpointed
 
 BROADCAST_RESULTS = 100_000
 
@@ -19,6 +20,8 @@ def result_rows(
     Text is read only for rows that made the list. `max_rows` is the caller's bound
     on the number of ranked rows; within BROADCAST_RESULTS they are broadcast.
     """
+    # The ranking feeds two joins; it is computed once, a list per query.
+    ranked = checkpointed(ranked)
     small = max_rows is not None and max_rows <= BROADCAST_RESULTS
     side = F.broadcast if small else (lambda df: df)
     about = documents.select("doc_id", "filename", "source_type", "source_uri", "summary")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan import settings
@@ -19,6 +22,8 @@ from folioscan.sources.vector_store import vector_store
 
 # Up to this many distinct query terms are named in the scan of the postings.
 LISTED_TERMS = 500
+# Spark's default of values in one pushed list that are compared one by one.
+PUSHED_VALUES = 10
 
 
 def lexical_scores(
@@ -64,6 +69,15 @@ def resolve_mode(catalog: Catalog, mode: str) -> str:
     return mode
 
 
+def named_terms(terms: list[str]) -> Column:
+    """Whether `term` is one of the terms, in a form that the scan checks one by one.
+
+    Of a longer list the Parquet reader would only check the least and the largest.
+    """
+    groups = [terms[i:i + PUSHED_VALUES] for i in range(0, len(terms), PUSHED_VALUES)]
+    return reduce(or_, [F.col("term").isin(*g) for g in groups], F.lit(False))
+
+
 def lexical_top_k(
     catalog: Catalog, queries: DataFrame, limit: int, wanted: Filters
 ) -> DataFrame:
@@ -78,7 +92,7 @@ def lexical_top_k(
     postings, frequencies = catalog.table("postings"), catalog.table("term_stats")
     listed = terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()
     if len(listed) <= LISTED_TERMS:
-        known = F.col("term").isin(*[row["term"] for row in listed])
+        known = named_terms([row["term"] for row in listed])
         postings, frequencies = postings.filter(known), frequencies.filter(known)
     # Filtering postings, not scores, keeps pairs of query and chunk out of the join;
     # the statistics come from their own tables and do not change.

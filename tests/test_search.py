@@ -1,10 +1,13 @@
 """Search over a stored catalog, one mode at a time."""
 
+import random
+
 import pytest
 
 from folioscan import schemas
-from folioscan.operators import results
-from folioscan.plans.search import search
+from folioscan.operators import lexical, results
+from folioscan.operators.ranking import top_k
+from folioscan.plans.search import named_terms, search
 from tests.helpers import toy_factory
 
 
@@ -93,3 +96,43 @@ def test_query_table(spark, catalog):
     hits = rows(search(catalog, queries, limit=2))
     assert {h["query_id"] for h in hits} == {7, 8}
     assert all(h["rank"] < 2 for h in hits)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 60])
+def test_block_maxima_give_the_same_list_from_fewer_postings(spark, limit):
+    rng = random.Random(limit)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(60)],
+                                  k=rng.randint(1, 40))) for _ in range(500)]
+    texts += ["w50 w51 w52 " * 9] * 6 + [""]
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"d{i // 2}", t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, text string")
+    queries = spark.createDataFrame(
+        [(1, "w50 w51 w52"), (2, "w0 w1"), (3, "nothing"), (4, "w59 w0 w20")], "query_id bigint, text string")
+    postings = lexical.in_blocks(lexical.build_postings(chunks, None), 60).cache()
+    wanted = lexical.query_terms(queries, stemmer=None)
+    facts = lexical.document_frequencies(postings), lexical.corpus_totals(chunks, None), wanted, True
+    read = []
+    best = lexical.block_max_top_k(
+        postings, lexical.block_maxima(postings), *facts, limit, read=read)
+    matching = lexical.matching_postings(postings, wanted, True)
+    expected = top_k(lexical.score(matching, *facts), limit)
+    assert sorted(map(tuple, best.select(expected.columns).collect())) == sorted(
+        map(tuple, expected.collect()))
+    assert len(read) == 3
+    if limit < 60:
+        assert sum(read) < matching.count() * 3 and read[2] < matching.count()
+    if limit == 1:
+        assert sum(read) < matching.count()
+
+
+def test_many_terms_reach_the_scan(spark, catalog):
+    terms = [f"t{i:02d}" for i in range(50)] + ["heron"]
+    found = catalog.table("postings").filter(named_terms(terms))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):].partition("ReadSchema")[0]
+    assert all(t in pushed for t in terms) and pushed.count("In(term") == 5
+    assert {r.term for r in found.collect()} == {"heron"}
+    assert catalog.table("postings").filter(named_terms([])).count() == 0
