@@ -285,7 +285,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         found = []
         yield packed(found)
 
-    return archives.select("path").repartition("path").mapInArrow(
+    # Paths are tiny, so adaptive plans would put all archives into one task.
+    tasks = max(1, archives.count())
+    return archives.select("path").repartition(tasks).mapInArrow(
         run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
              "refers_to bigint, problem string")
 
