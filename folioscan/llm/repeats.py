@@ -42,6 +42,8 @@ GRAM = 32
 CUT = 16  # windows in a part of a run
 DATA = ("data", "starts", "counts", "offsets", "anchors", "digests")
 SHARD_BYTES = 48 << 20  # of text whose entries one census shard gets
+# Spark allows 100,000; beyond, a bucket has several blocks, which are still read one by one.
+MOST_BUCKETS = 50_000
 
 
 def longest_previous_factors(order: list[int], common: list[int]) -> list[int]:
@@ -299,7 +301,7 @@ def find_repeats(
     size = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     shards = max(8, -(-size // SHARD_BYTES))
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = _encoded(rows, length, max(partitions, shards))
+    encoded = _encoded(rows, length, min(max(partitions, shards), MOST_BUCKETS))
     marks = stored(_judged(stored(_shared_runs(encoded, shards), "repeat-runs"), "marks"),
                    "repeat-marks")
     # Only blocks with open units take part in what follows.

@@ -144,6 +144,12 @@ def test_find_repeats(llm, monkeypatch, keep_first, length):
         assert gone == len(text.encode()) - len(want[i])
 
 
+def test_repeats_with_fewer_buckets_than_blocks(odd, monkeypatch):
+    before = sorted(map(str, _rows(repeats.digests(repeats.find_repeats(odd)))))
+    monkeypatch.setattr(repeats, "MOST_BUCKETS", 1)
+    assert sorted(map(str, _rows(repeats.digests(repeats.find_repeats(odd))))) == before
+
+
 def test_repeats_of_odd_rows(odd, nothing):
     rows = odd.select("doc_id", "text").collect()
     want = _repeated([(r.text or "").encode() for r in rows], 200, False)
