@@ -277,14 +277,26 @@ THRESHOLD = 0.5
 
 
 def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the chain finds toxic: doc_id, p_quality, p_toxic."""
+    """The documents that the chain finds toxic: doc_id, p_quality, p_toxic.
+
+    A row per row found: repeated rows come back as often, a null id stays null. Null and
+    empty texts are judged by the biases alone.
+    """
     models = fit(docs, labels, CHAIN)
     return predict(docs.select("doc_id", "text"), models).filter(
         F.col("p_toxic") > THRESHOLD).drop("text")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the rows that the chain finds toxic, with the same columns."""
+    """`docs` without the rows that the chain finds toxic, with the same columns.
+
+    Null and empty texts are judged by the biases alone; repeated rows share a verdict and
+    all stay or go. Other columns can bear any name and hold nulls; they come back as
+    they were. No rows give no rows.
+    """
     models = fit(docs, labels, CHAIN)
-    return predict(docs, models).filter(F.col("p_toxic") <= THRESHOLD).select(
-        *(F.col(f"`{c}`") for c in docs.columns))
+    # Under plain names nothing clashes with the columns of the chain.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    judged = predict(plain, models, f"c{docs.columns.index('text')}")
+    return judged.filter(F.col("p_toxic") <= THRESHOLD).select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -11,6 +11,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.llm import decontaminate, hmm, secrets, toxicity, warc
 from folioscan.llm.common import words
@@ -287,6 +289,11 @@ def test_toxicity(llm, odd, nothing):
     assert toxicity.accepted(odd, labels).columns == odd.columns
     assert toxicity.accepted(odd, labels).count() == odd.count()
     assert toxicity.accepted(odd, labels.limit(0)).count() == odd.count()
+    for name in ("p_toxic", "P_toxic", "P_Quality", "c0"):
+        clash = odd.withColumn(name, F.lit("mine"))
+        answered = toxicity.accepted(clash, labels)
+        assert answered.columns == clash.columns and answered.schema[name].dataType == T.StringType()
+        assert {r[name] for r in answered.collect()} == {"mine"}
     assert toxicity.rejected(nothing, labels).count() == 0
 
 
