@@ -35,7 +35,8 @@ from folioscan.sources.shared import new_folder
 
 STATES = 4
 BLOCK_BYTES = 16 << 20
-STEP_TOKENS = 1 << 19  # of sequences whose forward states are held at once
+STRETCH = 512  # tokens that follow one another in a task; longer texts are cut and composed
+STEP_TOKENS = 1 << 20  # of stretches whose forward states are held at once
 SETTLED = 1e-3  # gain of a round in log10 likelihood per training token that ends training
 SEED = 7
 END = b""  # the token that ends every text; words are never empty
@@ -49,36 +50,120 @@ class Chain:
     move: np.ndarray
 
 
+class _Steps:
+    """Stretches run side by side, longest first, so that step t concerns a leading part."""
+
+    def __init__(self, begin: np.ndarray, size: np.ndarray):
+        steps = int(size[0])
+        alive = np.searchsorted(-size, -np.arange(1, steps + 1), "right").tolist()
+        ends = np.cumsum(alive).tolist()
+        # Of each step: its first and last place among the tokens in order of the steps.
+        self.parts = [(e - n, e) for n, e in zip(alive, ends, strict=True)]
+        self.places = np.concatenate([begin[:n] + t for t, n in enumerate(alive)])
+
+
 class _Sequences:
-    """Sequences of one block, longest first, so that step t concerns a leading part."""
+    """Sequences of one block, cut into stretches that run side by side.
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        begins = np.cumsum(lengths) - lengths
-        self.begin = begins[self.order]
-        sizes = lengths[self.order]
-        steps = int(sizes[0]) if len(sizes) else 0
-        # How many sequences are longer than t.
-        self.alive = np.searchsorted(-sizes, -np.arange(1, steps + 1), "right")
-        self.ids = ids
+    Moves and emissions of a stretch are a K x K product. Products of all stretches of longer
+    sequences are made at once and composed along each sequence; that gives the exact forward
+    vector on entry and backward vector on exit of every stretch, which then runs alone. So
+    no text takes more steps than a stretch has tokens, and states of few tokens are held.
+    """
 
-    def at(self, t: int) -> np.ndarray:
-        return self.ids[self.begin[:self.alive[t]] + t]
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, chosen: np.ndarray | None = None):
+        self.ids, self.count = ids, len(lengths)
+        lengths = np.asarray(lengths, np.int64)
+        begins = np.cumsum(lengths) - lengths
+        which = np.arange(len(lengths)) if chosen is None else chosen
+        pieces = -(-lengths[which] // STRETCH)
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(STRETCH, np.repeat(lengths[which], pieces) - number * STRETCH)
+        order = np.argsort(-size, kind="stable")
+        # All that follows is in this order, longest stretch first.
+        self.owner = np.repeat(which, pieces)[order]
+        self.begin = np.repeat(begins[which], pieces)[order] + number[order] * STRETCH
+        self.size = size[order]
+        self.number = number[order]
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        more = number + 1 < np.repeat(pieces, pieces)
+        self.next = np.where(more, np.append(spot[1:], -1)[:len(spot)], -1)[order]
+
+    def _groups(self, some: np.ndarray) -> Iterator[np.ndarray]:
+        """The stretches `some`, in runs of about STEP_TOKENS tokens."""
+        group = (np.cumsum(self.size[some]) - 1) // STEP_TOKENS
+        yield from np.split(some, np.flatnonzero(np.diff(group)) + 1) if len(some) else ()
+
+    def _products(self, some: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """Of each stretch, what every state before its first token makes of those after its
+        last one, [to, from, stretch], up to a factor of the stretch.
+
+        Rows of a product differ at most by the ratio of moves, so one scale serves them all.
+        """
+        states = len(move)
+        made = np.zeros((states, states, len(some)), emit.dtype)
+        done = 0
+        for group in self._groups(some):
+            steps = _Steps(self.begin[group], self.size[group])
+            product = np.zeros((states, states, len(group)), emit.dtype)
+            for t, (a, b) in enumerate(steps.parts):
+                seen = np.take(emit, self.ids[steps.places[a:b]], axis=1)
+                if t:
+                    ahead = move.T @ product[:, :, :b - a].reshape(states, -1)
+                    now = ahead.reshape(states, states, -1) * seen[:, None]
+                else:
+                    now = np.eye(states, dtype=emit.dtype)[:, :, None] * seen[:, None]
+                product[:, :, :b - a] = now / now.sum(axis=(0, 1))
+            made[:, :, done:done + len(group)] = product
+            done += len(group)
+        return made
+
+    def _borders(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        """Of each stretch: states before it (of a first one: none), states expected at its
+        first token, and the backward vector after its last one, up to a factor.
+        """
+        entry = np.zeros((len(first), len(self.size)), emit.dtype)
+        ahead = np.repeat(first[:, None].astype(emit.dtype), len(self.size), axis=1)
+        back = np.ones_like(ahead)
+        cut = np.flatnonzero((self.number > 0) | (self.next >= 0))
+        if not len(cut):
+            return entry, ahead, back
+        products = self._products(cut, move, emit)
+        order = np.argsort(self.number[cut], kind="stable")
+        ranks = np.split(order, np.cumsum(np.bincount(self.number[cut]))[:-1])
+        for rank in ranks:
+            rank = rank[self.next[cut[rank]] >= 0]
+            if len(rank):
+                here, there = cut[rank], self.next[cut[rank]]
+                state = np.einsum("kin,in->kn", products[:, :, rank], ahead[:, here])
+                entry[:, there] = state / state.sum(axis=0)
+                ahead[:, there] = move.T @ entry[:, there]
+        for rank in ranks[::-1]:
+            rank = rank[self.next[cut[rank]] >= 0]
+            if len(rank):
+                here, there = cut[rank], self.next[cut[rank]]
+                column = np.searchsorted(cut, there)
+                state = move @ np.einsum(
+                    "kin,kn->in", products[:, :, column], back[:, there])
+                back[:, here] = state / state.sum(axis=0)
+        return entry, ahead, back
 
     def log10_likelihood(self, chain: Chain, emit: np.ndarray) -> np.ndarray:
         """By the scaled forward recursion; in the order the sequences were given."""
-        score = np.zeros(len(self.order))
-        state = None
-        for t, n in enumerate(self.alive.tolist()):
-            ahead = np.broadcast_to(chain.first, (n, len(chain.first))) if state is None else (
-                state[:n] @ chain.move)
-            state = ahead * emit[self.at(t)]
-            scale = state.sum(axis=1)
-            state /= scale[:, None]
-            score[:n] += np.log10(scale)
-        given = np.empty_like(score)
-        given[self.order] = score
-        return given
+        emit = np.ascontiguousarray(emit.T)
+        _, ahead, _ = self._borders(chain.first, chain.move, emit)
+        found = np.zeros(len(self.size))
+        for group in self._groups(np.arange(len(self.size))):
+            steps = _Steps(self.begin[group], self.size[group])
+            state = None
+            for a, b in steps.parts:
+                begin = ahead[:, group] if state is None else chain.move.T @ state[:, :b - a]
+                state = begin * np.take(emit, self.ids[steps.places[a:b]], axis=1)
+                scale = state.sum(axis=0)
+                state /= scale
+                found[group[:b - a]] += np.log10(scale)
+        return np.bincount(self.owner, found, minlength=self.count)
 
     def expect(self, chain: Chain, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of (word, state), of moves and of first states.
@@ -87,37 +172,44 @@ class _Sequences:
         """
         states = len(chain.first)
         first, move = chain.first.astype(np.float32), chain.move.astype(np.float32)
-        forward, scales = [], []
-        state = None
-        for t, n in enumerate(self.alive.tolist()):
-            ahead = np.broadcast_to(first, (n, states)) if state is None else state[:n] @ move
-            state = ahead * emit[self.at(t)]
-            scale = state.sum(axis=1, keepdims=True)
-            state /= scale
-            forward.append(state)
-            scales.append(scale)
-        self.likelihood = float(sum(np.log10(s.astype(np.float64)).sum() for s in scales))
-        moves = np.zeros((states, states))
-        shares: list[np.ndarray] = []
-        back = np.zeros((0, states), np.float32)
-        for t in range(len(forward) - 1, -1, -1):
-            n = len(forward[t])
-            if len(back) < n:  # sequences that end here
-                back = np.concatenate([back, np.ones((n - len(back), states), np.float32)])
-            shares.append(forward[t] * back)
-            if t:
-                seen = emit[self.at(t)] * back / scales[t]
-                moves += forward[t - 1][:n].T @ seen
-                back = seen @ move.T
-        moves *= chain.move
-        if not shares:
-            return np.zeros((len(emit), states)), moves, np.zeros(states)
-        begins = shares[-1].sum(axis=0, dtype=np.float64)
-        weight = np.concatenate(shares[::-1])
-        word = np.concatenate([self.at(t) for t in range(len(forward))])
-        counts = np.stack(
-            [np.bincount(word, weight[:, k], minlength=len(emit)) for k in range(states)], 1)
-        return counts, moves, begins
+        emit = np.ascontiguousarray(emit.T)
+        entry, ahead, back = self._borders(first, move, emit)
+        counts = np.zeros((emit.shape[1], states))
+        moves, begins, self.likelihood = np.zeros((states, states)), np.zeros(states), 0.0
+        for group in self._groups(np.arange(len(self.size))):
+            steps = _Steps(self.begin[group], self.size[group])
+            word = self.ids[steps.places]
+            seen = np.take(emit, word, axis=1)
+            forward, scale = np.empty_like(seen), np.empty(len(word), seen.dtype)
+            state = None
+            for a, b in steps.parts:
+                begin = ahead[:, group] if state is None else move.T @ state[:, :b - a]
+                state = forward[:, a:b]
+                np.multiply(begin, seen[:, a:b], out=state)
+                scale[a:b] = state.sum(axis=0)
+                state /= scale[a:b]
+            self.likelihood += float(np.log10(scale.astype(np.float64)).sum())
+            behind = back[:, group]
+            alive = 0
+            for t in range(len(steps.parts) - 1, -1, -1):
+                a, b = steps.parts[t]
+                state, after, now = forward[:, a:b], behind[:, :b - a], seen[:, a:b]
+                # Stretches that end here: forward times backward is a distribution.
+                after[:, alive:] /= (state[:, alive:] * after[:, alive:]).sum(axis=0)
+                alive = b - a
+                state *= after  # what the step before needs of `forward` is its own part
+                now *= after
+                now /= scale[a:b]
+                if t:
+                    c = steps.parts[t - 1][0]
+                    moves += forward[:, c:c + alive] @ now.T
+                    after[:] = move @ now
+            a, b = steps.parts[0]
+            moves += entry[:, group] @ seen[:, a:b].T
+            begins += forward[:, a:b][:, self.number[group] == 0].sum(axis=1, dtype=np.float64)
+            for k in range(states):
+                counts[:, k] += np.bincount(word, forward[k], minlength=len(counts))
+        return counts, moves * chain.move, begins
 
 
 class _Numbers(dict):
@@ -206,24 +298,10 @@ def _expected(
     ids: np.ndarray, lengths: np.ndarray, held: np.ndarray, chain: Chain, emit: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Expected counts of a block's training documents, and its figures for `Totals`."""
-    states = len(chain.first)
-    order = np.flatnonzero(~held)
-    order = order[np.argsort(-lengths[order], kind="stable")]
-    begins_at = np.cumsum(lengths) - lengths
-    group = (np.cumsum(lengths[order]) - 1) // STEP_TOKENS
-    counts, likelihood = np.zeros((len(emit), states)), 0.0
-    moves, begins = np.zeros((states, states)), np.zeros(states)
-    for number in np.unique(group):
-        part = order[group == number]
-        some = np.concatenate([ids[begins_at[d]:begins_at[d] + lengths[d]] for d in part])
-        sequences = _Sequences(some, lengths[part])
-        for total, found in zip(
-            (counts, moves, begins), sequences.expect(chain, emit), strict=True,
-        ):
-            total += found
-        likelihood += sequences.likelihood
+    sequences = _Sequences(ids, lengths, np.flatnonzero(~held))
+    counts, moves, begins = sequences.expect(chain, emit)
     return counts, np.concatenate(
-        [moves.ravel(), begins, counts.sum(axis=0), [likelihood]])
+        [moves.ravel(), begins, counts.sum(axis=0), [sequences.likelihood]])
 
 
 def _encoded(rows: DataFrame) -> DataFrame:

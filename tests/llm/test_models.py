@@ -18,7 +18,10 @@ from folioscan.llm import decontaminate, hmm, secrets, toxicity, warc
 from folioscan.llm.common import words
 
 
-def test_forward_equals_sum_over_paths():
+@pytest.mark.parametrize("stretch,held", [(512, 1 << 20), (1, 4), (2, 3), (3, 100)])
+def test_forward_equals_sum_over_paths(monkeypatch, stretch, held):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "STEP_TOKENS", held)
     rnd = np.random.default_rng(0)
     states, vocabulary = 3, 5
     chain = hmm.Chain(rnd.dirichlet([1] * states), rnd.dirichlet([1] * states, states))
@@ -71,6 +74,81 @@ def test_hmm_scores(odd, nothing, monkeypatch, rounds):
     assert hmm.score(nothing).count() == 0
 
 
+def _plain_pass(text, first, move, emit):
+    """Likelihood, and expected states, moves and first states of one text; no scaling."""
+    seen = [emit[w] for w in text]
+    ahead, back = [first * seen[0]], [np.ones(len(first))]
+    for e in seen[1:]:
+        ahead.append(ahead[-1] @ move * e)
+    for e in seen[:0:-1]:
+        back.insert(0, move @ (e * back[0]))
+    total = ahead[-1].sum()
+    held = [a * b / total for a, b in zip(ahead, back)]
+    moves = sum((np.outer(ahead[t - 1], seen[t] * back[t]) * move / total
+                 for t in range(1, len(text))), np.zeros_like(move))
+    return total, held, moves
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_hmm_scores_are_those_of_plain_baum_welch(llm, monkeypatch, rounds):
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(hmm, "STRETCH", 5)
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 30)))) for i in range(60)]
+    texts = {i: [*words(t), b""] for i, t in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    states = hmm.STATES
+    vocabulary = sorted({w for t in train for w in t})
+    n, v = sum(map(len, train)), len(vocabulary)
+    share = {w: (sum(t.count(w) for t in train) + 1) / (n + v + 1)
+             for t in texts.values() for w in t}
+    start = hmm.start_ratio(hmm._hashes(vocabulary), states)
+    emit = dict(zip(vocabulary, start))
+    first = np.full(states, 1 / states)
+    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    for _ in range(rounds):
+        expected = {w: np.zeros(states) for w in share}
+        begun, moved = np.ones(states), np.ones((states, states))
+        for text in train:
+            _, held, moves = _plain_pass(text, first, move, emit)
+            begun, moved = begun + held[0], moved + moves
+            for w, h in zip(text, held):
+                expected[w] += h
+        first, move = begun / begun.sum(), moved / moved.sum(axis=1, keepdims=True)
+        occupied = sum(expected.values())
+        model = {w: (expected[w] + (v + 1) * share[w]) / (occupied + v + 1) for w in share}
+        emit = {w: model[w] / share[w] for w in share}
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = {r.doc_id: r.score for r in hmm.score(docs, rounds=rounds).collect()}
+    for i, text in texts.items():
+        want = math.log10(_plain_pass(text, first, move, model)[0])
+        assert math.isclose(found[i], want, rel_tol=1e-5), (i, found[i], want)
+
+
+def test_hmm_long_texts_run_in_stretches():
+    """A text of a million words beside short ones: as a plain recursion scores it."""
+    rnd = np.random.default_rng(5)
+    lengths = np.array([3, 1_000_000, 1, 700])
+    ids = rnd.integers(0, 50, lengths.sum()).astype(np.int32)
+    chain = hmm.Chain(rnd.dirichlet([1] * 4), rnd.dirichlet([1] * 4, 4))
+    emit = rnd.random((50, 4))
+    sequences = hmm._Sequences(ids, lengths)
+    score = sequences.log10_likelihood(chain, emit)
+    state, want = chain.first, 0.0
+    for t, w in enumerate(ids[3:1_000_003].tolist()):
+        state = (state @ chain.move if t else state) * emit[w]
+        scale = state.sum()
+        want += math.log10(scale)
+        state = state / scale
+    assert math.isclose(score[1], want, rel_tol=1e-9)
+    counts, moves, begins = sequences.expect(chain, emit.astype(np.float32))
+    assert np.allclose(counts.sum(axis=1), np.bincount(ids, minlength=50), rtol=1e-4)
+    assert math.isclose(moves.sum(), lengths.sum() - len(lengths), rel_tol=1e-4)
+    assert math.isclose(begins.sum(), len(lengths), rel_tol=1e-5)
+    assert math.isclose(sequences.likelihood, score.sum(), rel_tol=1e-5)
+    assert hmm._Sequences(ids[:0], lengths[:0]).log10_likelihood(chain, emit).tolist() == []
+
+
 def test_hmm_is_a_distribution():
     """Over all words and one place for unknown ones, every state's emissions sum to one."""
     totals = hmm.Totals(100, 3, None, np.array([60.0, 40.0]))
