@@ -55,7 +55,15 @@ def _distinct(low: np.ndarray, high: np.ndarray | None, shards: int):
     shard = (low >> np.uint64(32)) % np.uint64(shards)
     near = shard << np.uint64(32) | low & np.uint64(0xFFFFFFFF)
     if high is None:
-        first, which, count = np.unique(near, return_inverse=True, return_counts=True)
+        order = np.argsort(near)
+        first = near[order]
+        new = np.ones(len(order), bool)
+        new[1:] = first[1:] != first[:-1]
+        first = first[new]
+        which = near.view(np.int64)  # the entries are done with; their place takes the numbers
+        which[order] = np.cumsum(new) - 1
+        del order
+        count = np.diff(np.append(np.flatnonzero(new), len(new)))
         parts = {"near": first.astype(np.uint32)}
     else:
         order = np.lexsort((high, low, shard))
@@ -119,12 +127,16 @@ def census(
             several = np.diff(np.append(begins, len(order))) > 1
             level = np.where(several[np.cumsum(new) - 1], 2 - new, 0)
         else:
-            order = np.argsort(low, kind="stable")
-            a = low[order]
+            del near
+            order = np.argsort(low)
+            low = low[order]
             new = np.ones(len(order), bool)
-            new[1:] = a[1:] != a[:-1]
-            times = np.add.reduceat(count[order].astype(np.int64), np.flatnonzero(new))
-            level = (np.floor(np.log2(times)) + (times > 1)).astype(np.int64)[np.cumsum(new) - 1]
+            new[1:] = low[1:] != low[:-1]
+            del low
+            begins = np.flatnonzero(new)
+            times = np.add.reduceat(count[order], begins, dtype=np.int64)
+            level = np.log2(times).astype(np.uint8) + (times > 1)
+            level = np.repeat(level, np.diff(np.append(begins, len(new))))
         found = np.empty(len(order), np.uint8)
         found[order] = level
         cuts = np.split(found, np.cumsum(sizes)[:-1])
