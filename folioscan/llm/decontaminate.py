@@ -6,11 +6,14 @@ Two sequences of small edit distance walk alike, so their outputs differ in few
 edit distance becomes Hamming distance. Sampling a few output places gives a key that close
 sequences share with good chance; several walks and samples bring recall to a target. Keys of
 the items are kept in a table, keys of item-sized windows of documents are looked up in it,
-and an exact word edit distance decides about every match. The drift of a walk grows faster
-than the edits, so keys miss copies of long items; those have none, and the edit distance
-decides about every place that the condition below leaves.
+and an exact word edit distance decides about every match.
 
-Embedding every window of every document would be wasteful. If an item is within `d` edits
+The drift of a walk grows faster than the edits, so long items are embedded in pieces. If a
+passage is within a fifth of an item's words in edits, then some piece is within a fifth of its
+own words; each piece that is found names a place of the whole item, places that overlap are
+chained, and the whole item is verified there.
+
+Embedding every window of every document would be wasteful. If a piece is within `d` edits
 of a passage, one of its `d + 1` segments stands there unchanged; only windows around such
 a segment are embedded. That condition loses nothing.
 """
@@ -28,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import mixed, text_of
+from folioscan.llm.common import blocks, mixed, text_of
 
 EDITS = 0.2  # of an item's words
 ITEM_BYTES = 8 << 20  # of benchmark text indexed at once
 TARGET_RECALL = 0.98
 SAMPLED = 6  # output places in a key
 STRETCH = 4.0  # places of the output that one edit changes, as a planning figure
-KEYED_WORDS = 32  # of the longest items that are looked up by keys; tests measure their recall
+PIECE_WORDS = 32  # at most, of the pieces that items are embedded in; tests measure recall
 WALKS = 8
-BATCH_ROWS = 3072
+BATCH_BYTES = 8 << 20  # of text looked up at once
 MAX_CELLS = 1 << 19
 
 # Words are letters, digits and all non-ASCII bytes; A-Z are lower-cased.
@@ -62,6 +65,13 @@ def allowed(n_words: int) -> int:
     return int(EDITS * n_words)
 
 
+def pieces(n_words: int) -> list[tuple[int, int]]:
+    """First and end word of the pieces of an item: of even lengths, as few as the bound allows."""
+    count = -(-n_words // PIECE_WORDS)
+    cuts = [n_words * k // count for k in range(count + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def embed(rows: np.ndarray, walk: int) -> np.ndarray:
     """The CGK walk over each row of word numbers: three outputs per word, 0 past the end."""
     n, width = rows.shape
@@ -142,7 +152,7 @@ def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class Index:
-    """Items of a benchmark: their segments, and the keys of their embeddings."""
+    """Items of a benchmark: the segments of their pieces, and the keys of the embeddings."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids: list[int] = []
@@ -154,25 +164,29 @@ class Index:
                 self.ids.append(item_id)
                 number = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
                 self.items.append(np.array(number, np.int64))
+        # Item, first word in it, and length of every piece.
+        self.pieces = [(k, begin, end - begin) for k, item in enumerate(self.items)
+                       for begin, end in pieces(len(item))]
         segments: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         by_key: dict[int, list[int]] = defaultdict(list)
-        for k, item in enumerate(self.items):
-            parts = allowed(len(item)) + 1
-            size = len(item) // parts
-            for part in range(parts):
-                gram = self._grams(item[part * size:(part + 1) * size], size)[0]
-                segments[size].append((int(gram), k, part * size))
-        keyed = [k for k, item in enumerate(self.items)
-                 if allowed(len(item)) and len(item) <= KEYED_WORDS]
-        order = sorted(keyed, key=lambda k: len(self.items[k]))
-        widths = np.array([len(self.items[k]) for k in order], np.int64)
+        for number, (k, begin, length) in enumerate(self.pieces):
+            parts = allowed(length) + 1
+            size = length // parts
+            for offset in range(0, parts * size, size):
+                place = begin + offset
+                gram = self._grams(self.items[k][place:place + size], size)[0]
+                segments[size].append((int(gram), number, offset))
+        keyed = [number for number, piece in enumerate(self.pieces) if allowed(piece[2])]
+        order = sorted(keyed, key=lambda number: self.pieces[number][2])
+        widths = np.array([self.pieces[number][2] for number in order], np.int64)
         for part in _chunks(widths):
             rows = np.zeros((part.stop - part.start, int(widths[part.stop - 1])), np.int64)
-            for line, k in enumerate(order[part]):
-                rows[line, :len(self.items[k])] = self.items[k]
-            for k, found in zip(order[part], keys(rows, widths[part]), strict=True):
+            for line, number in enumerate(order[part]):
+                k, begin, length = self.pieces[number]
+                rows[line, :length] = self.items[k][begin:begin + length]
+            for number, found in zip(order[part], keys(rows, widths[part]), strict=True):
                 for key in found.tolist():
-                    by_key[key].append(k)
+                    by_key[key].append(number)
         self.by_key = dict(by_key)
         self.segments = {
             size: (np.array([s[0] for s in found], np.uint64)[order := np.argsort(
@@ -190,7 +204,7 @@ class Index:
         return gram
 
     def windows(self, words: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """Places (item, row, first word) that an unchanged segment points at.
+        """Places (piece, row, first word) that an unchanged segment points at.
 
         `words` holds the texts of a batch one after the other with a 0 after each, `ends`
         where the next one begins. The row is that of the segment.
@@ -215,10 +229,10 @@ class Index:
             if len(spots):
                 which = np.repeat(left, count) + (
                     np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                item, offset = targets[which, 0], targets[which, 1]
+                piece, offset = targets[which, 0], targets[which, 1]
                 spots = np.repeat(spots, count)
                 row = np.searchsorted(ends, spots, "right")
-                found.update(zip(item.tolist(), row.tolist(), (spots - offset).tolist(),
+                found.update(zip(piece.tolist(), row.tolist(), (spots - offset).tolist(),
                                  strict=True))
         return found
 
@@ -237,14 +251,14 @@ class Index:
             return []
         by_width: dict[int, set[int]] = defaultdict(set)
         pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for item, row, first in self.windows(words, ends):
-            n = len(self.items[item])
+        for number, row, first in self.windows(words, ends):
+            item, begin, n = self.pieces[number]
             slack = allowed(n)
-            if n > KEYED_WORDS or not slack:
-                pairs[row, item].append(first)
-            else:
+            if slack:
                 by_width[n].update(range(first - slack, first + slack + 1))
-        # Look the windows' keys up; a match names an item and about where it may stand.
+            else:  # no edit is allowed: the segment is the whole item
+                pairs[row, item].append(first - begin)
+        # Look the windows' keys up; a match names a piece, and so about where its item stands.
         wanted = sorted((n, first) for n, firsts in by_width.items() for first in firsts)
         widths = np.array([n for n, _ in wanted], np.int64)
         firsts = np.array([first for _, first in wanted], np.int64)
@@ -257,8 +271,9 @@ class Index:
             middle = np.clip(first + width // 2, 0, len(words) - 1)
             text = np.searchsorted(ends, middle, "right").tolist()
             for at, row, found in zip(first.tolist(), text, keys(rows, width), strict=True):
-                for item in {k for key in found.tolist() for k in self.by_key.get(key, ())}:
-                    pairs[row, item].append(at)
+                for number in {k for key in found.tolist() for k in self.by_key.get(key, ())}:
+                    item, begin, _ = self.pieces[number]
+                    pairs[row, item].append(at - begin)
         leaks = []
         for (row, item), firsts in sorted(pairs.items()):
             n, end = len(self.items[item]), int(ends[row]) - 1
@@ -305,8 +320,8 @@ def leaks(
     Returns id, item_id, edits, first_word, end_word: a row per document row and item, at
     the place of fewest edits (words counted from 0, end exclusive). Every item and every
     whole text takes part; null texts have no words. Items of fewer than five words allow no
-    edit, so only a copy counts; items without words match nothing. Repeated document rows give repeated rows; equal
-    items count once. No documents or no items: no rows.
+    edit, so only a copy counts; items without words match nothing. Repeated document rows give
+    repeated rows; equal items count once. No documents or no items: no rows.
     """
     kept = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     kind = kept.schema["id"].dataType.simpleString()
@@ -316,15 +331,13 @@ def leaks(
         shared = docs.sparkSession.sparkContext.broadcast(index)  # of at most ITEM_BYTES of text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, whole.num_rows, BATCH_ROWS):
-                    batch = whole.slice(start, BATCH_ROWS)
-                    found = shared.value.matches(batch.column(1).to_pylist())
-                    rows = pa.array([f[0] for f in found], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), *(
-                            pa.array([f[k] for f in found], pa.int64()) for k in range(1, 5))],
-                        names=names)
+            for block in blocks(batches, "body", BATCH_BYTES):
+                found = shared.value.matches(block.column("body").to_pylist())
+                rows = pa.array([f[0] for f in found], pa.int64())
+                yield from pa.table(
+                    [block.column("id").take(rows), *(
+                        pa.array([f[k] for f in found], pa.int64()) for k in range(1, 5))],
+                    names=names).to_batches()
 
         part = kept.mapInArrow(run, f"`{id_col}` {kind}, item_id bigint, edits bigint, "
                                     "first_word bigint, end_word bigint")
@@ -336,19 +349,21 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """`docs` without the rows that `leaks` reports; same columns, no shuffle."""
-    at = docs.columns.index(text_col)
+    """`docs` without the rows that `leaks` reports; same columns, no shuffle.
+
+    Null, empty and wordless texts stay, repeated rows stay or go together, whatever their
+    ids; without items all rows stay, and other columns may have any names.
+    """
+    name = docs.columns[[c.lower() for c in docs.columns].index(text_col.lower())]
     for index in _indexes(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for start in range(0, whole.num_rows, BATCH_ROWS):
-                    batch = whole.slice(start, BATCH_ROWS)
-                    texts = [t or "" for t in batch.column(at).to_pylist()]
-                    keep = np.ones(batch.num_rows, bool)
-                    keep[[f[0] for f in shared.value.matches(texts)]] = False
-                    yield batch.filter(pa.array(keep))
+            for block in blocks(batches, name, BATCH_BYTES):
+                texts = [t or "" for t in block.column(name).to_pylist()]
+                keep = np.ones(block.num_rows, bool)
+                keep[[f[0] for f in shared.value.matches(texts)]] = False
+                yield from block.filter(pa.array(keep)).to_batches()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -261,6 +261,45 @@ def test_recall_of_any_length(kind):
         assert hit == trials if n > 32 else hit >= 0.95 * trials, n
 
 
+def test_long_items_are_found_by_the_keys_of_their_pieces():
+    text = " ".join(f"x{i}" for i in range(200))
+    index = decontaminate.Index([(7, text)])
+    assert [end - begin for begin, end in decontaminate.pieces(200)] == [28, 29, 28, 29, 28, 29, 29]
+    assert decontaminate.pieces(32) == [(0, 32)]
+    assert index.matches([text, "a " + text]) == [(0, 7, 0, 0, 200), (1, 7, 0, 1, 201)]
+    index.by_key.clear()
+    assert index.matches([text]) == []
+
+
+def test_leaks_against_a_search_of_all_places():
+    rnd = random.Random(21)
+    sizes = [1, 3, 4, 5, 9, 15, 24, 32, 33, 40, 64, 65, 90, 150]
+    items = [[f"x{rnd.randrange(60)}" for _ in range(n)] for n in sizes]
+    texts = []
+    for item in items:
+        for share in (0, 0.5, 1, 1.4):
+            w = list(item)
+            for _ in range(round(share * decontaminate.allowed(len(w)))):
+                at = rnd.randrange(len(w) + 1)
+                w[at:at + rnd.randrange(2)] = rnd.choice([[], ["other"], [f"x{rnd.randrange(60)}"]])
+            around = [f"x{rnd.randrange(60)}" for _ in range(rnd.randrange(40))]
+            texts.append(around + w + around[::-1] + rnd.choice([[], w]))
+    texts += [[], ["x1"], [f"x{rnd.randrange(60)}" for _ in range(3000)]]
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    want = set()
+    for row, words in enumerate(texts):
+        numbers = np.array([index.vocabulary.get(w.encode(), 0) for w in words], np.int64)
+        for i, item in enumerate(index.items):
+            edits = decontaminate.edit_match(item, numbers)[0]
+            if edits <= decontaminate.allowed(len(item)):
+                want.add((row, i, edits))
+    found = {m[:3] for m in index.matches([" ".join(w) for w in texts])}
+    assert len(want) > 60
+    assert {f[:2] for f in found} <= {w[:2] for w in want}
+    assert len({f[:2] for f in found}) >= 0.98 * len(want)
+    assert len(found & want) >= 0.98 * len(want)
+
+
 def test_leaks_of_small_batches():
     """Fewer word places in a batch than in a segment; items of 9 and 19 words have four."""
     for n in (9, 19):
