@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import blocks, text_of
 
 KEPT_WORDS = 500_000
+KEPT_LENGTH = 32  # code points of the longest words kept from block to block
 BLOCK_BYTES = 8 << 20
 
 
@@ -149,9 +150,13 @@ class Codec:
         self._chunks: dict[str, str] = {}
         # Decoded bytes of the chunks whose ids do not decode to the chunk itself.
         self._changed: dict[str, bytes] = {}
+        self._long: list[tuple[dict, str]] = []  # entries that only the present block needs
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text; replays the merges over words not met before."""
+        for kept, key in self._long:
+            kept.pop(key, None)
+        self._long = []
         found = []
         for text in texts:
             if self._spaced(text):
@@ -164,6 +169,7 @@ class Codec:
         present = set().union(*found)
         if len(self._chunks) > KEPT_WORDS:  # what this block needs is what blocks often need
             self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
+            self._changed = {c: self._changed[c] for c in present if c in self._changed}
         words = {c: self._find(c) for c in present.difference(self._chunks)}
         needed = set().union(*words.values())
         if len(self._words) > KEPT_WORDS:
@@ -177,6 +183,10 @@ class Codec:
             decoded = self.decode(map(int, ids.split()))
             if decoded != chunk.encode():
                 self._changed[chunk] = decoded
+        self._long = [(self._words, w) for w in fresh if len(w) > KEPT_LENGTH]
+        for chunk in words:
+            if len(chunk) > KEPT_LENGTH:
+                self._long += [(self._chunks, chunk), (self._changed, chunk)]
         return found
 
     def ids(self, chunks: list[str]) -> list[int]:
@@ -190,7 +200,8 @@ class Codec:
         chunks = [c for c in chunks if c]
         written = " ".join(map(self._chunks.__getitem__, chunks))
         if self._changed:
-            decoded = b"".join(self._changed.get(c) or c.encode() for c in chunks)
+            decoded = b"".join(
+                self._changed[c] if c in self._changed else c.encode() for c in chunks)
         else:
             decoded = "".join(chunks).encode()
         count = written.count(" ") + 1 if written else 0
@@ -230,7 +241,11 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, made
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id and token_ids of every text; a null or empty text has no tokens."""
+    """id and token_ids of every text; a null or empty text has no tokens.
+
+    A row per row of `docs`, repeated rows and ids included; the result depends on the text
+    alone, so there are no ties. Columns other than the two named are not read.
+    """
 
     def rows(codec: Codec, found: list[list[str]]) -> list[pa.Array]:
         return [pa.array([codec.ids(w) for w in found], pa.list_(pa.int32()))]

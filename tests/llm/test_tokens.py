@@ -60,6 +60,15 @@ def test_bounded_memory_keeps_results(monkeypatch):
         assert COUNTS.counts([text]) == [len(PIECE_LIBRARY.encode(text))]
 
 
+def test_long_words_leave_the_caches():
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = ["short words " + chr(0x4e00 + i) * 300 + " z" * 40 for i in range(20)]
+    for text in [*texts, *texts, "end"]:
+        assert codec.ids(codec.learn([text])[0]) == BYTE_LIBRARY.encode_ordinary(text)
+    assert max(map(len, [*codec._words, *codec._chunks])) <= byte_bpe.KEPT_LENGTH
+    assert {"short", "end"} <= set(codec._words)
+
+
 def test_count_tokens(odd, nothing):
     rows = token_counts.count_tokens(odd, PIECES, limit=100).collect()
     texts = sorted((r.text or "") for r in odd.collect())
