@@ -311,17 +311,21 @@ def components(
 
 
 def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False
 ) -> DataFrame:
     """`docs` with one row of each group of links: the one with the smallest id, nulls last.
 
     Rows are told apart by themselves, not by their ids, so rows that share an id but no
     text all stay. Rows without any words link with nothing and stay. Same columns.
+    `from_files` says that `docs` is a plain read of files, whose rows come alike each time;
+    otherwise the numbered rows are stored once, as a shuffle may deal them anew.
     """
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"),
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"),
         F.monotonically_increasing_id().alias("row_no"))
+    if not from_files:
+        rows = stored(rows, "jaccard-rows")
     found = components(rows, "row_no", "body").select("row_no", "component_id")
     size = found.groupBy("component_id").count().filter("count > 1").drop("count")
     grouped = stored(found.join(size, "component_id").join(

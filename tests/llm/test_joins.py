@@ -74,6 +74,13 @@ def test_representatives(odd, nothing):
     assert jaccard.representatives(nothing).count() == 0
 
 
+def test_representatives_of_rows_that_a_shuffle_deals(llm):
+    texts = [f"w{i // 3} a b c d e f {i // 3}" for i in range(60)]
+    rows = llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = jaccard.representatives(rows.repartition(7))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 3))
+
+
 def test_connected(llm):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 100), (7, 7)]
     found = components.connected(llm.createDataFrame(edges, "a bigint, b bigint"))
