@@ -1,10 +1,11 @@
 """Byte-level byte-pair encoding by replaying the merges over a block of the corpus.
 
-The distinct words of a block of documents lie in one array of byte tokens. An inverted
-index leads from each pair of neighbouring tokens to the positions where it stands, and a
-queue yields the pairs present in rank order. Applying a merge touches only its positions
-and their neighbours, which may enter new pairs of higher or lower rank into the index.
-Every merge of a word therefore happens in the order a word-by-word encoder would choose.
+The distinct words of a block of documents, in runs of bounded length, lie in an array of
+byte tokens. An inverted index leads from each pair of neighbouring tokens to the positions
+where it stands, and a queue yields the pairs present in rank order. Applying a merge touches
+only its positions and their neighbours, which may enter new pairs of higher or lower rank
+into the index. Every merge of a word therefore happens in the order a word-by-word encoder
+would choose.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from folioscan.llm.common import blocks, text_of
 KEPT_WORDS = 500_000
 KEPT_LENGTH = 32  # code points of the longest words kept from block to block
 BLOCK_BYTES = 8 << 20
+REPLAY_LENGTH = 1 << 19  # code points of the words that one replay merges together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,6 +134,17 @@ class Merges:
         return encoded
 
 
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """Runs of words of bounded length together, so that a replay's index has a bounded size."""
+    begin = held = 0
+    for end, word in enumerate(words):
+        held += len(word)
+        if held > REPLAY_LENGTH:
+            yield words[begin:end + 1]
+            begin, held = end + 1, 0
+    yield words[begin:]
+
+
 class Codec:
     """Encodes blocks of texts and decodes ids; keeps what it has met, up to a bound.
 
@@ -152,31 +166,34 @@ class Codec:
         self._changed: dict[str, bytes] = {}
         self._long: list[tuple[dict, str]] = []  # entries that only the present block needs
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The chunks of each text; replays the merges over words not met before."""
+    def chunks(self, text: str) -> list[str]:
+        if self._spaced(text):
+            return self._cut(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)] if text else []
+
+    def learn(self, texts: list[str]) -> Iterator[list[str]]:
+        """The chunks of each text; replays the merges over words not met before.
+
+        Only the distinct chunks of a block are held; each text is cut again as it is read.
+        """
         for kept, key in self._long:
             kept.pop(key, None)
         self._long = []
-        found = []
+        present: set[str] = set()
         for text in texts:
-            if self._spaced(text):
-                found.append(self._cut(text))
-            elif text:
-                first, *rest = text.split(" ")
-                found.append([first, *map(" ".__add__, rest)])
-            else:
-                found.append([])
-        present = set().union(*found)
+            present.update(self.chunks(text))
         if len(self._chunks) > KEPT_WORDS:  # what this block needs is what blocks often need
             self._chunks = {c: self._chunks[c] for c in present if c in self._chunks}
             self._changed = {c: self._changed[c] for c in present if c in self._changed}
         words = {c: self._find(c) for c in present.difference(self._chunks)}
-        needed = set().union(*words.values())
+        needed = set(chain.from_iterable(words.values()))
         if len(self._words) > KEPT_WORDS:
             self._words = {w: self._words[w] for w in needed if w in self._words}
         fresh = sorted(needed.difference(self._words))
-        encoded = self.merges.replay([w.encode() for w in fresh])
-        self._words.update(zip(fresh, (" ".join(map(str, e)) for e in encoded), strict=True))
+        for part in _parts(fresh):
+            encoded = self.merges.replay([w.encode() for w in part])
+            self._words.update(zip(part, (" ".join(map(str, e)) for e in encoded), strict=True))
         written = self._words.__getitem__
         for chunk, these in words.items():
             self._chunks[chunk] = ids = " ".join(map(written, these))
@@ -187,10 +204,14 @@ class Codec:
         for chunk in words:
             if len(chunk) > KEPT_LENGTH:
                 self._long += [(self._chunks, chunk), (self._changed, chunk)]
-        return found
+        return map(self.chunks, texts)
 
     def ids(self, chunks: list[str]) -> list[int]:
-        return [int(i) for c in chunks for i in self._chunks[c].split()]
+        return self.id_array(chunks).tolist()
+
+    def id_array(self, chunks: list[str]) -> np.ndarray:
+        written = " ".join(filter(None, map(self._chunks.__getitem__, chunks)))
+        return np.fromstring(written, np.int32, sep=" ") if written else np.zeros(0, np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_of.__getitem__, ids))
@@ -219,6 +240,13 @@ def _codec(key: tuple[str, int], ranks: dict[bytes, int]) -> Codec:
     return _codecs[key]
 
 
+def id_lists(codec: Codec, found: Iterable[list[str]]) -> pa.Array:
+    """The ids of the given texts as a column, without a Python object for each."""
+    made = [codec.id_array(chunks) for chunks in found]
+    ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([*made, np.zeros(0, np.int32)]))
+
+
 def _encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, made: str, rows):
     """`docs` with the fields `made`, a block of texts at a time; no shuffle."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # fixed size
@@ -247,8 +275,8 @@ def encode(
     alone, so there are no ties. Columns other than the two named are not read.
     """
 
-    def rows(codec: Codec, found: list[list[str]]) -> list[pa.Array]:
-        return [pa.array([codec.ids(w) for w in found], pa.list_(pa.int32()))]
+    def rows(codec: Codec, found: Iterable[list[str]]) -> list[pa.Array]:
+        return [id_lists(codec, found)]
 
     kept = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     made = _encoded(kept, ranks_path, pattern, "body", "token_ids array<int>", rows)
@@ -286,7 +314,7 @@ def encode_digests(
     A row per row of `docs`; repeated rows and ids stay, a null text counts as empty.
     """
 
-    def rows(codec: Codec, found: list[list[str]]) -> list[pa.Array]:
+    def rows(codec: Codec, found: Iterable[list[str]]) -> list[pa.Array]:
         counts, ids, decoded = zip(*map(codec.digests, found), strict=True)
         return [pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)]
 

@@ -60,11 +60,22 @@ def test_bounded_memory_keeps_results(monkeypatch):
         assert COUNTS.counts([text]) == [len(PIECE_LIBRARY.encode(text))]
 
 
+def test_parts_of_a_replay(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REPLAY_LENGTH", 9)
+    parts = list(byte_bpe._parts(["abc", "defg", "hij", "k" * 30, "l"]))
+    assert parts == [["abc", "defg", "hij"], ["k" * 30], ["l"]]
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = ["several words, in small replays", "", " ", "words again 中文 in other  places"]
+    found = list(map(codec.ids, codec.learn(texts)))
+    assert found == [BYTE_LIBRARY.encode_ordinary(t) for t in texts]
+    assert byte_bpe.id_lists(codec, codec.learn(texts)).to_pylist() == found
+
+
 def test_long_words_leave_the_caches():
     codec = byte_bpe.Codec(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
     texts = ["short words " + chr(0x4e00 + i) * 300 + " z" * 40 for i in range(20)]
     for text in [*texts, *texts, "end"]:
-        assert codec.ids(codec.learn([text])[0]) == BYTE_LIBRARY.encode_ordinary(text)
+        assert codec.ids(next(codec.learn([text]))) == BYTE_LIBRARY.encode_ordinary(text)
     assert max(map(len, [*codec._words, *codec._chunks])) <= byte_bpe.KEPT_LENGTH
     assert {"short", "end"} <= set(codec._words)
 
