@@ -16,7 +16,7 @@ from folioscan.operators.model_calls import ModelFactory
 from folioscan.plans.backfill import HASHING_MODEL, embed
 from folioscan.plans.ingest import ingest, known_versions
 from folioscan.sources.catalog import Catalog
-from folioscan.sources.files import BINARY_FILES, listing_columns
+from folioscan.sources.files import folder_content, list_folder
 from folioscan.sources.shared import checkpointed
 from folioscan.sources.vector_store import vector_store
 
@@ -24,28 +24,29 @@ from folioscan.sources.vector_store import vector_store
 def ingest_stream(
     catalog: Catalog, folder: str, checkpoint: str, files_per_batch: int = 10_000, **options
 ) -> StreamingQuery:
-    """Ingest files as they appear below `folder`.
+    """Ingest files as they appear or change below `folder`.
 
-    The file source knows paths, not versions: rewritten files are picked up by a
-    batch run of `ingest_folder`.
+    What a file source has seen it does not give again, so the stream reads listings: each
+    start adds one, beside the checkpoint, of the files whose version the catalog lacks. A
+    rewritten file takes the place of its older version; unchanged files are not opened.
     """
-    files = (
-        catalog.spark.readStream.format("binaryFile").schema(BINARY_FILES)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-    )
+    spark = catalog.spark
+    listings = checkpoint.rstrip("/") + "-listings"
+    listing = upserts.new_or_changed(list_folder(spark, folder), known_versions(catalog, "local"))
+    listing.write.option("maxRecordsPerFile", files_per_batch).mode("append").parquet(listings)
+    arrived = spark.readStream.schema(listing.schema).option(
+        "maxFilesPerTrigger", 1).parquet(listings)
 
     def run(batch: DataFrame, _: int) -> None:
-        known = known_versions(catalog, "local")
-        files = upserts.new_or_changed(listing_columns(batch), known)
-        ingest(
-            catalog, checkpointed(files.drop("content")),
-            lambda exts: files.filter(F.col("ext").isin(*exts)), **options,
-        )
+        # A batch before this one, or a batch run, may have taken a file meanwhile.
+        changed = checkpointed(
+            upserts.new_or_changed(batch, known_versions(catalog, "local")).distinct())
+        if changed.isEmpty():
+            return
+        ingest(catalog, changed, folder_content(spark, folder, changed), **options)
 
     return (
-        files.writeStream.option("checkpointLocation", checkpoint)
+        arrived.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(run).start()
     )
 

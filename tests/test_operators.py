@@ -1,5 +1,7 @@
 """Fusion, tags, listing, prompts, manifest, upserts, readers and streams."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,25 @@ def test_running_totals_of_a_hot_key(spark):
             assert seen[key, at] == (sum(range(positions[0], at, 3)), positions[0], sum(positions))
 
 
+def test_a_rewritten_file_is_replaced_by_the_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("stays as it is")
+    (folder / "b.txt").write_text("before")
+    made = Catalog(spark, str(tmp_path / "c"), parts=2)
+    known = []
+    for _ in range(3):
+        ingest_stream(made, str(folder), str(tmp_path / "s")).awaitTermination()
+        known.append({r["filename"]: r["doc_id"] for r in made.table("documents").collect()})
+        if len(known) == 1:
+            (folder / "b.txt").write_text("after, and longer")
+            os.utime(folder / "b.txt", (2e9, 2e9))
+    assert {r["text"] for r in made.table("chunks").collect()} == {
+        "stays as it is", "after, and longer"}
+    assert known[0]["a.txt"] == known[1]["a.txt"] and known[0]["b.txt"] != known[1]["b.txt"]
+    assert known[1] == known[2]
+
+
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
 def test_salted_join_equals_broadcast_join(spark, how):
     big = spark.range(500).select("id", F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 7).alias("k"))
