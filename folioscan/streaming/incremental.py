@@ -28,7 +28,8 @@ def ingest_stream(
 
     What a file source has seen it does not give again, so the stream reads listings: each
     start adds one, beside the checkpoint, of the files whose version the catalog lacks. A
-    rewritten file takes the place of its older version; unchanged files are not opened.
+    rewritten file takes the place of its older version; files older than all changed ones
+    are not opened.
     """
     spark = catalog.spark
     listings = checkpoint.rstrip("/") + "-listings"
