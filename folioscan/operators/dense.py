@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,12 @@ from folioscan.operators.ranking import stable_score, top_k
 
 # Query vectors in one block of the grid.
 QUERIES_PER_BLOCK = 1024
-ROWS_PER_PRODUCT = 4096
+ROWS_PER_PRODUCT = 1024
+QUERIES_PER_PRODUCT = 256
+# Copies of query vectors that are sent, where fewer parts of the vectors allow it.
+QUERIES_SENT = 1 << 20
+VECTORS_PER_PART = 1 << 16
+QUERIES_PER_PART = 1 << 15
 
 
 def store(chunks: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,14 +61,58 @@ def score_one(embeddings: DataFrame, query: list[float]) -> DataFrame:
     ).filter(F.col("score").isNotNull())
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id."""
-    if len(scores) > k:
-        bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= bound)
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
+def _leaders(
+    rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int
+) -> np.ndarray:
+    """Positions of the k best entries of every row number, ties by id, in that order."""
+    order = np.lexsort((ids, -scores, rows))
+    ordered = rows[order]
+    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
+    return order[place < k]
+
+
+class _Best:
+    """The k best vectors so far of each query of one block."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.least = np.full(len(queries), -np.inf)
+        self.rows, self.scores = np.zeros(0, np.int64), np.zeros(0)
+        self.ids = self.docs = np.zeros(0, object)
+
+    def add(self, block: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> None:
+        """Meet a block of vectors in the order of their ids."""
+        parts = []
+        for at in range(0, len(self.queries), QUERIES_PER_PRODUCT):
+            found = self.queries[at:at + QUERIES_PER_PRODUCT] @ block.T
+            least = self.least[at:at + QUERIES_PER_PRODUCT]
+            if len(block) > self.k:
+                kth = np.partition(found, len(block) - self.k, axis=1)[:, len(block) - self.k]
+                least = np.maximum(least, kth)
+            # Scores are equal once rounded, so those just below count too.
+            row, column = np.nonzero(found >= (least - 2 * 10.0 ** -settings.SCORE_DIGITS)[:, None])
+            score = np.round(found[row, column], settings.SCORE_DIGITS)
+            kept = _leaders(row, score, column, self.k)
+            parts.append((row[kept] + at, score[kept], column[kept]))
+        row, score, column = (np.concatenate(p) for p in zip(*parts))
+        rows = np.concatenate([self.rows, row])
+        scores = np.concatenate([self.scores, score])
+        names, owners = np.concatenate([self.ids, ids[column]]), np.concatenate(
+            [self.docs, docs[column]])
+        kept = _leaders(rows, scores, _sortable(names), self.k)
+        self.rows, self.scores, self.ids, self.docs = (
+            x[kept] for x in (rows, scores, names, owners))
+        full = np.flatnonzero(np.bincount(self.rows, minlength=len(self.queries)) >= self.k)
+        lowest = np.full(len(self.queries), np.inf)
+        np.minimum.at(lowest, self.rows, self.scores)
+        self.least[full] = lowest[full]
+
+
+def _sortable(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids; null comes first."""
+    plain = ["" if i is None else i for i in ids]
+    return np.unique(np.array(plain, object), return_inverse=True)[1] if plain else np.zeros(0)
 
 
 def _blocks(rows: DataFrame, columns: list[str], size: int, prefix: str) -> DataFrame:
@@ -95,40 +145,75 @@ def _blocks(rows: DataFrame, columns: list[str], size: int, prefix: str) -> Data
         F.col("embedding").isNotNull()).mapInPandas(run, schema)
 
 
+def _grid(embeddings: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """Parts of the vectors and of the queries: every vector part meets every query part.
+
+    A part of either side is sent once for each part of the other. Few queries go to every
+    part; many meet fewer and larger parts of the vectors, and are cut themselves.
+    """
+    parts = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.count()
+    if asked * parts <= QUERIES_SENT:
+        return parts, 1
+    large = -(-embeddings.count() // VECTORS_PER_PART)
+    across = max(large, min(parts, QUERIES_SENT // asked), 1)
+    return across, max(1, -(-parts // across), -(-asked // QUERIES_PER_PART))
+
+
 def search_batch(
     embeddings: DataFrame, queries: DataFrame, k: int, per_block: int = QUERIES_PER_BLOCK
 ) -> DataFrame:
     """Exact top-k cosine for a table of query vectors (query_id, embedding).
 
-    Blocks of queries meet blocks of vectors in a grid that an equi-join on a part number
-    spreads over the tasks; the driver sees neither side. A cell is one matrix product and
-    keeps `k` rows per query, so pairs never reach a shuffle. Rows that share a query_id
-    are answered together.
+    Blocks of queries meet blocks of vectors in a grid of cells that a shuffle spreads over
+    the tasks; the driver sees neither side and neither is broadcast. A task multiplies block
+    by block and keeps the `k` best vectors of each query of its cells, so pairs never reach
+    a shuffle. Rows that share a query_id are answered together.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    parts = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across, down = _grid(embeddings, queries)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vectors = _blocks(embeddings, ["chunk_id", "doc_id"], ROWS_PER_PRODUCT, "v").withColumn(
-        "part", F.pmod(F.xxhash64("v_cells"), F.lit(parts)).cast("int"))
+        "part", F.pmod(F.xxhash64("v_cells", "v_chunk_id"), F.lit(across)).cast("int")
+    ).withColumn("ask", every(down))
     asked = _blocks(
         queries.select("query_id", vx.as_double(F.col("embedding")).alias("embedding")),
         ["query_id"], per_block, "q",
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    ).withColumn("block", F.monotonically_increasing_id()).withColumn(
+        "ask", F.pmod(F.xxhash64("block"), F.lit(down)).cast("int")).withColumn("part", every(across))
+    schema = f"query_id {kind}, chunk_id string, doc_id string, score double"
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, cell, now, vectors, width = {}, None, None, None, None
         for batch in batches:
-            for cell in batch.itertuples(index=False):
-                block = np.frombuffer(cell.v_cells).reshape(-1, cell.width)
-                query = np.frombuffer(cell.q_cells).reshape(-1, cell.width)
-                ids, docs = (np.array(x, dtype=object) for x in (cell.v_chunk_id, cell.v_doc_id))
-                found = np.round(query @ block.T, settings.SCORE_DIGITS)
-                tops = [_best(scores, ids, k) for scores in found]
-                at = np.concatenate(tops) if tops else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(len(tops)), [len(t) for t in tops])
-                yield pd.DataFrame({
-                    "query_id": np.array(cell.q_query_id, dtype=object)[row],
-                    "chunk_id": ids[at], "doc_id": docs[at], "score": found[row, at],
-                })
-
-    found = vectors.join(asked, ["part", "width"]).mapInPandas(
-        products, f"query_id {kind}, chunk_id string, doc_id string, score double")
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for n in range(batch.num_rows):
+                at = tuple(columns[c][n].as_py() for c in ("part", "ask", "width"))
+                if at != cell:
+                    yield from (answer(*b) for b in best.values())
+                    best, cell, now, width = {}, at, None, at[2]
+                raw = columns["v_cells"][n].as_buffer()
+                if now is None or not now.equals(raw):
+                    now = raw
+                    ids, docs = (np.array(columns[c][n].as_py(), dtype=object)
+                                 for c in ("v_chunk_id", "v_doc_id"))
+                    order = np.argsort(_sortable(ids), kind="stable")
+                    vectors = (np.frombuffer(raw).reshape(-1, width)[order],
+                               ids[order], docs[order])
+                block = columns["block"][n].as_py()
+                if block not in best:
+                    query = np.frombuffer(columns["q_cells"][n].as_buffer()).reshape(-1, width)
+                    best[block] = columns["q_query_id"][n].values, _Best(query.copy(), k)
+                best[block][1].add(*vectors)
+        yield from (answer(*b) for b in best.values())
+
+    def answer(queries: pa.Array, found: _Best) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            queries.take(pa.array(found.rows)), pa.array(found.ids, pa.string()),
+            pa.array(found.docs, pa.string()), pa.array(found.scores, pa.float64()),
+        ], names=["query_id", "chunk_id", "doc_id", "score"])
+
+    # Sorted by cell on both sides: a cell's queries are held, its vectors pass by.
+    found = vectors.hint("merge").join(asked, ["part", "ask", "width"]).mapInArrow(
+        products, schema)
     return top_k(found, k)

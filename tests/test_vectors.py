@@ -124,3 +124,36 @@ def test_batch_search_of_odd_rows(spark):
     assert {(r["query_id"], r["chunk_id"], r["score"]) for r in found} == {(1, "a", 1.0)}
     assert dense.search_batch(rows.limit(0), table, 2).count() == 0
     assert dense.search_batch(rows, table.limit(0), 2).count() == 0
+
+
+def test_batch_search_broadcasts_no_side(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    path = str(tmp_path / "vectors")
+    spark.createDataFrame(
+        [(f"c{i:03d}", "d", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))],
+        "chunk_id string, doc_id string, embedding array<float>").write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = dense.search_batch(rows, rows.select(F.col("chunk_id").alias("query_id"), "embedding"), 1)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert all(r["query_id"] == r["chunk_id"] for r in found.collect())
+
+
+def test_batch_search_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERIES_SENT", 1)
+    monkeypatch.setattr(dense, "VECTORS_PER_PART", 50)
+    monkeypatch.setattr(dense, "QUERIES_PER_PART", 20)
+    monkeypatch.setattr(dense, "ROWS_PER_PRODUCT", 16)
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-1, 2, (300, 4)).astype(float) + 0.5
+    rows = spark.createDataFrame(
+        [(None if i == 7 else f"c{i:03d}", "d", v.tolist()) for i, v in enumerate(vectors)],
+        "chunk_id string, doc_id string, embedding array<float>").repartition(3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:60])],
+                                  "query_id bigint, embedding array<float>").repartition(2)
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    expected = {}
+    for q, scores in enumerate(np.round(unit[:60] @ unit.T, 9)):
+        order = sorted((-s, "" if i == 7 else f"c{i:03d}") for i, s in enumerate(scores))[:4]
+        expected |= {(q, rank): chunk for rank, (_, chunk) in enumerate(order)}
+    found = dense.search_batch(rows, table, 4, per_block=8).collect()
+    assert {(r["query_id"], r["rank"]): r["chunk_id"] or "" for r in found} == expected
