@@ -52,11 +52,15 @@ def stemmed_postings(spark, sf_dir):
     return lexical.build_postings(r.chunks(spark, sf_dir), stemmer="porter")
 
 
-def _lexical_scores(spark, sf_dir, wanted=None):
+def _lexical_scores(spark, sf_dir, wanted=None, best=None):
     allowed = matching_documents(
         r.documents(spark, sf_dir), r.label_tags(spark, sf_dir), wanted
     ) if wanted else None
-    return lexical_scores(r.chunks(spark, sf_dir), r.queries(spark, sf_dir), None, allowed)
+    return lexical_scores(r.chunks(spark, sf_dir), r.queries(spark, sf_dir), None, allowed, best)
+
+
+def _lexical_ranked(spark, sf_dir, k, wanted=None):
+    return top_k(_lexical_scores(spark, sf_dir, wanted, k), k)
 
 
 @check(q.select("SELECT query_id, chunk_id, doc_id, round(score, 6) AS score FROM lexical_scores",
@@ -69,7 +73,7 @@ def bm25_scores(spark, sf_dir):
     "SELECT query_id, chunk_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank "
     "FROM lexical", q.QUERIES, q.POSTINGS, q.SCORES, q.ranked("lexical_scores", "lexical", LIMIT)))
 def bm25_top_k(spark, sf_dir):
-    return top_k(_lexical_scores(spark, sf_dir), LIMIT).withColumn("score", F.round("score", 6))
+    return _lexical_ranked(spark, sf_dir, LIMIT).withColumn("score", F.round("score", 6))
 
 
 @check(q.select(
@@ -79,12 +83,15 @@ def bm25_block_max(spark, sf_dir):
     """The best chunks from postings in blocks with their maxima."""
     chunks = r.chunks(spark, sf_dir)
     wanted = lexical.query_terms(r.queries(spark, sf_dir), stemmer=None)
+    small = is_small(wanted)
     blocks = max(1, chunks.select("doc_id").distinct().count() // 8)
-    postings = checkpointed(lexical.in_blocks(lexical.build_postings(chunks, None), blocks))
+    # All that the search reads: postings, maxima and frequencies of the terms asked for.
+    matching = lexical.matching_postings(lexical.build_postings(chunks, None), wanted, small)
+    postings = checkpointed(lexical.in_blocks(matching, blocks))
     best = lexical.block_max_top_k(
         postings, checkpointed(lexical.block_maxima(postings)),
         lexical.document_frequencies(postings), lexical.corpus_totals(chunks, None), wanted,
-        is_small(wanted), LIMIT)
+        small, LIMIT)
     return best.withColumn("score", F.round("score", 6))
 
 
@@ -113,7 +120,7 @@ def bm25_search(spark, sf_dir):
     chunks = r.chunks(spark, sf_dir)
     frequencies = lexical.document_frequencies(lexical.build_postings(chunks, stemmer=None))
     query = checkpointed(_frequent_words(frequencies))
-    scores = lexical_scores(chunks, query, stemmer=None)
+    scores = lexical_scores(chunks, query, stemmer=None, best=LIMIT)
     return results.result_rows(
         top_k(scores, LIMIT), chunks, r.documents(spark, sf_dir), LIMIT
     ).withColumn("score", F.round("score", 6))
@@ -125,7 +132,7 @@ def bm25_search(spark, sf_dir):
     q.QUERIES, q.POSTINGS, q.SCORES, q.ranked("lexical_scores", "lexical", 3)))
 def short_results(spark, sf_dir):
     chunks = r.chunks(spark, sf_dir)
-    ranked = top_k(_lexical_scores(spark, sf_dir), 3)
+    ranked = _lexical_ranked(spark, sf_dir, 3)
     return results.short_rows(
         results.result_rows(ranked, chunks, r.documents(spark, sf_dir))
     ).withColumn("score", F.round("score", 6))
@@ -172,7 +179,7 @@ def filter_by_all(spark, sf_dir):
     f"""kept AS (SELECT * FROM lexical_scores WHERE doc_id IN (
       SELECT doc_id FROM docs WHERE {_ALL_FILTERS}))""", q.ranked("kept", "lexical", LIMIT)))
 def bm25_filtered(spark, sf_dir):
-    return top_k(_lexical_scores(spark, sf_dir, WANTED), LIMIT).withColumn("score", F.round("score", 6))
+    return _lexical_ranked(spark, sf_dir, LIMIT, WANTED).withColumn("score", F.round("score", 6))
 
 
 @check(q.select("SELECT chunk_id, doc_id, bucket, v FROM chunk_vecs JOIN chunks USING (chunk_id)",
@@ -288,7 +295,7 @@ _LISTS = ",\n".join([
 
 def _lists(spark, sf_dir):
     pool = fusion.pool_size(LIMIT)
-    return top_k(_lexical_scores(spark, sf_dir), pool), _dense_ranked(spark, sf_dir, pool)
+    return _lexical_ranked(spark, sf_dir, pool), _dense_ranked(spark, sf_dir, pool)
 
 
 @check(q.select("""SELECT query_id, chunk_id, doc_id, CAST(rank AS INT) AS rank, list_no
@@ -328,7 +335,7 @@ kept_dense AS (SELECT * FROM dense_scores WHERE doc_id IN (
 lexical AS (\n""", 1), q.fused(LIMIT)))
 def hybrid_filtered(spark, sf_dir):
     pool = fusion.pool_size(LIMIT)
-    words = top_k(_lexical_scores(spark, sf_dir, WANTED), pool)
+    words = _lexical_ranked(spark, sf_dir, pool, WANTED)
     fused = fusion.fuse(words, _dense_ranked(spark, sf_dir, pool, WANTED), LIMIT)
     return results.result_rows(
         fused, r.chunks(spark, sf_dir), r.documents(spark, sf_dir)

@@ -79,7 +79,7 @@ def term_counts(tokens: Column) -> Column:
             (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("tf"),
         )))
 
-    return let(F.array_sort(tokens), build)
+    return let(F.sort_array(tokens), build)
 
 
 # ---- Porter (1980) suffix rules: fixed values --------------------------------

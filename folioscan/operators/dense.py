@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscan import settings
 from folioscan.functions import vectors as vx
-from folioscan.operators.ranking import stable_score, top_k
+from folioscan.operators.ranking import BestOfBlocks, in_order, stable_score, top_k
 
 # Query vectors in one block of the grid.
 QUERIES_PER_BLOCK = 1024
@@ -61,60 +61,6 @@ def score_one(embeddings: DataFrame, query: list[float]) -> DataFrame:
     ).filter(F.col("score").isNotNull())
 
 
-def _leaders(
-    rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int
-) -> np.ndarray:
-    """Positions of the k best entries of every row number, ties by id, in that order."""
-    order = np.lexsort((ids, -scores, rows))
-    ordered = rows[order]
-    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else order
-    place = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
-    return order[place < k]
-
-
-class _Best:
-    """The k best vectors so far of each query of one block."""
-
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        self.least = np.full(len(queries), -np.inf)
-        self.rows, self.scores = np.zeros(0, np.int64), np.zeros(0)
-        self.ids = self.docs = np.zeros(0, object)
-
-    def add(self, block: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> None:
-        """Meet a block of vectors in the order of their ids."""
-        parts = []
-        for at in range(0, len(self.queries), QUERIES_PER_PRODUCT):
-            found = self.queries[at:at + QUERIES_PER_PRODUCT] @ block.T
-            least = self.least[at:at + QUERIES_PER_PRODUCT]
-            if len(block) > self.k:
-                kth = np.partition(found, len(block) - self.k, axis=1)[:, len(block) - self.k]
-                least = np.maximum(least, kth)
-            # Scores are equal once rounded, so those just below count too.
-            row, column = np.nonzero(found >= (least - 2 * 10.0 ** -settings.SCORE_DIGITS)[:, None])
-            score = np.round(found[row, column], settings.SCORE_DIGITS)
-            kept = _leaders(row, score, column, self.k)
-            parts.append((row[kept] + at, score[kept], column[kept]))
-        row, score, column = (np.concatenate(p) for p in zip(*parts))
-        rows = np.concatenate([self.rows, row])
-        scores = np.concatenate([self.scores, score])
-        names, owners = np.concatenate([self.ids, ids[column]]), np.concatenate(
-            [self.docs, docs[column]])
-        kept = _leaders(rows, scores, _sortable(names), self.k)
-        self.rows, self.scores, self.ids, self.docs = (
-            x[kept] for x in (rows, scores, names, owners))
-        full = np.flatnonzero(np.bincount(self.rows, minlength=len(self.queries)) >= self.k)
-        lowest = np.full(len(self.queries), np.inf)
-        np.minimum.at(lowest, self.rows, self.scores)
-        self.least[full] = lowest[full]
-
-
-def _sortable(ids: np.ndarray) -> np.ndarray:
-    """Numbers in the order of the ids; null comes first."""
-    plain = ["" if i is None else i for i in ids]
-    return np.unique(np.array(plain, object), return_inverse=True)[1] if plain else np.zeros(0)
-
-
 def _blocks(rows: DataFrame, columns: list[str], size: int, prefix: str) -> DataFrame:
     """Rows with an `embedding` packed into blocks of one width, `size` rows at most.
 
@@ -197,17 +143,22 @@ def search_batch(
                     now = raw
                     ids, docs = (np.array(columns[c][n].as_py(), dtype=object)
                                  for c in ("v_chunk_id", "v_doc_id"))
-                    order = np.argsort(_sortable(ids), kind="stable")
+                    order = np.argsort(in_order(ids), kind="stable")
                     vectors = (np.frombuffer(raw).reshape(-1, width)[order],
                                ids[order], docs[order])
                 block = columns["block"][n].as_py()
                 if block not in best:
                     query = np.frombuffer(columns["q_cells"][n].as_buffer()).reshape(-1, width)
-                    best[block] = columns["q_query_id"][n].values, _Best(query.copy(), k)
-                best[block][1].add(*vectors)
+                    best[block] = (columns["q_query_id"][n].values, query.copy(),
+                                   BestOfBlocks(len(query), k))
+                _, query, leaders = best[block]
+                for low in range(0, len(query), QUERIES_PER_PRODUCT):
+                    leaders.add(query[low:low + QUERIES_PER_PRODUCT] @ vectors[0].T,
+                                *vectors[1:], low)
         yield from (answer(*b) for b in best.values())
 
-    def answer(queries: pa.Array, found: _Best) -> pa.RecordBatch:
+    def answer(queries: pa.Array, _: np.ndarray, found: BestOfBlocks) -> pa.RecordBatch:
+        found.settle()
         return pa.RecordBatch.from_arrays([
             queries.take(pa.array(found.rows)), pa.array(found.ids, pa.string()),
             pa.array(found.docs, pa.string()), pa.array(found.scores, pa.float64()),

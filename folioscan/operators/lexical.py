@@ -6,6 +6,11 @@ query terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg_len)).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,10 +18,12 @@ from pyspark.sql.window import Window
 from folioscan import schemas, settings
 from folioscan.functions import terms as tm
 from folioscan.operators.joins import join_small
-from folioscan.operators.ranking import stable_score, top_k
+from folioscan.operators.ranking import BestOfBlocks, stable_score, top_k
 from folioscan.sources.shared import checkpointed
 
 STEMMERS = ("porter", None)
+# Sums of chunks and queries that a task holds at a time.
+SUMS_AT_ONCE = 1 << 19
 
 
 def tokens(text: Column, stemmer: str | None = "porter") -> Column:
@@ -96,21 +103,29 @@ def score(
     small: bool,
     k1: float = settings.BM25_K1,
     b: float = settings.BM25_B,
+    best: int | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, doc_id, score) of every chunk with a query term.
 
+    With `best`, a task returns only rows that are among its so many first ones of a query:
+    enough for a `top_k` of at most that depth.
+
     `matching` comes from `matching_postings`; `small` says whether the query terms
     may be broadcast. `frequencies` and `totals` may be partial sums per catalog part.
     They always describe the whole corpus: filters on documents come after scoring.
 
     The only large shuffle brings the postings of a chunk together. It carries each
-    posting once, however many queries ask for its term, and lets the scores be
-    summed and cut to the best `k` in the same tasks: pairs of query and chunk never
-    travel.
+    posting once, however many queries ask for its term. Sorted by chunk they pass through
+    the task, which adds up one block of chunks at a time for all queries: pairs of query
+    and chunk are neither shuffled nor kept.
     """
     weights, avg_len = _weights(frequencies, totals, wanted, small)
-    together = matching.repartition("chunk_id") if small else matching
-    matched = join_small(together, weights, ["term"], F.col("chunk_id"), small)
+    if small:
+        together = matching.select("chunk_id", "doc_id", "term", "tf", "len").repartition(
+            "chunk_id").sortWithinPartitions("chunk_id", "doc_id")
+        kind = weights.schema["query_id"].dataType.simpleString()
+        return _summed(together, weights.toArrow(), kind, avg_len, k1, b, best)
+    matched = join_small(matching, weights, ["term"], F.col("chunk_id"), small)
     part = _part(F.col("tf"), F.col("len"), avg_len, k1, b)
     return (
         matched.groupBy("query_id", "chunk_id", "doc_id")
@@ -118,6 +133,101 @@ def score(
     )
 
 
+def _summed(
+    postings: DataFrame, weights: pa.Table, kind: str, avg_len: float, k1: float, b: float,
+    best: int | None,
+) -> DataFrame:
+    """Scores of postings sorted by chunk, for the few weights (query_id, term, _idf)."""
+    asked = weights.column("query_id").combine_chunks().unique()
+    terms = weights.column("term").combine_chunks().unique()
+    of_term = pc.index_in(weights.column("term"), terms).to_numpy()
+    order = np.argsort(of_term, kind="stable")
+    known = postings.sparkSession.sparkContext.broadcast((
+        asked, terms, np.searchsorted(of_term[order], np.arange(len(terms) + 1)),
+        pc.index_in(weights.column("query_id"), asked).to_numpy()[order],
+        weights.column("_idf").to_numpy()[order]))
+    names = ["query_id", "chunk_id", "doc_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, terms, starts, queries, idf = known.value
+        width = len(asked)
+        if not width:
+            return
+        leaders = BestOfBlocks(width, best) if best is not None else None
+        held = None  # ids, sums and hits of the last chunk, which may go on in the next batch
+
+        def finished(chunks: pa.Array, docs: pa.Array, sums, hit) -> Iterator[pa.RecordBatch]:
+            if leaders is not None:
+                leaders.add(np.where(hit, sums, -np.inf).T,
+                            *(x.to_numpy(zero_copy_only=False) for x in (chunks, docs)))
+                return
+            row, column = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([
+                asked.take(pa.array(column)), chunks.take(pa.array(row)),
+                docs.take(pa.array(row)),
+                pa.array(np.round(sums[row, column], settings.SCORE_DIGITS)),
+            ], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunks, docs = (batch.column(c).cast(pa.string()) for c in ("chunk_id", "doc_id"))
+            codes = [x.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                     for x in (chunks, docs)]
+            new = np.r_[True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])]
+            begins = np.flatnonzero(new)
+            first = chunks[0].as_py(), docs[0].as_py()
+            if held is not None and held[0] != first:
+                yield from finished(*(pa.array([x], pa.string()) for x in held[0]), *held[1:])
+                held = None
+            tf = batch.column("tf").to_numpy().astype(np.float64)
+            length = batch.column("len").to_numpy()
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
+            term = pc.fill_null(pc.index_in(batch.column("term"), terms), -1).to_numpy()
+            pairs = np.where(term < 0, 0, starts[term + 1] - starts[term])
+            ends = np.r_[begins[1:], batch.num_rows]
+            size = max(1, SUMS_AT_ONCE // width)
+            for at in range(0, len(begins), size):
+                here = begins[at:at + size]
+                sums, hit = np.zeros(len(here) * width), np.zeros(len(here) * width, bool)
+                low, high = here[0], ends[min(at + size, len(begins)) - 1]
+                place = (np.cumsum(new[low:high]) - 1) * width
+                while low < high:
+                    # As many postings as make a bounded number of pairs, one at least.
+                    made = np.cumsum(pairs[low:high])
+                    upto = low + max(1, int(np.searchsorted(made, SUMS_AT_ONCE, "right")))
+                    n = pairs[low:upto]
+                    at_pair = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(
+                        starts[term[low:upto]], n)
+                    key = np.repeat(place[:upto - low], n) + queries[at_pair]
+                    sums += np.bincount(
+                        key, idf[at_pair] * np.repeat(part[low:upto], n), len(sums))
+                    hit[key] = True
+                    place, low = place[upto - low:], upto
+                sums, hit = sums.reshape(-1, width), hit.reshape(-1, width)
+                if at == 0 and held is not None:
+                    sums[0] += held[1][0]
+                    hit[0] |= held[2][0]
+                    held = None
+                if at + size >= len(begins):
+                    held = (chunks[here[-1]].as_py(), docs[here[-1]].as_py()), sums[-1:], hit[-1:]
+                    here, sums, hit = here[:-1], sums[:-1], hit[:-1]
+                if len(here):
+                    mine = pa.array(here)
+                    yield from finished(chunks.take(mine), docs.take(mine), sums, hit)
+        if held is not None:
+            yield from finished(*(pa.array([x], pa.string()) for x in held[0]), *held[1:])
+        if leaders is not None:
+            leaders.settle()
+            yield pa.RecordBatch.from_arrays([
+                asked.take(pa.array(leaders.rows)), pa.array(leaders.ids, pa.string()),
+                pa.array(leaders.docs, pa.string()), pa.array(leaders.scores, pa.float64()),
+            ], names=names)
+
+    return postings.mapInArrow(
+        run, f"query_id {kind}, chunk_id string, doc_id string, score double")
+
+
 def in_blocks(postings: DataFrame, blocks: int) -> DataFrame:
     """Postings with the block of their document; chunks of a document stay together."""
     return postings.withColumn(

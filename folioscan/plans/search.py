@@ -31,12 +31,13 @@ def lexical_scores(
     queries: DataFrame,
     stemmer: str | None = "porter",
     allowed: DataFrame | None = None,
+    best: int | None = None,
 ) -> DataFrame:
     """BM25 of a query table over chunks that have no stored index.
 
     The postings of the query terms are computed once and kept: they give both the
     document frequencies and the scores. `allowed` (doc_id) restricts what is scored,
-    not the statistics.
+    not the statistics. With `best`, only rows that a `top_k` of that depth may need.
     """
     wanted = lexical.query_terms(queries, stemmer=stemmer)
     small = is_small(wanted)
@@ -48,7 +49,7 @@ def lexical_scores(
     )
     return lexical.score(
         kept, lexical.document_frequencies(postings),
-        lexical.corpus_totals(chunks, stemmer), wanted, small,
+        lexical.corpus_totals(chunks, stemmer), wanted, small, best=best,
     )
 
 
@@ -101,7 +102,7 @@ def lexical_top_k(
         catalog.table("documents"), catalog.table("tags"), wanted,
     )
     scores = lexical.score(
-        matching, frequencies, catalog.table("corpus_stats"), terms, small
+        matching, frequencies, catalog.table("corpus_stats"), terms, small, best=limit
     )
     return top_k(scores, limit)
 

@@ -136,3 +136,54 @@ def test_many_terms_reach_the_scan(spark, catalog):
     assert all(t in pushed for t in terms) and pushed.count("In(term") == 5
     assert {r.term for r in found.collect()} == {"heron"}
     assert catalog.table("postings").filter(named_terms([])).count() == 0
+
+
+def _brute_scores(texts, queries):
+    """(query, chunk) to BM25, and the (term, tf) of every chunk, by the formula."""
+    import math
+    from collections import Counter
+
+    counts = {c: Counter(t.split()) for c, t in texts.items()}
+    mean = sum(sum(n.values()) for n in counts.values()) / len(counts)
+    df = Counter(t for n in counts.values() for t in n)
+    found = {}
+    for q, text in queries.items():
+        for c, n in counts.items():
+            shared = set(text.split()) & n.keys()
+            if shared:
+                size = sum(n.values())
+                found[q, c] = round(sum(
+                    math.log(1 + (len(counts) - df[t] + 0.5) / (df[t] + 0.5)) * n[t] * 2.2
+                    / (n[t] + 1.2 * (0.25 + 0.75 * size / mean)) for t in shared), 9)
+    return found
+
+
+@pytest.mark.parametrize("at_once", [1 << 19, 5])
+def test_scores_are_summed_block_by_block(spark, monkeypatch, at_once):
+    from folioscan.plans.search import lexical_scores
+
+    monkeypatch.setattr(lexical, "SUMS_AT_ONCE", at_once)
+    draw = random.Random(5)
+    words = ["heron", "ferry", "pier", "quay", "tide", "crane", "buoy", "anchor"]
+    texts = {f"c{i:03d}": " ".join(draw.choices(words, k=draw.randint(1, 9))) for i in range(150)}
+    queries = {i: " ".join(draw.sample(words, 3)) for i in range(7)}
+    chunks = spark.createDataFrame(
+        [(c, c[:3], t) for c, t in texts.items()], "chunk_id string, doc_id string, text string")
+    table = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
+    expected = _brute_scores(texts, queries)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        scores = lexical_scores(chunks, table, None)
+        # Pairs of query and chunk are neither grouped nor shuffled.
+        assert "Aggregate" not in scores._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["query_id"], r["chunk_id"]): r["score"] for r in scores.collect()}
+        best = top_k(lexical_scores(chunks, table, None, best=4), 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - s) < 2e-9 for k, s in expected.items())
+    assert all(sum(1 for r in best if r["query_id"] == q) == 4 for q in queries)
+    for q in queries:
+        ranked = sorted((-s, c) for (of, c), s in got.items() if of == q)[:4]
+        assert [c for _, c in ranked] == [r["chunk_id"] for r in sorted(
+            (r for r in best if r["query_id"] == q), key=lambda r: r["rank"])]
