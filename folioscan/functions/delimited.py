@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
-import io
+import re
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from folioscan import settings
 from folioscan.functions import text as tx
 
+# Rows of cells that a task holds at a time.
+ROWS_AT_ONCE = 2000
+# A line with its end, as text files without newline translation give it.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n?|\n)|[^\r\n]+")
 # Where the Windows code page differs from Latin-1: the control range.
 _CONTROLS = bytes(range(0x80, 0xA0))
 _WINDOWS = _CONTROLS.decode("cp1252", errors="replace")
@@ -63,23 +68,46 @@ def sniff_delimiter(text: Column) -> Column:
     return tx.let(rows, choose)
 
 
-def parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas: (doc_id, local_path, text, delimiter) to rows of cells or an error.
+def _records(text: str | None, mark: str) -> Iterator[list[str]]:
+    """Rows of cells, one at a time; lines without a cell are dropped.
 
-    Quotes are respected and all values are strings; lines without a cell are dropped.
-    Fields may have any length. A file that cannot be read has no rows and the reason.
+    Quotes are respected and all values are strings. Fields may have any length.
     """
     csv.field_size_limit(sys.maxsize)
+    lines = (found.group() for found in _LINE.finditer(text or ""))
+    return (row for row in csv.reader(lines, delimiter=mark) if row)
+
+
+def _counted(text: str | None, mark: str) -> tuple[int, str | None]:
+    """How many rows a text has; 0 and the reason when it cannot be read."""
+    try:
+        return sum(1 for _ in _records(text, mark)), None
+    except csv.Error as problem:
+        return 0, str(problem)
 
-    def parsed(text: str | None, mark: str) -> tuple[list[list[str]] | None, str | None]:
-        try:
-            lines = csv.reader(io.StringIO(text or "", newline=""), delimiter=mark)
-            return [row for row in lines if row], None
-        except csv.Error as problem:
-            return None, str(problem)
 
+def count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas: (doc_id, local_path, text, delimiter) to the count of rows or an error."""
     for pdf in batches:
-        found = [parsed(t, m) for t, m in zip(pdf["text"], pdf["delimiter"])]
+        found = [_counted(t, m) for t, m in zip(pdf["text"], pdf["delimiter"])]
         yield pdf[["doc_id", "local_path"]].assign(
-            rows=[rows for rows, _ in found], error=[error for _, error in found]
-        )
+            rows=[n for n, _ in found], error=[error for _, error in found])
+
+
+def parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas: (doc_id, text, delimiter) to (doc_id, header, row_no, cells).
+
+    A row each below the header, so no file is ever put together as one value. A file that
+    cannot be read to its end has none.
+    """
+    for pdf in batches:
+        for doc, text, mark in zip(pdf["doc_id"], pdf["text"], pdf["delimiter"]):
+            if _counted(text, mark)[1] is not None:
+                continue
+            rows = _records(text, mark)
+            header, at = next(rows, None), 0
+            while cells := list(islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame({
+                    "doc_id": [doc] * len(cells), "header": [header] * len(cells),
+                    "row_no": range(at, at + len(cells)), "cells": cells})
+                at += len(cells)

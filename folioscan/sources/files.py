@@ -139,22 +139,18 @@ def _info(df: DataFrame, title: Column | None = None, pages: Column | None = Non
 def _delimited(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts, chunks and rejects of delimited files."""
     text = files.select("doc_id", "local_path", dx.decoded(F.col("content")).alias("text"))
-    parsed = text.select(
+    marked = text.select(
         "doc_id", "local_path", "text", dx.sniff_delimiter(F.col("text")).alias("delimiter")
-    ).mapInPandas(
-        dx.parse_rows,
-        "doc_id string, local_path string, rows array<array<string>>, error string",
-    )
-    rows = parsed.filter(F.col("error").isNull())
-    body = rows.select(
-        "doc_id", F.get("rows", F.lit(0)).alias("header"),
-        F.posexplode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))))
-        .alias("row_no", "cells"),
     )
-    count = F.greatest(F.size("rows") - 1, F.lit(0))
-    return _info(rows, pages=count), chunking.delimited_chunks(
+    counted = marked.mapInPandas(
+        dx.count_rows, "doc_id string, local_path string, rows bigint, error string")
+    body = marked.drop("local_path").mapInPandas(
+        dx.parse_rows,
+        "doc_id string, header array<string>, row_no bigint, cells array<string>")
+    count = F.greatest(F.col("rows") - 1, F.lit(0))
+    return _info(counted.filter(F.col("error").isNull()), pages=count), chunking.delimited_chunks(
         body, chunking.joined_cells(F.col("header"))
-    ), parsed.filter(F.col("error").isNotNull())
+    ), counted.filter(F.col("error").isNotNull())
 
 
 def _literal(local_path: str) -> str:

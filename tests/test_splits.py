@@ -145,3 +145,53 @@ def test_ingest_reads_large_files_in_splits(spark, tmp_path):
     info = {r.doc_id: r.page_count for r in found.info.collect()}
     whole = {r.doc_id: r.page_count for r in plain.info.collect()}
     assert len(info) == 5 and info.items() <= whole.items()
+
+
+def test_small_delimited_files_are_parsed_row_by_row():
+    import pandas as pd
+
+    from folioscan.functions import delimited as dx
+
+    lines = "".join(f'{i},"a\r\n{i}"\r\n\n' for i in range(5001))
+    files = pd.DataFrame({
+        "doc_id": ["x", "bad", "empty", "header"],
+        "local_path": ["p"] * 4, "delimiter": [","] * 4,
+        "text": ["n,note\n" + lines, 'a,b\n1,2\n3,\0\r4,"' + "x" * 5, None, "n,note"]})
+    counts = next(iter(dx.count_rows([files]))).set_index("doc_id")
+    assert counts.loc["x", "rows"] == 5002 and counts.loc["header", "rows"] == 1
+    assert counts.loc["empty", "rows"] == 0 and counts.loc["empty", "error"] is None
+    parts = list(dx.parse_rows([files.iloc[[0, 2, 3]]]))
+    # No part holds more than a bounded number of rows, and no value holds a file.
+    assert max(map(len, parts)) <= dx.ROWS_AT_ONCE
+    rows = pd.concat(parts)
+    assert rows["row_no"].tolist() == list(range(5001)) and set(rows["doc_id"]) == {"x"}
+    assert rows["cells"].tolist() == [[str(i), f"a\r\n{i}"] for i in range(5001)]
+    assert all(h == ["n", "note"] for h in rows["header"])
+
+
+def test_delimited_lines_end_as_in_a_text_file():
+    import csv
+    import io
+
+    from folioscan.functions import delimited as dx
+
+    for text in ("", "\n", "a\r\rb,\"c\rd\"\r\n\r\ne", "a,b\r", '"a\n\nb"\n,', " a\x0bb\n\x85c"):
+        plain = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+        assert list(dx._records(text, ",")) == plain
+
+
+def test_delimited_error_leaves_no_rows(monkeypatch):
+    import csv
+
+    import pandas as pd
+
+    from folioscan.functions import delimited as dx
+
+    def broken(lines, delimiter):
+        yield from ([line] for line in lines if line != "stop\n")
+        raise csv.Error("broken")
+
+    monkeypatch.setattr(dx.csv, "reader", broken)
+    files = pd.DataFrame({"doc_id": ["d"], "local_path": ["p"], "text": ["a\nb\n"], "delimiter": [","]})
+    assert list(dx.parse_rows([files])) == []
+    assert next(iter(dx.count_rows([files])))[["rows", "error"]].values.tolist() == [[0, "broken"]]
