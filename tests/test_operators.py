@@ -1,6 +1,9 @@
 """Fusion, tags, listing, prompts, manifest, upserts, readers and streams."""
 
 import os
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +48,32 @@ def test_keyword_tags(spark):
     assert [r["tag"] for r in rows] == ["gravel", "channel", "silting", "zeta", "alpha"]
 
 
+def test_keywords_move_no_term_of_a_whole_document(spark, monkeypatch):
+    monkeypatch.setattr(tags, "PIECE_CHUNKS", 2)
+    words = ["heron", "ferry", "pier", "quay", "tide", "crane", "buoy", "The", "x-ray_1", "ab"]
+    draw = random.Random(3)
+    rows = [(d, o, " ".join(draw.choices(words, k=12)) if o else None)
+            for d, n in (("a", 1), ("b", 2), ("long", 7), (None, 3)) for o in range(n)]
+    rows += [("gap", 0, "quay tide"), ("gap", 9, "tide Crane"), ("twice", 0, "pier"), ("twice", 0, "buoy pier")]
+    chunks = spark.createDataFrame(rows, "doc_id string, ordinal int, text string")
+    counts, firsts = Counter(), {}
+    for doc, ordinal, text in rows:
+        found = re.findall("[a-z][a-z0-9_-]{2,}", (text or "").lower())
+        for i, w in enumerate(w for w in found if w != "the"):
+            counts[doc, w] += 1
+            place = (ordinal << 32) + i
+            firsts[doc, w] = min(place, firsts.get((doc, w), place))
+    got = {(r["doc_id"], r["term"]): (r["n"], r["first"]) for r in tags.term_frequencies(chunks).collect()}
+    assert got == {key: (n, firsts[key]) for key, n in counts.items()}
+    ranked = sorted(counts, key=lambda key: (-counts[key], firsts[key]))
+    for r in tags.keyword_tags(chunks, 3).collect():
+        of_doc = [w for d, w in ranked if d == r["doc_id"]]
+        assert of_doc[r["tag_rank"] - 1] == r["tag"] or r["doc_id"] == "twice"
+    # A document of one piece sends its first terms only, and no term meets another shuffle.
+    short = chunks.filter("doc_id = 'b'")
+    assert tags.term_frequencies(short, 3).count() == 3 < tags.term_frequencies(short).count()
+
+
 def high_tier(spark, tag):
     chunks = spark.createDataFrame([("d", 0, "quarterly revenue revenue"), ("other", 0, "x")],
                                    "doc_id string, ordinal int, text string")
