@@ -17,7 +17,10 @@ from folioscan.functions.text import WHITESPACE_CLASS
 from folioscan.operators import chunking
 from folioscan.operators.running import running_before
 from folioscan.sources import splits
-from folioscan.sources.shared import new_folder
+from folioscan.sources.shared import kept_once, new_folder
+
+# Lines in one of the files that the split readers are given.
+FILE_ROWS = 1 << 21
 
 
 @check("""SELECT doc_id AS number, substr(sha1(doc_id || '|' || n_chars), 1, 16) AS key
@@ -209,18 +212,37 @@ def delimited_chunks(spark, sf_dir):
 
 
 def _item_files(spark, sf_dir, line):
-    """One large file per return flag, its lines in the order of the line items."""
-    items = r.table(spark, sf_dir, "lineitem").withColumn("note", F.concat(
-        "l_linestatus", F.lit('\n"'), F.col("l_partkey").cast("string"), F.lit('", '),
-        F.col("l_suppkey").cast("string")))
-    order = Window.partitionBy("l_returnflag").orderBy(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    both = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = items.withColumn("row_no", F.row_number().over(order) - 1).withColumn(
-        "last", F.col("row_no") == F.count("*").over(both) - 1)
+    """Large files of the line items of each return flag, in their order.
+
+    A file has FILE_ROWS lines at most and `first_row` in its path. Rows are ordered and
+    numbered by ranges, so no task holds all lines of a flag.
+    """
+    flag, order = "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    ordered = r.table(spark, sf_dir, "lineitem").select(
+        flag, *order, "l_linestatus").repartitionByRange(flag, *order).sortWithinPartitions(
+        flag, *order)
+    # The ids of a range follow its order, so its rows are numbered without a window.
+    items = kept_once(ordered.withColumn("range", F.spark_partition_id()).withColumn(
+        "at", F.monotonically_increasing_id())).withColumn("note", F.concat(
+            "l_linestatus", F.lit('\n"'), F.col("l_partkey").cast("string"), F.lit('", '),
+            F.col("l_suppkey").cast("string")))
+    whole = Window.partitionBy(flag)
+    ahead = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = items.groupBy(flag, "range").agg(
+        F.count("*").alias("held"), F.min("at").alias("lowest")).select(
+        F.col(flag).alias("_flag"), F.col("range").alias("_range"), "lowest",
+        F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"),
+        F.sum("held").over(whole).alias("total"))
+    same = F.col(flag).eqNullSafe(F.col("_flag")) & (F.col("range") == F.col("_range"))
+    numbered = items.join(F.broadcast(ranges), same).withColumn(
+        "row_no", F.col("before") + F.col("at") - F.col("lowest")).withColumn(
+        "first_row", F.col("row_no") - F.col("row_no") % FILE_ROWS).withColumn(
+        "last", (F.col("row_no") == F.col("total") - 1)
+        | (F.col("row_no") % FILE_ROWS == FILE_ROWS - 1))
     path = new_folder(spark, "items")
-    numbered.repartition("l_returnflag").sortWithinPartitions("l_returnflag", "row_no").select(
-        line.alias("value"), "l_returnflag").write.partitionBy("l_returnflag").text(path)
+    numbered.select(line.alias("value"), flag, "first_row", "row_no").repartition(
+        flag, "first_row").sortWithinPartitions(flag, "first_row", "row_no").select(
+        "value", flag, "first_row").write.partitionBy(flag, "first_row").text(path)
     return path
 
 
@@ -228,6 +250,11 @@ def _flag(path):
     return F.regexp_extract(path, "l_returnflag=([^/]*)", 1)
 
 
+def _row_no(path, number):
+    """Number of a record among all of its flag."""
+    return F.regexp_extract(path, "first_row=([0-9]*)", 1).cast("bigint") + number
+
+
 _ITEMS = """SELECT l_returnflag AS flag, CAST(row_number() OVER (PARTITION BY l_returnflag
   ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS row_no,
   CAST(l_orderkey AS BIGINT) AS item,
@@ -241,7 +268,7 @@ def split_delimited(spark, sf_dir):
     quoted = F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))
     path = _item_files(spark, sf_dir, F.concat_ws(",", "l_orderkey", quoted))
     return splits.delimited_records(spark, path).select(
-        _flag("local_path").alias("flag"), "row_no",
+        _flag("local_path").alias("flag"), _row_no("local_path", F.col("row_no")).alias("row_no"),
         F.col("cells")[0].cast("bigint").alias("item"), F.col("cells")[1].alias("note"))
 
 
@@ -250,12 +277,13 @@ def split_json(spark, sf_dir):
     """Elements of JSON arrays that several tasks read."""
     value = F.to_json(F.struct(F.col("l_orderkey").alias("item"), "note"))
     path = _item_files(spark, sf_dir, F.concat(
-        F.when(F.col("row_no") == 0, "[").otherwise(","), value,
+        F.when(F.col("row_no") == F.col("first_row"), "[").otherwise(","), value,
         F.when(F.col("last"), "]").otherwise("")))
     found = splits.json_array_records(spark, path)
     parsed = F.from_json("json", "item bigint, note string")
     return found.select(
-        _flag("local_path").alias("flag"), F.col("record_no").alias("row_no"),
+        _flag("local_path").alias("flag"),
+        _row_no("local_path", F.col("record_no")).alias("row_no"),
         parsed["item"].alias("item"), parsed["note"].alias("note"))
 
 

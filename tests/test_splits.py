@@ -195,3 +195,27 @@ def test_delimited_error_leaves_no_rows(monkeypatch):
     files = pd.DataFrame({"doc_id": ["d"], "local_path": ["p"], "text": ["a\nb\n"], "delimiter": [","]})
     assert list(dx.parse_rows([files])) == []
     assert next(iter(dx.count_rows([files])))[["rows", "error"]].values.tolist() == [[0, "broken"]]
+
+
+@pytest.mark.parametrize("name", ["split_delimited", "split_json"])
+def test_lines_of_a_flag_are_dealt_over_files_of_bounded_size(spark, tmp_path, monkeypatch, name):
+    from checks import text_queries
+
+    draw, made = random.Random(4), []
+    items = [(draw.choice("ANR"), draw.randint(1, 40), n % 7, draw.randint(1, 99), n, draw.choice("OF"))
+             for n in range(300)]
+    spark.createDataFrame(items, "l_returnflag string, l_orderkey bigint, l_linenumber int, "
+                          "l_partkey bigint, l_suppkey bigint, l_linestatus string").repartition(
+        3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    write = text_queries._item_files
+    monkeypatch.setattr(text_queries, "FILE_ROWS", 32, raising=False)
+    monkeypatch.setattr(text_queries, "_item_files", lambda *a: made.append(write(*a)) or made[-1])
+    rows = getattr(text_queries, name)(spark, str(tmp_path)).collect()
+    expected, held = [], {}
+    for flag, order, line, part, supplier, status in sorted(items, key=lambda x: (x[0], *x[1:5])):
+        held[flag] = held.get(flag, -1) + 1
+        expected.append((flag, held[flag], order, f'{status}\n"{part}", {supplier}'))
+    assert sorted(map(tuple, rows)) == expected
+    # No task writes all lines of a flag.
+    files = spark.read.text(made[0]).groupBy("l_returnflag", "first_row").count().collect()
+    assert len(files) > 6 and len({(f[0], f[1]) for f in files}) == sum(-(-(n + 1) // 32) for n in held.values())
