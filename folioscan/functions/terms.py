@@ -39,9 +39,14 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, *_accent_map())
 
 
+def folded(text: Column) -> Column:
+    """Lower case without accents, as index tokens are cut from it."""
+    return fold_accents(F.lower(text))
+
+
 def lexical_tokens(text: Column, stop_words: tuple[str, ...] = settings.STOP_WORDS) -> Column:
     """Lower-case `[a-z]+` tokens without accents and stop words."""
-    found = F.split(fold_accents(F.lower(text)), "[^a-z]+")
+    found = F.split(folded(text), "[^a-z]+")
     dropped = ("", *stop_words)
     return F.filter(found, lambda token: ~token.isin(*dropped))
 

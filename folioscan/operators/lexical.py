@@ -24,6 +24,9 @@ from folioscan.sources.shared import checkpointed
 STEMMERS = ("porter", None)
 # Sums of chunks and queries that a task holds at a time.
 SUMS_AT_ONCE = 1 << 19
+NO_TERM = ""
+# Chunks whose terms a task counts at a time.
+CHUNKS_AT_ONCE = 2048
 
 
 def tokens(text: Column, stemmer: str | None = "porter") -> Column:
@@ -34,17 +37,51 @@ def tokens(text: Column, stemmer: str | None = "porter") -> Column:
     return tm.stem_tokens(plain) if stemmer else plain
 
 
-def build_postings(chunks: DataFrame, stemmer: str | None = "porter") -> DataFrame:
-    """(term, chunk_id, doc_id, tf, len), counted inside each chunk's row."""
-    tokenised = chunks.select(
-        "chunk_id", "doc_id", tokens(F.col("text"), stemmer).alias("_tokens")
-    )
-    return tokenised.select(
-        "chunk_id", "doc_id", F.size("_tokens").alias("len"),
-        F.explode(tm.term_counts(F.col("_tokens"))).alias("t"),
-    ).select("t.term", "chunk_id", "doc_id", F.col("t.tf").alias("tf"), "len").select(
-        *schemas.POSTINGS.names
-    )
+def build_postings(
+    chunks: DataFrame, stemmer: str | None = "porter", lengths: bool = False
+) -> DataFrame:
+    """(term, chunk_id, doc_id, tf, len), counted in the task that has the chunk.
+
+    With `lengths`, one row more of every chunk, also one without a token: term NO_TERM, tf 0.
+    """
+    if stemmer not in STEMMERS:
+        raise ValueError(f"stemmer must be one of {STEMMERS}, not {stemmer!r}")
+    ids = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
+    names = ["term", *ids, "tf", "len"]
+    dropped = pa.array([b"", *(w.encode() for w in settings.STOP_WORDS)], pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+                yield counted(batch.slice(start, CHUNKS_AT_ONCE))
+
+    def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = pc.split_pattern_regex(part.column("folded"), "[^a-z]+")
+        found = pc.list_flatten(words).dictionary_encode()
+        codes, values = found.indices.to_numpy(), found.dictionary
+        kept = ~pc.is_in(values, dropped).to_numpy(zero_copy_only=False)[codes]
+        rows = pc.list_parent_indices(words).to_numpy()[kept]
+        terms = values.cast(pa.string())
+        if stemmer:
+            stems = pa.array(map(tm.porter_stem, terms.to_pylist()), pa.string())
+            found = stems.dictionary_encode()
+            codes, terms = found.indices.to_numpy()[codes], found.dictionary
+        length = np.bincount(rows, minlength=part.num_rows).astype(np.int32)
+        width = max(1, len(terms))
+        pairs, tf = np.unique(rows * width + codes[kept], return_counts=True)
+        row, term = pairs // width, terms.take(pa.array(pairs % width))
+        if lengths:
+            row, tf = np.r_[row, np.arange(part.num_rows)], np.r_[tf, np.zeros(part.num_rows)]
+            term = pa.concat_arrays([term, pa.array([NO_TERM] * part.num_rows, pa.string())])
+        return pa.RecordBatch.from_arrays([
+            term, *(part.column(c).take(pa.array(row)) for c in ids),
+            pa.array(tf.astype(np.int32)), pa.array(length[row])], names=names)
+
+    # Letters are folded as for the tokens of a query.
+    folded = tm.folded(F.col("text")).cast("binary")
+    return chunks.select(*ids, folded.alias("folded")).mapInArrow(
+        run, f"term string, chunk_id {ids['chunk_id']}, doc_id {ids['doc_id']}, tf int, len int"
+    ).select(*schemas.POSTINGS.names)
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

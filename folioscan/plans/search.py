@@ -35,21 +35,27 @@ def lexical_scores(
 ) -> DataFrame:
     """BM25 of a query table over chunks that have no stored index.
 
-    The postings of the query terms are computed once and kept: they give both the
-    document frequencies and the scores. `allowed` (doc_id) restricts what is scored,
+    The postings of the query terms are computed once and kept: they give the document
+    frequencies, the totals and the scores. `allowed` (doc_id) restricts what is scored,
     not the statistics. With `best`, only rows that a `top_k` of that depth may need.
     """
     wanted = lexical.query_terms(queries, stemmer=stemmer)
     small = is_small(wanted)
-    postings = checkpointed(
-        lexical.matching_postings(lexical.build_postings(chunks, stemmer), wanted, small)
-    )
+    # Lengths come along with the terms: the chunks are cut into tokens once.
+    named = wanted.select("term").unionByName(
+        wanted.sparkSession.createDataFrame([(lexical.NO_TERM,)], "term string"))
+    found = checkpointed(lexical.matching_postings(
+        lexical.build_postings(chunks, stemmer, lengths=True), named, small))
+    postings = found.filter(F.col("term") != lexical.NO_TERM)
+    totals = found.filter(F.col("term") == lexical.NO_TERM).agg(
+        F.count("*").alias("n_chunks"),
+        F.coalesce(F.sum("len"), F.lit(0)).cast("bigint").alias("total_len"))
     kept = postings if allowed is None else postings.join(
         allowed.select("doc_id"), "doc_id", "left_semi"
     )
     return lexical.score(
         kept, lexical.document_frequencies(postings),
-        lexical.corpus_totals(chunks, stemmer), wanted, small, best=best,
+        totals, wanted, small, best=best,
     )
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan import schemas
 from folioscan.operators import lexical, results
@@ -187,3 +188,23 @@ def test_scores_are_summed_block_by_block(spark, monkeypatch, at_once):
         ranked = sorted((-s, c) for (of, c), s in got.items() if of == q)[:4]
         assert [c for _, c in ranked] == [r["chunk_id"] for r in sorted(
             (r for r in best if r["query_id"] == q), key=lambda r: r["rank"])]
+
+
+@pytest.mark.parametrize("stemmer", [None, "porter"])
+def test_postings_and_lengths_come_from_one_pass(spark, monkeypatch, stemmer):
+    monkeypatch.setattr(lexical, "CHUNKS_AT_ONCE", 3)
+    texts = ["Herons, a heron; the FERRY", None, "", "123 the", "Žlutý kůň rides, riding Éric", "ferries ferry x"] * 3
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"d{i // 2}", t) for i, t in enumerate(texts)],
+        "chunk_id string, doc_id string, text string")
+    words = chunks.select("chunk_id", "doc_id", lexical.tokens(F.col("text"), stemmer).alias("w"))
+    expected = {(r["term"], r["chunk_id"], r["doc_id"], r["tf"], r["len"]) for r in words.select(
+        "chunk_id", "doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy(
+        "term", "chunk_id", "doc_id", "len").agg(F.count("*").alias("tf")).collect()}
+    rows = [tuple(r) for r in lexical.build_postings(chunks, stemmer, lengths=True).collect()]
+    assert {r for r in rows if r[0]} == expected and len({r[:2] for r in rows}) == len(rows)
+    assert not any(c.isspace() or not c.isascii() for t, *_ in expected for c in t)
+    held = [r[4] for r in rows if r[0] == lexical.NO_TERM]
+    assert [(len(held), sum(held))] == [tuple(r) for r in lexical.corpus_totals(chunks, stemmer).collect()]
+    assert sorted(r for r in rows if r[0]) == sorted(
+        map(tuple, lexical.build_postings(chunks, stemmer).collect()))
