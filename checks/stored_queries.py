@@ -12,6 +12,7 @@ from checks import sql as q
 from checks.catalog_queries import WORDS
 from checks.registry import check
 from folioscan import schemas
+from folioscan.operators.joins import with_key
 from folioscan.plans.backfill import backfill
 from folioscan.plans.ingest import ingest_folder, store_extracted
 from folioscan.plans.search import search
@@ -51,10 +52,8 @@ def _stored_catalog(spark, sf_dir):
     catalog.set_setting("stemmer", "none")
     documents, chunks = r.documents(spark, sf_dir), r.chunks(spark, sf_dir)
     _ingest(catalog, documents, chunks)
-    again = documents.join(
-        r.label_tags(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_semi"
-    )
-    _ingest(catalog, again, chunks.join(again.select("doc_id"), "doc_id", "left_semi"))
+    labelled = r.label_tags(spark, sf_dir).select("doc_id").distinct()
+    _ingest(catalog, *(with_key(rows, labelled, "doc_id") for rows in (documents, chunks)))
     return catalog
 
 

@@ -27,6 +27,8 @@ SUMS_AT_ONCE = 1 << 19
 NO_TERM = ""
 # Chunks whose terms a task counts at a time.
 CHUNKS_AT_ONCE = 2048
+# Postings that a task puts together by chunk before they are shuffled.
+POSTINGS_AT_ONCE = 1 << 20
 
 
 def tokens(text: Column, stemmer: str | None = "porter") -> Column:
@@ -152,16 +154,14 @@ def score(
     They always describe the whole corpus: filters on documents come after scoring.
 
     The only large shuffle brings the postings of a chunk together. It carries each
-    posting once, however many queries ask for its term. Sorted by chunk they pass through
-    the task, which adds up one block of chunks at a time for all queries: pairs of query
-    and chunk are neither shuffled nor kept.
+    posting once, however many queries ask for its term, as two numbers in a row of its
+    chunk. Sorted by chunk they pass through the task, which adds up one block of chunks at
+    a time for all queries: pairs of query and chunk are neither shuffled nor kept.
     """
     weights, avg_len = _weights(frequencies, totals, wanted, small)
     if small:
-        together = matching.select("chunk_id", "doc_id", "term", "tf", "len").repartition(
-            "chunk_id").sortWithinPartitions("chunk_id", "doc_id")
         kind = weights.schema["query_id"].dataType.simpleString()
-        return _summed(together, weights.toArrow(), kind, avg_len, k1, b, best)
+        return _summed(matching, weights.toArrow(), kind, avg_len, k1, b, best)
     matched = join_small(matching, weights, ["term"], F.col("chunk_id"), small)
     part = _part(F.col("tf"), F.col("len"), avg_len, k1, b)
     return (
@@ -174,7 +174,7 @@ def _summed(
     postings: DataFrame, weights: pa.Table, kind: str, avg_len: float, k1: float, b: float,
     best: int | None,
 ) -> DataFrame:
-    """Scores of postings sorted by chunk, for the few weights (query_id, term, _idf)."""
+    """Scores of postings, for the few weights (query_id, term, _idf)."""
     asked = weights.column("query_id").combine_chunks().unique()
     terms = weights.column("term").combine_chunks().unique()
     of_term = pc.index_in(weights.column("term"), terms).to_numpy()
@@ -185,6 +185,35 @@ def _summed(
         weights.column("_idf").to_numpy()[order]))
     names = ["query_id", "chunk_id", "doc_id", "score"]
 
+    def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            term = pc.index_in(batch.column("term"), known.value[1])
+            held.append(pa.RecordBatch.from_arrays(
+                [term, *(batch.column(c) for c in ("chunk_id", "doc_id", "tf", "len"))],
+                names=["term", "chunk_id", "doc_id", "tf", "len"]).filter(term.is_valid()))
+            count += held[-1].num_rows
+            if count >= POSTINGS_AT_ONCE:
+                yield packed(held)
+                held, count = [], 0
+        if count:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids = [rows.column(c) for c in ("chunk_id", "doc_id", "len")]
+        codes = [x.dictionary_encode(null_encoding="encode").indices.to_numpy() for x in ids]
+        order = np.lexsort(codes[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in codes], axis=0)
+        begins = np.flatnonzero(new)
+        ends = pa.array(np.r_[begins, len(order)].astype(np.int32))
+        first = pa.array(order[begins])
+        return pa.RecordBatch.from_arrays([
+            *(x.take(first) for x in ids),
+            *(pa.ListArray.from_arrays(ends, rows.column(c).take(pa.array(order)))
+              for c in ("term", "tf"))], names=["chunk_id", "doc_id", "len", "terms", "tfs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, terms, starts, queries, idf = known.value
         width = len(asked)
@@ -208,7 +237,9 @@ def _summed(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunks, docs = (batch.column(c).cast(pa.string()) for c in ("chunk_id", "doc_id"))
+            of_row = pc.list_parent_indices(batch.column("terms"))
+            chunks, docs = (
+                batch.column(c).cast(pa.string()).take(of_row) for c in ("chunk_id", "doc_id"))
             codes = [x.dictionary_encode(null_encoding="encode").indices.to_numpy()
                      for x in (chunks, docs)]
             new = np.r_[True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])]
@@ -217,12 +248,12 @@ def _summed(
             if held is not None and held[0] != first:
                 yield from finished(*(pa.array([x], pa.string()) for x in held[0]), *held[1:])
                 held = None
-            tf = batch.column("tf").to_numpy().astype(np.float64)
-            length = batch.column("len").to_numpy()
+            tf = batch.column("tfs").flatten().to_numpy().astype(np.float64)
+            length = batch.column("len").take(of_row).to_numpy()
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
-            term = pc.fill_null(pc.index_in(batch.column("term"), terms), -1).to_numpy()
-            pairs = np.where(term < 0, 0, starts[term + 1] - starts[term])
-            ends = np.r_[begins[1:], batch.num_rows]
+            term = batch.column("terms").flatten().to_numpy()
+            pairs = starts[term + 1] - starts[term]
+            ends = np.r_[begins[1:], len(term)]
             size = max(1, SUMS_AT_ONCE // width)
             for at in range(0, len(begins), size):
                 here = begins[at:at + size]
@@ -261,7 +292,11 @@ def _summed(
                 pa.array(leaders.docs, pa.string()), pa.array(leaders.scores, pa.float64()),
             ], names=names)
 
-    return postings.mapInArrow(
+    # Terms are numbered, and what a task has of a chunk is one row, before the shuffle.
+    ids = {c: postings.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id")}
+    rows = postings.select("term", *ids, "tf", "len").mapInArrow(by_chunk, ", ".join(
+        [f"{c} {t}" for c, t in ids.items()] + ["len int, terms array<int>, tfs array<int>"]))
+    return rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "doc_id").mapInArrow(
         run, f"query_id {kind}, chunk_id string, doc_id string, score double")
 
 

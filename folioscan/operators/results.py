@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan import schemas, settings
 from folioscan.functions import text as tx
+from folioscan.operators.joins import with_key
 from folioscan.sources.shared import checkpointed
 
 BROADCAST_RESULTS = 100_000
@@ -27,8 +28,9 @@ def result_rows(
     about = documents.select("doc_id", "filename", "source_type", "source_uri", "summary")
     facts = about.join(side(ranked), "doc_id")
     # Only ids are sent to where the text lies; the few texts then meet the few facts.
-    texts = chunks.select("chunk_id", "locator", "text").join(
-        side(ranked.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    texts, ids = chunks.select("chunk_id", "locator", "text"), ranked.select("chunk_id").distinct()
+    texts = texts.join(side(ids), "chunk_id", "left_semi") if small else with_key(
+        texts, ids, "chunk_id")
     return facts.join(texts, "chunk_id").select(
         *[c for c in ("query_id", "rank") if c in ranked.columns], *schemas.RESULT_COLUMNS
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import nsmallest
 
 import pyarrow as pa
@@ -16,6 +16,7 @@ from folioscan import settings
 from folioscan.functions import text as tx
 from folioscan.functions.terms import KEYWORD
 from folioscan.operators.chunking import document_samples
+from folioscan.operators.joins import is_small, with_key
 from folioscan.operators.model_calls import ModelFactory, apply_model
 from folioscan.sources.shared import kept_once
 
@@ -32,7 +33,7 @@ def _piece_counts(chunks: DataFrame, k: int | None = None) -> DataFrame:
     A piece has PIECE_CHUNKS ordinals, so most documents are one piece, and a huge one is
     many. With `k`, a document of one piece gives its `k` first terms only.
     """
-    piece = F.greatest(F.floor(F.col("ordinal") / PIECE_CHUNKS), F.lit(0))
+    piece = _piece()
     text = F.col("text").cast("binary")
     # Later pieces leave a mark without text with the first one, which then is not all.
     mark = F.struct(F.lit(0).cast("bigint").alias("piece"), F.lit(None).cast("binary").alias("text"),
@@ -41,8 +42,21 @@ def _piece_counts(chunks: DataFrame, k: int | None = None) -> DataFrame:
     rows = chunks.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.explode(
         F.when(piece > 0, F.array(own, mark)).otherwise(F.array(own))).alias("p")).select(
         "doc_id", "ordinal", "p.*")
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "term", "n", "first"]
+    return rows.repartition("doc_id", "piece").sortWithinPartitions(
+        "doc_id", "piece").mapInArrow(*_counting(rows, k))
+
+
+def _piece() -> Column:
+    return F.greatest(F.floor(F.col("ordinal") / PIECE_CHUNKS), F.lit(0))
+
+
+def _counting(rows: DataFrame, k: int | None) -> tuple[Callable, str]:
+    """What counts the terms of pieces that pass by, and its schema.
+
+    `place` numbers the terms of a piece; with `k`, by rank where it is alone.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "term", "n", "first", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, alone, counts, firsts, found = None, True, Counter(), {}, []
@@ -51,11 +65,11 @@ def _piece_counts(chunks: DataFrame, k: int | None = None) -> DataFrame:
             terms = [(key[0], w, n, firsts[w]) for w, n in counts.items()]
             if alone and k is not None:
                 terms = nsmallest(k, terms, key=lambda t: (-t[2], t[3] is not None, t[3]))
-            found.extend(terms)
+            found.extend((*t, place) for place, t in enumerate(terms))
 
         def flushed(kind: pa.DataType) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            kinds = kind, pa.binary(), pa.int64(), pa.int64()
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            kinds = kind, pa.binary(), pa.int64(), pa.int64(), pa.int32()
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             arrays[1] = arrays[1].cast(pa.string())
             found.clear()
@@ -91,8 +105,7 @@ def _piece_counts(chunks: DataFrame, k: int | None = None) -> DataFrame:
             finished()
             yield flushed(doc_kind)
 
-    return rows.repartition("doc_id", "piece").sortWithinPartitions("doc_id", "piece").mapInArrow(
-        run, f"doc_id {kind}, term string, n bigint, first bigint")
+    return run, f"doc_id {kind}, term string, n bigint, first bigint, place int"
 
 
 def term_frequencies(chunks: DataFrame, k: int | None = None) -> DataFrame:
@@ -106,7 +119,28 @@ def term_frequencies(chunks: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def keyword_tags(chunks: DataFrame, k: int = settings.TAGS_PER_DOCUMENT) -> DataFrame:
-    """(doc_id, tag, tag_rank): the most frequent words, ties by first occurrence."""
+    """(doc_id, tag, tag_rank): the most frequent words, ties by first occurrence.
+
+    Where all chunks of a document follow one another in a task, as they are stored, its
+    words are ranked there. Only documents that turn up twice are counted by a shuffle.
+    """
+    rows = chunks.select(
+        "doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), _piece().alias("piece"),
+        F.col("text").cast("binary").alias("text"), F.lit(True).alias("alone"))
+    found = kept_once(rows.mapInArrow(*_counting(rows, k)))
+    twice = found.filter((F.col("place") == 0) & F.col("doc_id").isNotNull()).groupBy(
+        "doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    small = is_small(twice)
+    once = found.filter(F.col("doc_id").isNotNull()).join(
+        F.broadcast(twice) if small else twice, "doc_id", "left_anti")
+    others = with_key(chunks, twice, "doc_id").unionByName(
+        chunks.filter(F.col("doc_id").isNull()))
+    return once.select(
+        "doc_id", F.col("term").alias("tag"), (F.col("place") + 1).alias("tag_rank")
+    ).unionByName(_ranked_terms(others, k))
+
+
+def _ranked_terms(chunks: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy(F.desc("n"), "first")
     return (
         term_frequencies(chunks, k)

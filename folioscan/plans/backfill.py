@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioscan import settings
 from folioscan.functions import vectors as vx
-from folioscan.functions.keys import part_of
 from folioscan.operators.model_calls import ModelFactory, apply_model
 from folioscan.sources.catalog import Catalog
 from folioscan.sources.vector_store import vector_store
@@ -44,10 +43,9 @@ def backfill(
     store = vector_store(catalog)
     model = store.ensure_model(model)
     step = parts_per_commit or catalog.parts
-    part = part_of(F.col("doc_id"), catalog.parts)
     written, version = 0, catalog.last_batch()
     for start in range(0, catalog.parts, step):
-        pending = store.missing_chunks(doc_id).filter(part.between(start, start + step - 1))
+        pending = store.missing_in_parts(start, start + step - 1, catalog.parts, doc_id)
         vectors = embed(pending.select("chunk_id", "text"), model, factory)
         written += store.upsert(vectors.select("chunk_id", "embedding"))
     if doc_id is None:

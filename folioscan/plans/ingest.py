@@ -114,7 +114,8 @@ def store_extracted(
         change.replace("chunk_embeddings", vectors, touched, gone)
         # Everything that follows reads the chunks from storage, not from the files.
         stored = change.rows("chunks").drop("part")
-        change.replace("postings", lexical.build_postings(stored, stemmer), touched, gone)
+        change.replace(
+            "postings", lexical.build_postings(stored, stemmer), touched, gone, placed=True)
         catalog.refresh_statistics(change)
         if enrich:
             summaries, tagged = tags.enrich(stored, effort, summarise, tag)

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan import settings
+from folioscan import schemas, settings
 from folioscan.operators import fusion, lexical, results
 from folioscan.operators.filters import Filters, restrict
 from folioscan.operators.joins import is_small
@@ -96,15 +96,17 @@ def lexical_top_k(
     stemmer = catalog.setting(STEMMER_SETTING) or "porter"
     terms = lexical.query_terms(queries, stemmer=None if stemmer == "none" else stemmer)
     small = is_small(terms)
-    postings, frequencies = catalog.table("postings"), catalog.table("term_stats")
+    # The partial sums as they lie: only those of the terms are summed up.
+    frequencies, known = catalog.stored("term_stats").select("term", "df"), F.lit(True)
     listed = terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()
     if len(listed) <= LISTED_TERMS:
         known = named_terms([row["term"] for row in listed])
-        postings, frequencies = postings.filter(known), frequencies.filter(known)
+        frequencies = frequencies.filter(known)
     # Filtering postings, not scores, keeps pairs of query and chunk out of the join;
     # the statistics come from their own tables and do not change.
     matching = restrict(
-        lexical.matching_postings(postings, terms, small),
+        catalog.stored("postings", only=lambda postings: lexical.matching_postings(
+            postings.filter(known), terms, small)).select(*schemas.POSTINGS.names),
         catalog.table("documents"), catalog.table("tags"), wanted,
     )
     scores = lexical.score(

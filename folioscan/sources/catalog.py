@@ -19,17 +19,21 @@ share its part, including the postings, and a frequent term is spread over all p
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan import schemas
 from folioscan.functions import keys
-from folioscan.operators import upserts
-from folioscan.sources.shared import discard
+from folioscan.operators import joins, upserts
+from folioscan.sources.shared import discard, small_reads
 
 DEFAULT_PARTS = 16
 # Compaction merges batches whose rows are at least this share of the batch before them.
@@ -37,6 +41,11 @@ MERGED_SHARE = 0.25
 # A commit compacts by itself beyond so many live batches.
 MOST_BATCHES = 32
 
+# Tables that others are made of, task by task: a task reads so much of them, so that what
+# it makes is sorted in memory. Row groups are small enough for that.
+PLACED_BYTES = 16 << 20
+READ_BY_TASK = {"chunks", "postings"}
+
 # Files of a part are sorted, so that a lookup skips row groups by their statistics.
 SORTED_BY = {
     "documents": ["doc_id"],
@@ -79,6 +88,25 @@ class Commit:
         return sum(self.rows.values())
 
 
+def _term_counts(postings: DataFrame) -> DataFrame:
+    """(part, term, df) as partial sums: stored postings are sorted, so equal terms adjoin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, term = batch.column("part"), batch.column("term")
+            codes = [x.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                     for x in (part, term)]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([
+                part.take(pa.array(at)), term.take(pa.array(at)),
+                pa.array(np.diff(np.r_[at, batch.num_rows]).astype(np.int64))],
+                names=["part", "term", "df"])
+
+    return postings.select("part", "term").mapInArrow(run, "part int, term string, df bigint")
+
+
 class Change:
     """The rows that one batch adds, and the documents it replaces; committed on exit.
 
@@ -102,23 +130,28 @@ class Change:
             self.catalog.commit(self)
 
     def replace(
-        self, name: str, new: DataFrame, touched: DataFrame, gone: DataFrame | None = None
+        self, name: str, new: DataFrame, touched: DataFrame, gone: DataFrame | None = None,
+        placed: bool = False,
     ) -> None:
         """Replace all rows of the touched documents in one table.
 
         `gone` are the touched documents that have rows, where the caller knows them.
         """
-        self.append(name, new)
+        self.append(name, new, placed)
         if self.catalog.live(name):
             self.gone[name] = touched.select("doc_id").distinct().join(
                 self.catalog.table(name).select("doc_id"), "doc_id", "left_semi"
             ) if gone is None else gone.select("doc_id")
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows to a table; statistics need their `part`."""
+    def append(self, name: str, rows: DataFrame, placed: bool = False) -> None:
+        """Add rows to a table; statistics need their `part`.
+
+        `placed` rows are made of stored rows, task by task.
+        """
         if name not in SUMMED_BY:
             rows = rows.withColumn("part", keys.part_of(F.col("doc_id"), self.catalog.parts))
-        self.catalog.write_batch(name, rows.withColumn("added", F.lit(self.batch)), self.batch)
+        self.catalog.write_batch(
+            name, rows.withColumn("added", F.lit(self.batch)), self.batch, placed)
         self.tables.append(name)
 
     def rows(self, name: str) -> DataFrame:
@@ -132,6 +165,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str, parts: int = DEFAULT_PARTS):
         self.spark, self.root = spark, root.rstrip("/")
+        self._until = {}
         for name, schema in (("catalog_meta", self._meta_schema()), ("commits", COMMITS)):
             spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
         stored = self.setting("parts")
@@ -188,35 +222,61 @@ class Catalog:
 
         None where there is none. Documents appear once per batch that replaced them.
         """
-        found = [c.batch for c in self.log(version) if c.replaced and c.batch > after]
-        if not found:
-            return None
+        found = self._replacing(after, version)
+        return self._replaced(name, found) if found else None
+
+    def _replacing(self, after: int, version: int | None) -> list[Commit]:
+        return [c for c in self.log(version) if c.replaced and c.batch > after]
+
+    def _replaced(self, name: str, found: list[Commit]) -> DataFrame:
         schema = T.StructType([*REPLACED, T.StructField("batch", _LONG)])
         rows = self.spark.read.schema(schema).option("basePath", self.path("replaced")).parquet(
-            *[f"{self.path('replaced')}/batch={n}" for n in found])
+            *[f"{self.path('replaced')}/batch={c.batch}" for c in found])
         return rows.filter(F.array_contains("tables", name)).select("doc_id", "batch")
 
-    def stored(self, name: str, version: int | None = None, after: int = 0) -> DataFrame:
+    def stored(
+        self, name: str, version: int | None = None, after: int = 0,
+        only: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
         """The rows of a table with their part and batch; those added after a batch.
 
-        Files of batches up to `after` are not opened.
+        Files of batches up to `after` are not opened. `only` keeps rows of its choice,
+        before replaced ones are looked up.
         """
         commits = [c.batch for c in self.live(name, version)]
+        rows = self.batches(name, [b for b in commits if b > after]).filter(F.col("added") > after)
         return self._surviving(
-            name, self.batches(name, [b for b in commits if b > after]).filter(
-                F.col("added") > after), min(commits, default=0), version)
+            name, only(rows) if only else rows, min(commits, default=0), version, bool(only))
 
     def _surviving(
-        self, name: str, rows: DataFrame, first: int, version: int | None = None
+        self, name: str, rows: DataFrame, first: int, version: int | None = None,
+        last: bool = False,
     ) -> DataFrame:
-        gone = None if name in SUMMED_BY else self.replaced(name, first, version)
-        if gone is None:
+        found = [] if name in SUMMED_BY else self._replacing(first, version)
+        if not found:
             return rows
+        gone = self._replaced(name, found)
         until = gone.groupBy("doc_id").agg(F.max("batch").alias("_until"))
-        return rows.join(until, "doc_id", "left").filter(
+        small, held = self._known_until(name, gone, found)
+        if held is not None:
+            return rows.filter(F.col("batch") >= held(last))
+        return rows.join(F.broadcast(until) if small else until, "doc_id", "left").filter(
             F.col("_until").isNull() | (F.col("batch") >= F.col("_until"))
         ).select(*self._stored_schema(name).names)
 
+    def _known_until(
+        self, name: str, gone: DataFrame, found: list[Commit]
+    ) -> tuple[bool, Callable[[bool], Column] | None]:
+        """Whether replaced documents may be broadcast; if not, their `held_numbers`, if few."""
+        # Committed batches stay as they are; only the latest set of a table is kept.
+        batches = [c.batch for c in found]
+        if name not in self._until or self._until[name][0] != batches:
+            small = joins.is_small(gone.select("doc_id"))
+            few = sum(c.replaced for c in found) <= joins.HELD_KEYS
+            self._until[name] = batches, small, joins.held_numbers(
+                gone, "doc_id", F.col("batch")) if few and not small else None
+        return self._until[name][1:]
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table in its fixed schema, as of a version (default: the last one)."""
         schema = schemas.DOCUMENT_TABLES[name]
@@ -265,18 +325,25 @@ class Catalog:
         with self.change() as change:
             change.replace(name, new, touched)
 
-    def write_batch(self, name: str, rows: DataFrame, batch: int) -> None:
+    def write_batch(
+        self, name: str, rows: DataFrame, batch: int, placed: bool = False
+    ) -> None:
         """Write one table of a batch; what a dead run left there is overwritten.
 
         The rebalance splits a part that is much larger than others over several files.
+        `placed` rows follow the files of a table written so and are not moved again.
         """
         columns = [f for f in self._stored_schema(name).names if f != "batch"]
-        (
-            rows.select(*columns).hint("rebalance", F.col("part"))
+        rows = rows.select(*columns)
+        writer = (
+            (rows if placed else rows.hint("rebalance", F.col("part")))
             .sortWithinPartitions("part", *SORTED_BY[name])
             .write.mode("overwrite").partitionBy("part")
-            .parquet(f"{self.path(name)}/batch={batch}")
         )
+        if name in READ_BY_TASK:
+            writer = writer.option("parquet.block.size", PLACED_BYTES)
+        with small_reads(self.spark, PLACED_BYTES) if placed else nullcontext():
+            writer.parquet(f"{self.path(name)}/batch={batch}")
 
     def commit(self, change: Change, merges: list[int] | None = None) -> None:
         """Make a batch visible, and compact where too many have come together."""
@@ -300,22 +367,30 @@ class Catalog:
     def refresh_statistics(self, change: Change) -> None:
         """Add to a change what its postings and chunks add to the sums, and take off.
 
-        Only the parts of replaced documents are read from earlier batches.
+        Only the parts of replaced documents are read from earlier batches. Postings are
+        counted in the task that reads them; where nothing is taken off, these sums stay.
         """
-        def signed(name: str) -> DataFrame:
-            new = change.rows(name).withColumn("sign", F.lit(1))
+        def taken_off(name: str) -> DataFrame | None:
             gone = change.gone.get(name)
             if gone is None:
-                return new
+                return None
             parts = [r[0] for r in gone.select(
                 keys.part_of(F.col("doc_id"), self.parts).alias("p")).distinct().collect()]
-            old = self.stored(name).filter(F.col("part").isin(*parts)).join(
-                gone, "doc_id", "left_semi").select(*change.rows(name).columns)
-            return new.unionByName(old.withColumn("sign", F.lit(-1)))
-
-        postings, chunks = signed("postings"), signed("chunks")
-        terms = postings.groupBy("part", "term").agg(F.sum("sign").cast("bigint").alias("df"))
-        change.append("term_stats", terms.filter("df <> 0"))
+            return joins.with_key(
+                self.stored(name).filter(F.col("part").isin(*parts)), gone, "doc_id")
+
+        def signed(new: DataFrame, old: DataFrame | None) -> DataFrame:
+            new = new.withColumn("sign", F.lit(1))
+            return new if old is None else new.unionByName(
+                old.select(*new.columns[:-1]).withColumn("sign", F.lit(-1)))
+
+        new, old = change.rows("postings"), taken_off("postings")
+        terms = _term_counts(new)
+        if old is not None:
+            terms = signed(terms, _term_counts(old)).groupBy("part", "term").agg(
+                F.sum(F.col("sign") * F.col("df")).cast("bigint").alias("df")).filter("df <> 0")
+        change.append("term_stats", terms, placed=old is None)
+        postings, chunks = signed(new, old), signed(change.rows("chunks"), taken_off("chunks"))
         length = F.sum(F.col("sign") * F.col("tf")).cast("bigint").alias("total_len")
         totals = chunks.groupBy("part").agg(F.sum("sign").cast("bigint").alias("n_chunks")).join(
             postings.groupBy("part").agg(length), "part", "full")

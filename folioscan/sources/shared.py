@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,19 @@ def kept_once(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_reads(spark: SparkSession, size: int) -> Iterator[None]:
+    """Tasks of a write inside read at most `size` bytes of files, or less if that is set."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    set_to = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(name, str(min(size, set_to)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(spark: SparkSession, pattern: str) -> None:
     """Delete the folders that a path pattern names and that no plan reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)

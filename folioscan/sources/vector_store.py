@@ -8,6 +8,7 @@ from abc import ABC, abstractmethod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.keys import part_of
 from folioscan.operators import dense
 from folioscan.operators.filters import Filters, restrict
 from folioscan.sources.catalog import Catalog
@@ -39,6 +40,13 @@ class VectorStore(ABC):
     def missing_chunks(self, doc_id: str | None = None) -> DataFrame:
         """Chunks without a vector."""
 
+    def missing_in_parts(
+        self, first: int, last: int, parts: int, doc_id: str | None = None
+    ) -> DataFrame:
+        """Chunks without a vector in some parts of the catalog."""
+        part = part_of(F.col("doc_id"), parts)
+        return self.missing_chunks(doc_id).filter(part.between(first, last))
+
     def settle(self, version: int) -> None:
         """Told after a full backfill of a catalog version; a store may remember it."""
 
@@ -72,7 +80,10 @@ class ParquetVectorStore(VectorStore):
         if found["n_wrong"]:
             raise ValueError(f"{found['n_wrong']} vectors do not have {size} dimensions")
         # Other vectors of the same documents move into the new batch with them.
-        old = self.catalog.table("chunk_embeddings")
+        parts = [r[0] for r in rows.select(part_of(
+            F.col("doc_id"), self.catalog.parts).alias("p")).distinct().collect()]
+        old = self.catalog.stored("chunk_embeddings").filter(
+            F.col("part").isin(*parts)).select(*rows.columns)
         kept = old.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").join(
             rows.select("chunk_id"), "chunk_id", "left_anti")
         self.catalog.replace("chunk_embeddings", kept.unionByName(rows), rows)
@@ -80,6 +91,22 @@ class ParquetVectorStore(VectorStore):
 
     def missing_chunks(self, doc_id: str | None = None) -> DataFrame:
         """Reads what came after the last complete backfill, and documents without vectors."""
+        return dense.missing(
+            self._candidates(), self.catalog.table("chunk_embeddings"), doc_id)
+
+    def missing_in_parts(
+        self, first: int, last: int, parts: int, doc_id: str | None = None
+    ) -> DataFrame:
+        """Only vectors of the same parts are compared; parts to come have none."""
+        part = part_of(F.col("doc_id"), parts).between(first, last)
+        known = self.catalog.stored("chunk_embeddings").filter(part)
+        if parts == self.catalog.parts:
+            known = known.filter(F.col("part").between(first, last))
+        if not known.limit(1).count():
+            known = known.limit(0)
+        return dense.missing(self._candidates().filter(part), known, doc_id)
+
+    def _candidates(self) -> DataFrame:
         mark = int(self.catalog.setting(MARK_SETTING) or 0)
         chunks = self.catalog.changes("chunks", mark)
         emptied = self.catalog.replaced("chunk_embeddings", mark) if mark else None
@@ -87,7 +114,7 @@ class ParquetVectorStore(VectorStore):
             again = self.catalog.table("chunks").join(
                 emptied.select("doc_id"), "doc_id", "left_semi")
             chunks = chunks.unionByName(again).dropDuplicates(["chunk_id"])
-        return dense.missing(chunks, self.catalog.table("chunk_embeddings"), doc_id)
+        return chunks
 
     def settle(self, version: int) -> None:
         if not self.missing_chunks().limit(1).count():

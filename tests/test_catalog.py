@@ -2,13 +2,16 @@
 
 import os
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan import schemas
+from folioscan.operators import joins
 from folioscan.plans.backfill import backfill
+from folioscan.plans.ingest import ingest_folder
 from folioscan.sources import catalog as module
 from folioscan.sources.catalog import Catalog
 from folioscan.sources.vector_store import vector_store
@@ -148,3 +151,73 @@ def test_a_second_backfill_opens_no_old_chunks(spark, tmp_path):
     assert opened and all("batch=3" in f for f in opened)
     assert backfill(made) == 1 and backfill(made) == 0
     assert made.table("chunk_embeddings").count() == 3
+
+
+@pytest.mark.parametrize("way", ["broadcast", "digests", "joined"])
+def test_replaced_rows_are_found_in_every_way(spark, tmp_path, monkeypatch, way):
+    if way != "broadcast":
+        monkeypatch.setattr(joins, "is_small", lambda *_: False)
+    if way == "joined":
+        monkeypatch.setattr(joins, "HELD_KEYS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made, expected, rng = Catalog(spark, str(tmp_path), parts=2), {}, random.Random(7)
+        for step in range(3):
+            touched = rng.sample(["a", "b", "c", "ä", ""], 3)
+            rows = [(d, 0, f"step {step}") for d in [*touched[1:], None]]
+            with made.change() as change:
+                found = chunks(spark, rows)
+                change.replace("chunks", found, documents_of(touched, spark))
+                change.replace("postings", found.selectExpr(
+                    "text term", "chunk_id", "doc_id", "1 tf", "1 len"),
+                    documents_of(touched, spark), placed=True)
+                made.refresh_statistics(change)
+            expected = {k: v for k, v in expected.items() if k[0] not in touched}
+            expected |= {(d, step if d is None else 0): text for d, _, text in rows}
+        table = made.table("chunks")
+        found = [(r.doc_id, int(r.text[-1]) if r.doc_id is None else 0, r.text)
+                 for r in table.collect()]
+        assert sorted(found, key=str) == sorted(((*k, v) for k, v in expected.items()), key=str)
+        terms = {r.term: r.df for r in made.table("term_stats").collect()}
+        assert terms == Counter(expected.values())
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        # The stored rows themselves are shuffled only if there are too many documents.
+        assert ("SortMergeJoin" in plan) == (way == "joined")
+        kept = joins.with_key(table, documents_of(["a", "ä", None], spark), "doc_id")
+        assert {r.doc_id for r in kept.collect()} == {d for d, _ in expected} & {"a", "ä"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_postings_are_written_where_their_chunks_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "files").mkdir()
+    for i in range(3):
+        (tmp_path / "files" / f"{i}.txt").write_text(f"heron number {i} wades\n")
+    kind, moved = type(spark.range(1)), []
+    before = kind.hint
+    monkeypatch.setattr(kind, "hint", lambda self, *a: moved.append(self.columns) or before(self, *a))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    made = Catalog(spark, str(tmp_path / "catalog"), parts=2)
+    ingest_folder(made, str(tmp_path / "files"), effort="low")
+    assert any("locator" in c for c in moved)
+    assert not any("tf" in c or "df" in c for c in moved)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == size
+    assert {r.term: r.df for r in made.table("term_stats").collect()}["heron"] == 3
+    assert made.table("postings").filter("term = 'heron'").count() == 3
+
+
+def test_a_commit_compares_vectors_of_its_parts_only(spark, tmp_path):
+    made = Catalog(spark, str(tmp_path), parts=2)
+    rows = chunks(spark, [(f"d{i}", 0, f"text {i}") for i in range(20)])
+    made.replace("chunks", rows, rows.select("doc_id"))
+    store = vector_store(made)
+    store.ensure_model("hashing-64")
+    first = store.missing_in_parts(0, 0, 2)
+    some = first.count()
+    assert 0 < some < 20
+    store.upsert(first.select("chunk_id", F.array(*[F.lit(1.0)] * 64).alias("embedding")))
+    assert store.missing_in_parts(0, 0, 2).count() == 0
+    rest = store.missing_in_parts(1, 1, 2)
+    assert "Join" not in rest._jdf.queryExecution().optimizedPlan().toString()
+    assert rest.count() == 20 - some == store.missing_chunks().count()
+    assert backfill(made, parts_per_commit=1) == 20 - some

@@ -281,3 +281,20 @@ def test_join_small_gives_the_same_rows_either_way(spark, how):
         for small in (True, False)
     ]
     assert ways[0] == ways[1] and ways[0]
+
+
+def test_only_scattered_documents_are_shuffled_for_keywords(spark, monkeypatch):
+    monkeypatch.setattr(tags, "PIECE_CHUNKS", 4)
+    draw = random.Random(5)
+    words = ["heron", "ferry", "pier", "quay", "tide", "crane", "buoy"]
+    rows = [(d, o, " ".join(draw.choices(words, k=9))) for d, n in
+            (("a", 2), ("b", 3), ("long", 9), ("c", 1)) for o in range(n)]
+    columns, counted = "doc_id string, ordinal int, text string", []
+    count = tags.term_frequencies
+    monkeypatch.setattr(tags, "term_frequencies", lambda chunks, k=None: counted.append(
+        {r.doc_id for r in chunks.select("doc_id").distinct().collect()}) or count(chunks, k))
+    together = tags.keyword_tags(spark.createDataFrame(rows, columns).coalesce(1), 3).collect()
+    scattered = rows[::2] + rows[1::2]
+    apart = tags.keyword_tags(spark.createDataFrame(scattered, columns).coalesce(1), 3).collect()
+    assert sorted(map(tuple, together)) == sorted(map(tuple, apart))
+    assert counted == [{"long"}, {"a", "b", "long"}]

@@ -208,3 +208,39 @@ def test_postings_and_lengths_come_from_one_pass(spark, monkeypatch, stemmer):
     assert [(len(held), sum(held))] == [tuple(r) for r in lexical.corpus_totals(chunks, stemmer).collect()]
     assert sorted(r for r in rows if r[0]) == sorted(
         map(tuple, lexical.build_postings(chunks, stemmer).collect()))
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_postings_of_a_chunk_are_one_row_before_the_shuffle(spark, monkeypatch, at_once):
+    monkeypatch.setattr(lexical, "POSTINGS_AT_ONCE", at_once)
+    draw = random.Random(at_once)
+    rows = [(draw.choice("abcdef"), f"c{i}" if i else None, f"d{i % 3}" if i % 5 else None,
+             draw.randint(1, 4), 9 + i % 2) for i in range(12) for _ in range(5)]
+    postings = spark.createDataFrame(rows, schemas.POSTINGS).orderBy("term").coalesce(1)
+    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "z")], "query_id int, term string")
+    frequencies = spark.createDataFrame([("a", 5), ("b", 2), ("b", 2), ("c", 1)], "term string, df bigint")
+    totals = spark.createDataFrame([(12, 120)], "n_chunks bigint, total_len bigint")
+    facts = frequencies, totals, wanted
+    found = lexical.score(postings, *facts, small=True)
+    plain = lexical.score(postings, *facts, small=False)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    if at_once > len(rows):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "terms#" in plan.split("RepartitionByExpression")[1]
+
+
+def test_texts_stay_where_they_lie(spark):
+    ranked = spark.createDataFrame([(1, "d-0", "d", 1.0), (2, "d-0", "d", 2.0), (2, "d-1", "d", 1.0)],
+                                   "query_id int, chunk_id string, doc_id string, score double")
+    chunks = spark.createDataFrame([(f"d-{i}", "d", "part", f"text {i}") for i in range(5)],
+                                   "chunk_id string, doc_id string, locator string, text string")
+    documents = spark.createDataFrame([("d", "f", "text", "u", None)], "doc_id string, filename string, "
+                                      "source_type string, source_uri string, summary string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = results.result_rows(ranked, chunks, documents)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [chunk_id" in plan and "LeftSemi" in plan
+        assert sorted(r.text for r in found.collect()) == ["text 0", "text 0", "text 1"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
